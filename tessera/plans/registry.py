@@ -345,3 +345,7 @@ def q_recover_doy(spark, d):
 def q_impute_median(spark, d):
     t = rc.tables(spark, d)
     return fill.impute(rc.impute_table(t), t.clear)
+
+
+# Further query groups register themselves on import.
+from tessera.plans import q_metrics  # noqa: E402,F401
