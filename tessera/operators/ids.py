@@ -10,7 +10,7 @@ and add per-partition offsets from a table with one row per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import reliable_checkpoint
@@ -40,15 +40,18 @@ def number_sorted(keys: DataFrame, order: list[str], out: str, n: int | None = N
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_mono"),
     )
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: a global running sum over it is bounded by the
-    # partition count, not by the data.
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_off"), "_n")
-    offsets = reliable_checkpoint(offsets)
-    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    # One count per partition (what zipWithIndex does): bounded by the
+    # partition count, never by the rows.  Offsets go back as a broadcast.
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    offsets, run = [], 0
+    for part, cnt in counts:
+        offsets.append((int(part), run))
+        run += int(cnt)
+    total = run
+    spark = keys.sparkSession
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_part int, _off long")
     local = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), 33)
-    numbered = tagged.join(F.broadcast(offsets.select("_part", "_off")), "_part").select(
+    numbered = tagged.join(F.broadcast(off_df), "_part").select(
         *[F.col(c) for c in keys.columns], (F.col("_off") + local).alias(out)
     )
     return numbered, int(total)
