@@ -350,3 +350,4 @@ def q_impute_median(spark, d):
 # Further query groups register themselves on import.
 from tessera.plans import q_metrics  # noqa: E402,F401
 from tessera.plans import q_text  # noqa: E402,F401
+from tessera.plans import q_raster_log  # noqa: E402,F401

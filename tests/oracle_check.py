@@ -52,7 +52,7 @@ def norm_value(v):
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm_value(r[i]) for i in order) for r in rows]
-    return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
+    return sorted(out, key=repr)
 
 
 def compare(spark, sf_dir, name, fn, sql, con):
