@@ -84,7 +84,11 @@ def impute(rows: DataFrame, train: DataFrame, bands=BANDS, contexts=DEFAULT_CONT
     Output keeps the columns of ``rows``; filled bands become doubles for
     ``median``.
     """
-    fitted = fit_contexts(train, bands, contexts, method)
+    return impute_fitted(rows, fit_contexts(train, bands, contexts, method), bands, keep_unfilled)
+
+
+def impute_fitted(rows: DataFrame, fitted, bands=BANDS, keep_unfilled: bool = False) -> DataFrame:
+    """Fill from already fitted (e.g. saved and reloaded) context tables."""
     joined = _attach(rows, fitted, bands)
     filled = {b: F.coalesce(F.col(b), *[F.col(_ctx_name(i, b)) for i in range(len(fitted))]) for b in bands}
     ok = all_of([v.isNotNull() for v in filled.values()])

@@ -10,7 +10,7 @@ and add per-partition offsets from a table with one row per partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import reliable_checkpoint
@@ -77,3 +77,35 @@ def positions(df: DataFrame, order: list[str], out: str = "row_id", n: int | Non
     """0-based position of every row of ``df`` sorted by the unique key ``order``."""
     numbered, _ = number_sorted(df, order, out, n)
     return numbered
+
+
+def cumulative_sum(df: DataFrame, order: list[str], value: str, out: str = "cum",
+                   group: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """Running sum of ``value`` in ``order`` (inclusive), optionally restarted per group.
+
+    Rows are range-partitioned and checkpointed; each partition's running sum
+    is a window over that partition only, and partition totals (one row per
+    partition) give the offsets.  A group restart subtracts the running sum
+    before the group's first row (a table with one row per group).
+    """
+    group = group or []
+    full = [*group, *order]
+    parts = _num_partitions(df, n)
+    ranged = reliable_checkpoint(df.repartitionByRange(parts, *full).sortWithinPartitions(*full))
+    tagged = ranged.withColumn("_part", F.spark_partition_id())
+    vtype = dict(df.dtypes)[value]
+    conv = float if vtype in ("double", "float") else int
+    totals = sorted((r[0], r[1] or 0) for r in tagged.groupBy("_part").agg(F.sum(value)).collect())
+    offs, run = [], conv(0)
+    for part, tot in totals:
+        offs.append((int(part), conv(run)))
+        run += tot
+    spark = df.sparkSession
+    off_df = spark.createDataFrame(offs or [(0, conv(0))], f"_part int, _off {vtype}")
+    w = Window.partitionBy("_part").orderBy(*full).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.withColumn("_local", F.sum(value).over(w))
+    cum = local.join(F.broadcast(off_df), "_part").withColumn(out, F.col("_off") + F.col("_local"))
+    if group:
+        start = cum.groupBy(*group).agg(F.min(F.col(out) - F.col(value)).alias("_start"))
+        cum = cum.join(start, group).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
+    return cum.drop("_part", "_off", "_local")

@@ -352,3 +352,4 @@ from tessera.plans import q_metrics  # noqa: E402,F401
 from tessera.plans import q_text  # noqa: E402,F401
 from tessera.plans import q_raster_log  # noqa: E402,F401
 from tessera.plans import q_tokens  # noqa: E402,F401
+from tessera.plans import q_fill  # noqa: E402,F401
