@@ -159,7 +159,7 @@ def q_model_roundtrip(spark, d):
 
 @query("bpe_roundtrip")
 def q_bpe_roundtrip(spark, d):
-    merges = tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents")), 4, checkpoint_every=2)
+    merges = tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents", spread=True).select("text")), 4, checkpoint_every=2)
     path = _scratch(spark, "tokenizer")
     art.save_tokenizer(path, tk.bpe_vocab(spark, merges), merges)
     vocab, _ = art.load_tokenizer(spark, path)

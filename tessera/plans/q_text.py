@@ -96,7 +96,7 @@ def q_impute_prompt(spark, d):
 @query("clean_text", "SELECT doc_id, replace(replace(replace(text, '<|endoftext|>', ''), chr(10), ' '), "
        "chr(13), '') AS text FROM documents")
 def q_clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.clean_text("text").alias("text"))
+    return table(spark, d, "documents", spread=True).select("doc_id", tx.clean_text("text").alias("text"))
 
 
 def _parse_sql(src: str, text: str = "text") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,14 @@ BOX = (0, 0, 499, 49)
 
 
 def prepared(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> DataFrame:
-    """Sentinel cleanup, NDVI, pixel id, dates and the 12-column projection."""
-    return sc.prepare(scene(spark, sf_dir), doys)
+    """Sentinel cleanup, NDVI, pixel id, dates and the 12-column projection.
+
+    Persisted (memory, spilling to disk): every split of the flow (missing,
+    clear, cloudy, per-date inputs, context tables) reads this one table,
+    so the source scan and the id join run once per query.  Lost blocks are
+    recomputed from lineage.
+    """
+    return sc.prepare(scene(spark, sf_dir), doys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def tables(spark: SparkSession, sf_dir: str, dtype: str | None = "int") -> sc.SceneTables:
