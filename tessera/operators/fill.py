@@ -124,3 +124,22 @@ def merge_recovered(left: DataFrame, imputed: DataFrame, keys=("PID", "DOY"), ba
         F.when(F.col("_hit"), F.col(f"_r_{c}")).otherwise(F.col(c)).alias(c) if c in bands else F.col(c)
         for c in left.columns
     ])
+
+
+def context_counts(train: DataFrame, bands=BANDS, contexts=DEFAULT_CONTEXTS,
+                   keys=("PID", "DOY")) -> DataFrame:
+    """Counts of every band value by each back-off context, one long table.
+
+    Columns: ``context`` (e.g. ``PID``, ``DOY``, ``all``), the key columns
+    (null where not part of the context), ``band``, ``value``, ``n``.
+    """
+    long = train.unpivot(list(keys), list(bands), "band", "value").filter(F.col("value").isNotNull())
+    out = None
+    for ctx in contexts:
+        ctx = list(ctx)
+        g = long.groupBy(*ctx, "band", "value").agg(F.count(F.lit(1)).alias("n"))
+        g = g.select(F.lit("_".join(ctx) or "all").alias("context"),
+                     *[F.col(k) if k in ctx else F.lit(None).cast(dict(train.dtypes)[k]).alias(k) for k in keys],
+                     "band", "value", "n")
+        out = g if out is None else out.unionByName(g)
+    return out

@@ -270,3 +270,22 @@ def q_impute_mode(spark, d):
 
 
 __all__ = ["lcg"]
+
+
+def _ctx_counts_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT PID, DOY, '{b}' AS band, {b} AS value FROM clear WHERE {b} IS NOT NULL"
+                              for b in BANDS)
+    parts = [
+        "SELECT 'PID' AS context, PID, CAST(NULL AS INTEGER) AS DOY, band, value, count(*) AS n FROM lg "
+        "GROUP BY PID, band, value",
+        "SELECT 'DOY' AS context, CAST(NULL AS INTEGER) AS PID, DOY, band, value, count(*) AS n FROM lg "
+        "GROUP BY DOY, band, value",
+        "SELECT 'all' AS context, CAST(NULL AS INTEGER) AS PID, CAST(NULL AS INTEGER) AS DOY, band, value, "
+        "count(*) AS n FROM lg GROUP BY band, value",
+    ]
+    return o.with_scene(" UNION ALL ".join(parts), f"lg AS ({long})")
+
+
+@query("fit_contexts", _ctx_counts_sql())
+def q_fit_contexts(spark, d):
+    return fill.context_counts(rc.tables(spark, d).clear)
