@@ -26,20 +26,33 @@ def raster_layers(df: DataFrame, layers: dict) -> DataFrame:
 
     ``layers`` maps an output name to a column expression evaluated per
     pixel; the result has ``DOY, Y, x0`` and one array column per layer.
+    The sparse pixels of a line are sorted by X and expanded in one pass:
+    each pixel contributes the nulls of the gap before it and its value,
+    the line is closed with the trailing gap -- O(width) per line (a map
+    lookup per cell would be O(width x pixels)).
     """
     names = list(layers)
     cells = df.select("DOY", "Y", "X", F.struct(*[layers[n].alias(n) for n in names]).alias("v"))
-    per_line = cells.groupBy("DOY", "Y").agg(F.map_from_entries(F.collect_list(F.struct("X", "v"))).alias("m"))
+    per_line = cells.groupBy("DOY", "Y").agg(F.array_sort(F.collect_list(F.struct("X", "v"))).alias("s"))
     # lines: one row per (date, image row); the box table has one row per date
-    lines = _lines(df)
-    j = lines.join(per_line, ["DOY", "Y"], "left")
-    xs = F.sequence(F.col("x0"), F.col("x1"))
+    j = _lines(df).join(per_line, ["DOY", "Y"], "left")
+    s, x0, x1 = F.col("s"), F.col("x0"), F.col("x1")
+
+    def piece(e, i):
+        prev_end = F.when(i == 0, x0).otherwise(F.element_at(s, i)["X"] + 1)
+        return F.concat(F.array_repeat(F.when(F.lit(False), e["v"]), e["X"] - prev_end), F.array(e["v"]))
+
+    typed_null = F.when(F.lit(False), F.element_at(s, 1)["v"])
+    last = F.coalesce(F.element_at(s, -1)["X"], x0 - 1)
+    dense = F.concat(F.coalesce(F.flatten(F.transform(s, piece)), F.array().cast(f"array<{cells.schema['v'].dataType.simpleString()}>")),
+                     F.array_repeat(typed_null, x1 - last))
+    lined = j.select("DOY", "Y", "x0", dense.alias("_d"))
+
     def layer(n):
         # one-argument lambda (a second one would be bound to the index)
-        return lambda x: F.try_element_at(F.col("m"), x)[n]
+        return lambda v: v[n]
 
-    out = [F.transform(xs, layer(n)).alias(n) for n in names]
-    return j.select("DOY", "Y", "x0", *out)
+    return lined.select("DOY", "Y", "x0", *[F.transform("_d", layer(n)).alias(n) for n in names])
 
 
 def raster_rows(df: DataFrame, band: str) -> DataFrame:
