@@ -36,22 +36,17 @@ def context_table(train: DataFrame, ctx, bands, method: str = "median", i: int =
     if method == "median":
         return train.groupBy(*ctx).agg(*[F.median(b).alias(_ctx_name(i, b)) for b in bands])
     if method == "mode":
-        out = None
-        for b in bands:
-            counts = train.filter(F.col(b).isNotNull()).groupBy(*ctx, b).agg(F.count(F.lit(1)).alias("_n"))
-            best = counts.groupBy(*ctx).agg(
-                F.max_by(F.col(b), F.struct(F.col("_n"), -F.col(b))).alias(_ctx_name(i, b))
-            )
-            if not ctx:
-                # global mode: one scalar per band, no join needed
-                best = best.select(F.struct(_ctx_name(i, b)).alias("s"))
-                out = best if out is None else out.select(
-                    F.struct(*[F.col("s")[f] for f in out.schema["s"].dataType.fieldNames()],
-                             best.scalar()[_ctx_name(i, b)].alias(_ctx_name(i, b))).alias("s"))
-                continue
-            # per-band tables are all hash-partitioned on ctx: the full join needs no new shuffle
-            out = best if out is None else out.join(best, ctx, "full")
-        return out
+        # All bands in one pass: unpivot to (ctx, band, value), count, take the
+        # argmax per (ctx, band), pivot the bands back to columns.
+        types = dict(train.dtypes)
+        vtype = types[bands[0]]
+        long = train.select(*ctx, *[F.col(b).cast(vtype).alias(b) for b in bands]).unpivot(
+            ctx, list(bands), "_band", "_value").filter(F.col("_value").isNotNull())
+        counts = long.groupBy(*ctx, "_band", "_value").agg(F.count(F.lit(1)).alias("_n"))
+        best = counts.groupBy(*ctx, "_band").agg(
+            F.max_by(F.col("_value"), F.struct(F.col("_n"), -F.col("_value"))).alias("_best"))
+        wide = best.groupBy(*ctx).pivot("_band", list(bands)).agg(F.first("_best"))
+        return wide.select(*ctx, *[F.col(b).cast(types[b]).alias(_ctx_name(i, b)) for b in bands])
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -65,9 +60,7 @@ def _attach(rows: DataFrame, fitted, bands) -> DataFrame:
     for i, (ctx, tbl) in enumerate(fitted):
         if not ctx:
             # Global statistics: one scalar subquery returning a struct.
-            if "s" not in tbl.columns:
-                tbl = tbl.select(F.struct(*[_ctx_name(i, b) for b in bands]).alias("s"))
-            packed = tbl.scalar()
+            packed = tbl.select(F.struct(*[_ctx_name(i, b) for b in bands]).alias("s")).scalar()
             out = out.withColumns({_ctx_name(i, b): packed[_ctx_name(i, b)] for b in bands})
         else:
             small = set(ctx) <= BOUNDED_KEYS

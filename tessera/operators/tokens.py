@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ids import BROADCAST_KEY_ROWS, number_sorted
+from tessera.operators.ids import broadcast_ok, number_sorted
 from tessera.session import reliable_checkpoint
 
 # Fixed values of the token format.
@@ -48,7 +48,7 @@ def encode_words(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     vocab, n = word_vocab(df, text_col)
     toks = df.select(*keys, F.posexplode_outer(words(text_col)).alias("pos", "word"))
     # broadcast the vocabulary only below a checked size; AQE splits hot words otherwise
-    toks = toks.join(F.broadcast(vocab) if n <= BROADCAST_KEY_ROWS else vocab, "word", "left")
+    toks = toks.join(F.broadcast(vocab) if broadcast_ok(df.sparkSession, n) else vocab, "word", "left")
     seq = toks.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_s"))
     return seq.select(*keys, F.transform("_s", lambda x: x["id"]).alias("input_ids"))
