@@ -37,22 +37,19 @@ def raster_layers(df: DataFrame, layers: dict) -> DataFrame:
     # lines: one row per (date, image row); the box table has one row per date
     j = _lines(df).join(per_line, ["DOY", "Y"], "left")
     s, x0, x1 = F.col("s"), F.col("x0"), F.col("x1")
-
-    def piece(e, i):
-        prev_end = F.when(i == 0, x0).otherwise(F.element_at(s, i)["X"] + 1)
-        return F.concat(F.array_repeat(F.when(F.lit(False), e["v"]), e["X"] - prev_end), F.array(e["v"]))
-
-    typed_null = F.when(F.lit(False), F.element_at(s, 1)["v"])
     last = F.coalesce(F.element_at(s, -1)["X"], x0 - 1)
-    dense = F.concat(F.coalesce(F.flatten(F.transform(s, piece)), F.array().cast(f"array<{cells.schema['v'].dataType.simpleString()}>")),
-                     F.array_repeat(typed_null, x1 - last))
-    lined = j.select("DOY", "Y", "x0", dense.alias("_d"))
-
-    def layer(n):
-        # one-argument lambda (a second one would be bound to the index)
-        return lambda v: v[n]
-
-    return lined.select("DOY", "Y", "x0", *[F.transform("_d", layer(n)).alias(n) for n in names])
+    vtype = cells.schema["v"].dataType
+
+    def dense(n):
+        def piece(e, i):
+            prev_end = F.when(i == 0, x0).otherwise(F.element_at(s, i)["X"] + 1)
+            return F.concat(F.array_repeat(F.when(F.lit(False), e["v"][n]), e["X"] - prev_end),
+                            F.array(e["v"][n]))
+        empty = F.array().cast(f"array<{vtype[n].dataType.simpleString()}>")
+        tail = F.array_repeat(F.when(F.lit(False), F.element_at(s, 1)["v"][n]), x1 - last)
+        return F.concat(F.coalesce(F.flatten(F.transform(s, piece)), empty), tail).alias(n)
+
+    return j.select("DOY", "Y", "x0", *[dense(n) for n in names])
 
 
 def raster_rows(df: DataFrame, band: str) -> DataFrame:

@@ -270,7 +270,10 @@ def q_inference_clear(spark, d):
 
 @query("pixel_ids", o.with_scene("SELECT DISTINCT X, Y, PID FROM pid"))
 def q_pixel_ids(spark, d):
-    return sc.with_pixel_ids(_nulled(spark, d)).select("X", "Y", "PID").distinct()
+    """The numbered distinct (X, Y) keys themselves: no join back, no second distinct."""
+    from tessera.operators.ids import number_sorted
+    numbered, _ = number_sorted(_nulled(spark, d).select("X", "Y").distinct(), ["X", "Y"], "PID")
+    return numbered
 
 
 @query("box_size", o.with_scene(
