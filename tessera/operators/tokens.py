@@ -102,14 +102,21 @@ def encode_number(v: Column) -> Column:
 
 
 def digit_place_encode(c, sep: str = ", ", is_: str = " is ") -> Column:
-    """Encode the value of every ``name is value`` part of a row text."""
-    c = F.col(c) if isinstance(c, str) else c
-
-    def part(p):
-        kv = F.split(p, is_, 2)
-        return F.when(F.size(kv) == 2, F.concat(kv[0], F.lit(is_), encode_number(kv[1]))).otherwise(p)
+    """Encode the value of every ``name is value`` part of a row text.
 
-    return F.array_join(F.transform(F.split(c, sep), part), sep)
+    One ``regexp_replace`` per digit count (1..4): a value is a signed
+    number of that many digits right after ``" is "`` and right before the
+    next separator or the end.  Plain regex replacements stay in generated
+    code, unlike a per-part lambda.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    head = f"({is_}-?)"
+    stop = "(?=" + sep.strip() + "|$)"
+    for n in range(PLACES, 0, -1):
+        digits = "".join(r"(\d)" for _ in range(n))
+        repl = "$1" + " ".join(f"_${i + 2}_{n - 1 - i}_" for i in range(n))
+        c = F.regexp_replace(c, head + digits + stop, repl)
+    return c
 
 
 def digit_place_decode(c) -> Column:
