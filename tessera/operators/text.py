@@ -111,24 +111,22 @@ def clean_text(c) -> Column:
 def text_to_row(df: DataFrame, cols: list[str], text_col: str = "text", id_col: str = "row_id") -> DataFrame:
     """Parse ``"c is v, ..."`` back into one string column per known column.
 
-    Parts split on ``,``; each part is trimmed and split on ``" is "``; the
-    first mention of a column that carries a value wins; unset columns
-    hold ``placeholder``; ``None`` becomes null.
+    Semantics: parts split on ``,``; each part is trimmed and split on
+    ``" is "``; the first part whose name is ``c`` and that carries a value
+    gives ``c``'s value (the text between the first and the second
+    ``" is "``); unset columns hold ``placeholder``; ``None`` becomes null.
+    Implemented as one anchored regular expression per column: the leftmost
+    match is exactly that first part, and regex functions run in generated
+    code (a per-part lambda would be interpreted).
     """
-    # Staged projections: each expensive column is computed once and then
-    # referenced several times, so Catalyst keeps the stages apart instead of
-    # inlining (and repeating) the split/filter work per reference.
-    staged = df.select(id_col, F.transform(F.split(F.col(text_col), ","),
-                                           lambda p: F.split(ws_trim(p), IS)).alias("_parts"))
-
-    def named(c):
-        # one-argument lambda: a second parameter would be bound to the index
-        return lambda a: (a[0] == F.lit(c)) & (F.size(a) >= 2)
-
-    raw = staged.select(id_col, *[
-        F.coalesce(F.try_element_at(F.filter(F.col("_parts"), named(c)), F.lit(1))[1],
-                   F.lit(PLACEHOLDER)).alias(c)
-        for c in cols])
+    out = []
+    for c in cols:
+        # a part that is only "c is" (after trimming) carries no value: skip it
+        pat = r"(?:^|,)\s*\Q" + c + r"\E is (?!\s*(?:,|$))(.*?)(?: is |\s*(?:,|$))"
+        v = F.when(F.col(text_col).rlike(pat), F.regexp_extract(F.col(text_col), pat, 1)).otherwise(
+            F.lit(PLACEHOLDER))
+        out.append(v.alias(c))
+    raw = df.select(id_col, *out)
     return raw.select(id_col, *[
         F.when(F.col(c) == NONE_TEXT, F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in cols])
 

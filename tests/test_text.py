@@ -20,6 +20,8 @@ def test_parse_fixture_rows(spark):
         "B02 is 3 is 7",
         "B02 is None",
         "ZZZ is 4, B02 is 3",
+        "B02 is , B02 is 9",
+        "B02 is  is 5",
     ]
     got = _parse(spark, texts)
     assert got[0]["PID"] == "1" and got[0]["B04"] == "5"
@@ -28,6 +30,8 @@ def test_parse_fixture_rows(spark):
     assert got[3]["B02"] == "3"
     assert got[4]["B02"] is None
     assert got[5]["B02"] == "3"
+    assert got[6]["B02"] == "9"
+    assert got[7]["B02"] == ""
 
 
 def test_bad_numbers_dropped_by_validity_filter(spark):
