@@ -10,6 +10,7 @@ and add per-partition offsets from a table with one row per partition.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,11 @@ def number_sorted(keys: DataFrame, order: list[str], out: str, n: int | None = N
     table (one row per partition) is combined globally.
     """
     parts = _num_partitions(keys, n)
-    ranged = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged = reliable_checkpoint(ranged)
+    # The range bounds are sampled by one job and the checkpoint written by
+    # another: keep the input for both instead of computing it twice.
+    src = keys.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = reliable_checkpoint(src.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    src.unpersist()
     tagged = ranged.select(
         "*",
         F.spark_partition_id().alias("_part"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,11 @@ def prepared(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> DataFrame:
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        sc.prepare(scene(spark, sf_dir), doys).write.mode("overwrite").partitionBy("DOY").parquet(path)
+        # the cleaned scene feeds both the key numbering and the join back
+        base = sc.with_ndvi(sc.sentinel_to_null(scene(spark, sf_dir))).persist(StorageLevel.MEMORY_AND_DISK)
+        out = sc.project(sc.select_doys(sc.with_pixel_ids(base), doys))
+        out.write.mode("overwrite").partitionBy("DOY").parquet(path)
+        base.unpersist()
     return spark.read.parquet(path).select(*SCENE_COLUMNS)
 
 
