@@ -3,6 +3,8 @@
 A log is ``(run, step, loss[, epoch, learning_rate])``.  Only tables with
 one row per run (bounded by the number of runs) are ordered globally;
 record-level work is joins on keys, so no run is gathered into one task.
+The per-run tables carry no broadcast hint: AQE broadcasts them once their
+runtime size is known to be under the threshold.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def stitch_steps(log: DataFrame) -> DataFrame:
     runs = _run_table(log)
     shift = runs.select("run", (F.sum("last_step").over(_per_run_window()) - F.col("last_step"))
                         .alias("shift"))
-    return log.join(F.broadcast(shift), "run").withColumn("global_step", F.col("step") + F.col("shift")).drop("shift")
+    return log.join(shift, "run").withColumn("global_step", F.col("step") + F.col("shift")).drop("shift")
 
 
 def loss_delta(log: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def loss_delta(log: DataFrame) -> DataFrame:
     prev = ranked.select("run", (F.col("rank") + 1).alias("rank"), F.col("loss").alias("_prev"))
     runs = _run_table(log)
     prev_run = runs.select("run", F.lag("last_loss").over(Window.orderBy("run")).alias("_prev_run"))
-    j = ranked.join(prev, ["run", "rank"], "left").join(F.broadcast(prev_run), "run")
+    j = ranked.join(prev, ["run", "rank"], "left").join(prev_run, "run")
     p = F.coalesce(F.col("_prev"), F.col("_prev_run"), F.col("loss"))
     return j.select("run", "step", "loss", (F.col("loss") - p).alias("delta"))
 
@@ -76,7 +78,7 @@ def record_rank(log: DataFrame, order: str = "step") -> DataFrame:
     """1-based rank of each record inside its run, via global positions."""
     pos = positions(log, ["run", order], "_pos")
     first = pos.groupBy("run").agg(F.min("_pos").alias("_first"))
-    return pos.join(F.broadcast(first), "run").withColumn(
+    return pos.join(first, "run").withColumn(
         "rank", F.col("_pos") - F.col("_first") + 1).drop("_first")
 
 

@@ -82,7 +82,8 @@ def balanced_sample(df: DataFrame, cls: str, key: str, n: int, seed: int = 42) -
     counts = ranked.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     n0 = counts.agg(F.min("_n")).scalar()
     per_class = F.floor(F.least(F.lit(n), n0) / F.lit(2))
-    out = ranked.join(F.broadcast(counts.select(cls, "_first")), cls)
+    # one row per class: no hint, AQE broadcasts it once its runtime size is known
+    out = ranked.join(counts.select(cls, "_first"), cls)
     return out.filter(F.col("_pos") - F.col("_first") < per_class).drop("_h", "_pos", "_first")
 
 
