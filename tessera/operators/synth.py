@@ -111,25 +111,34 @@ def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
                 contexts=(("DOY",), ()), temperature: float = 1.0, seed: int = 42) -> DataFrame:
     """Fill missing cells by sampling from context counts with weights n^(1/T).
 
-    Each band and context gives one CDF table and one bucketed range join;
-    the longest context with data wins.  Rows stay keyed by ``key``.
+    All bands go through one pass per context: the training table and the
+    missing cells are unpivoted to (context, band, value), one CDF table per
+    context is grouped by (context, band), and one bucketed range join draws
+    every missing cell.  The longest context with data wins; cells are
+    pivoted back to columns, keyed by ``key``.
     """
-    out = rows
-    for bi, b in enumerate(bands):
-        cands = []
-        for ci, ctx in enumerate(contexts):
-            ctx = list(ctx)
-            counts = train.filter(F.col(b).isNotNull()).groupBy(*ctx, b).agg(F.count(F.lit(1)).alias("n"))
-            cdf = cdf_table(counts, b, "n", ctx, temperature)
-            u = f"_u{bi}"
-            r = out.select(key, *ctx, uniform(F.col(key) * 16 + bi, seed).alias(u))
-            d = draw(r, cdf, u, b, f"_d{ci}_{b}", ctx)
-            cands.append(d.select(key, f"_d{ci}_{b}"))
-        for c in cands:
-            out = out.join(c, key, "left")
-        out = out.withColumn(b, F.coalesce(F.col(b), *[F.col(f"_d{ci}_{b}") for ci in range(len(contexts))]))
-        out = out.drop(*[f"_d{ci}_{b}" for ci in range(len(contexts))])
-    return out
+    ctx_cols = sorted({c for ctx in contexts for c in ctx})
+    long_train = (train.select(*ctx_cols, *[F.col(b).cast("double").alias(b) for b in bands])
+                  .unpivot(ctx_cols, list(bands), "_band", "_value").filter(F.col("_value").isNotNull()))
+    cell = F.explode(F.array(*[F.struct(F.lit(b).alias("_band"), F.lit(i).alias("_bi"),
+                                        F.col(b).cast("double").alias("_orig")) for i, b in enumerate(bands)]))
+    cells = (rows.select(key, *ctx_cols, cell.alias("_c"))
+             .select(key, *ctx_cols, "_c._band", "_c._bi", "_c._orig")
+             .filter(F.col("_orig").isNull())
+             .withColumn("_u", uniform(F.col(key) * 16 + F.col("_bi"), seed)))
+    drawn = cells.select(key, "_band")
+    for ci, ctx in enumerate(contexts):
+        group = [*ctx, "_band"]
+        counts = long_train.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("n"))
+        cdf = cdf_table(counts, "_value", "n", group, temperature)
+        d = draw(cells.select(key, *group, "_u"), cdf, "_u", "_value", f"_d{ci}", group)
+        drawn = drawn.join(d.select(key, "_band", f"_d{ci}"), [key, "_band"], "left")
+    val = F.coalesce(*[F.col(f"_d{ci}") for ci in range(len(contexts))])
+    wide = drawn.groupBy(key).pivot("_band", list(bands)).agg(F.first(val))
+    wide = wide.select(key, *[F.col(b).alias(f"_w_{b}") for b in bands])
+    out = rows.join(wide, key, "left")
+    return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_w_{c}")).alias(c) if c in bands
+                        else F.col(c) for c in rows.columns])
 
 
 # ------------------------------------------------------------------ K6 synthesis
