@@ -30,7 +30,8 @@ def _shuffled(cols: list[str], row_id: Column, seed: int, offset: int = 0) -> Co
         F.struct(lcg(row_id * F.lit(16) + F.lit(i + offset), seed).alias("h"), _part(c).alias("t"))
         for i, c in enumerate(cols)
     ])
-    return F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), SEP)
+    # sort_array + struct-field projection stay in generated code (no lambda)
+    return F.array_join(F.sort_array(parts).getField("t"), SEP)
 
 
 def row_text(df: DataFrame, cols: list[str], id_col: str = "row_id") -> DataFrame:
