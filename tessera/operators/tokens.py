@@ -51,7 +51,7 @@ def encode_words(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     toks = toks.join(F.broadcast(vocab) if broadcast_ok(df.sparkSession, n) else vocab, "word", "left")
     seq = toks.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_s"))
-    return seq.select(*keys, F.transform("_s", lambda x: x["id"]).alias("input_ids"))
+    return seq.select(*keys, F.col("_s").getField("id").alias("input_ids"))
 
 
 def pad_batch(df: DataFrame, batch: str, ids: str = "input_ids", pad_id: int = PAD_ID,
@@ -152,18 +152,15 @@ def pretoken_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
                                                     F.lit(PRETOKEN), 0)).alias("tok"))
     counts = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     hx = F.hex(F.encode(F.col("tok"), "UTF-8"))
-    pieces = F.transform(F.sequence(F.lit(0), (F.length(hx) / 2).cast("int") - 1),
-                         lambda i: F.substring(hx, i * 2 + 1, 2))
-    return counts.select(F.concat(F.lit(" "), F.array_join(pieces, " "), F.lit(" ")).alias("pieces"), "n")
+    # " 48 45 4C ": one space after every byte (regex replace, no lambda)
+    return counts.select(F.concat(F.lit(" "), F.regexp_replace(hx, "(..)", "$1 ")).alias("pieces"), "n")
 
 
 def pair_counts(table: DataFrame) -> DataFrame:
     """Adjacent piece pairs weighted by pre-token count: (pair, n)."""
-    arr = F.split(F.trim(F.col("pieces")), " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(arr) - 1),
-                        lambda i: F.concat(F.element_at(arr, i), F.lit(" "), F.element_at(arr, i + 1)))
-    return (table.filter(F.size(arr) >= 2)
-            .select(F.explode(pairs).alias("pair"), "n")
+    # overlapping adjacent pairs: a zero-width look-ahead match at every piece start
+    pairs = F.regexp_extract_all(F.col("pieces"), F.lit(r"(?= (\S+ \S+) )"), 1)
+    return (table.select(F.explode(pairs).alias("pair"), "n")
             .groupBy("pair").agg(F.sum("n").cast("long").alias("n")))
 
 
