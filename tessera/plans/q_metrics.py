@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, FILL_BANDS, lcg, lcg_sql
+from tessera.functions.expr import BANDS, FILL_BANDS, lcg_sql
 from tessera.operators import fill, metrics as m, sampling as sp, scene as sc
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
@@ -269,8 +269,6 @@ def q_impute_mode(spark, d):
     return fill.impute(rc.impute_table(t), t.clear, method="mode")
 
 
-__all__ = ["lcg"]
-
 
 def _ctx_counts_sql() -> str:
     long = " UNION ALL ".join(f"SELECT PID, DOY, '{b}' AS band, {b} AS value FROM clear WHERE {b} IS NOT NULL"
