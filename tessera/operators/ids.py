@@ -45,11 +45,13 @@ def number_sorted(keys: DataFrame, order: list[str], out: str, n: int | None = N
     Work per row is a range shuffle and a sort; only the per-partition count
     table (one row per partition) is combined globally.
     """
-    parts = _num_partitions(keys, n)
     # The range bounds are sampled by one job and the checkpoint written by
     # another: keep the input for both instead of computing it twice.
     src = keys.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = reliable_checkpoint(src.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    # Without an explicit count AQE may coalesce adjacent ranges of small
+    # inputs (order is kept); large inputs keep spark.sql.shuffle.partitions.
+    byrange = src.repartitionByRange(n, *order) if n else src.repartitionByRange(*order)
+    ranged = reliable_checkpoint(byrange.sortWithinPartitions(*order))
     src.unpersist()
     tagged = ranged.select(
         "*",
