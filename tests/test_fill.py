@@ -78,3 +78,14 @@ def test_synthesize_returns_n_valid_rows(spark, t):
     out = sy.synthesize(keys, "k", t.clear, "DOY", BANDS, n=250, seed=3)
     assert out.count() == 250
     assert out.filter(" OR ".join(f"{b} IS NULL" for b in BANDS)).count() == 0
+
+
+def test_exact_split_size_and_complement(t):
+    import math
+    from tessera.operators import sampling as sp
+    clear = t.clear
+    n = clear.count()
+    train, test = sp.exact_split(clear, ["PID", "DOY"], 0.05, seed=42)
+    assert test.count() == math.ceil(0.05 * n)
+    assert train.count() + test.count() == n
+    assert train.join(test, ["PID", "DOY"]).count() == 0
