@@ -91,7 +91,9 @@ def impute_prompt(df: DataFrame, cols: list[str], id_col: str = "row_id", seed:
     only ``"c is"``.
     """
     enc = partial_row_text(df, cols, id_col)
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]), lambda x: x.isNotNull())
+    # names of the missing cells, in column order (concat_ws skips present ones; no lambda)
+    names = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
+    missing = F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
     n = F.size(missing)
     pick = F.when(n > 0, F.element_at(missing, (F.pmod(lcg(F.col(id_col), seed), n) + 1).cast("int")))
     prompt = F.concat(
