@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.expr import ws_trim
 from tessera.operators.ids import broadcast_ok, number_sorted
 from tessera.session import reliable_checkpoint
 
@@ -30,9 +31,13 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
 def words(c) -> Column:
-    """Whitespace-separated words, empty strings dropped."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    """Whitespace-separated words, empty strings dropped.
+
+    Trimming first leaves no empty pieces (except for an empty text), so no
+    lambda filter is needed and the expression stays in generated code.
+    """
+    t = ws_trim(F.col(c) if isinstance(c, str) else c)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"\s+"))
 
 
 # ------------------------------------------------------------------ word ids, padding
