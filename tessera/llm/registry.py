@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from tessera.llm.common import table
+from tessera.llm.decontam import find_leaks
+from tessera.llm.langid import identify_language
+from tessera.llm.packing import pack
+from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.topk import top_k
 from tessera.llm.urlfilter import QUERY_RULES, SPAM_RULES, judge_urls
@@ -12,6 +16,23 @@ def op1_url_filters(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), QUERY_RULES)
 
 
+def op4_language_id(spark, sf_dir):
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -20,7 +41,9 @@ def op9_exact_topk(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op8_secret_scans, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op4_language_id, op5_decontamination, op6_quality, op7_packing,
+    op8_secret_scans, op9_exact_topk)}
 
 
 def _op1_sql() -> str:
