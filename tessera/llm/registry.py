@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.common import table
 from tessera.llm.decontam import find_leaks
+from tessera.llm.htmltext import extract_text
 from tessera.llm.langid import identify_language
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
@@ -41,9 +42,13 @@ def op9_exact_topk(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op4_language_id, op5_decontamination, op6_quality, op7_packing,
-    op8_secret_scans, op9_exact_topk)}
+    op8_secret_scans, op9_exact_topk, op10_html_extraction)}
 
 
 def _op1_sql() -> str:
