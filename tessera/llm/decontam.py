@@ -15,6 +15,7 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,8 +136,6 @@ def item_blocks(benchmark: DataFrame, most: int):
 
 def find_items(docs: DataFrame, block: list[tuple[int, str]], rate: float) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
-
         items = [Item(i, t, rate) for i, t in block]
         auto = automaton(items)
         for b in batches:
@@ -171,12 +170,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
 
 
 def holds_item(block: list[tuple[int, str]], rate: float):
-    @F.pandas_udf("boolean")
-    def holds(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
         items = [Item(i, t, rate) for i, t in block]
         auto = automaton(items)
-        return pd.Series([bool(t and search(folded(t), items, auto)) for t in texts], dtype=bool)
+        return pa.array([bool(t and search(folded(t), items, auto)) for t in texts.to_pylist()], pa.bool_())
 
     return holds

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
             score = [shared.value.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -178,10 +177,8 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The documents whose score reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
-        return pd.Series([shared.value.score(t) >= THRESHOLD for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t) >= THRESHOLD for t in texts.to_pylist()], pa.bool_())
 
     return docs.filter(good("text"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.llm.chat import TURN_SCHEMAS, link_calls, turn_calls
 from tessera.llm.common import table
 from tessera.llm.decontam import find_leaks
 from tessera.llm.htmltext import extract_text
 from tessera.llm.langid import identify_language
+from tessera.llm.ngramjoin import similar_documents
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.secrets import scan_secrets
@@ -17,6 +19,15 @@ def op1_url_filters(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), QUERY_RULES)
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_formatting(spark, sf_dir):
+    calls, results = turn_calls(table(spark, sf_dir, "conversations"))
+    return link_calls(calls, results, TURN_SCHEMAS)
+
+
 def op4_language_id(spark, sf_dir):
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -47,8 +58,8 @@ def op10_html_extraction(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filters, op4_language_id, op5_decontamination, op6_quality, op7_packing,
-    op8_secret_scans, op9_exact_topk, op10_html_extraction)}
+    op1_url_filters, op2_ngram_jaccard_join, op3_chat_formatting, op4_language_id,
+    op5_decontamination, op6_quality, op7_packing, op8_secret_scans, op9_exact_topk, op10_html_extraction)}
 
 
 def _op1_sql() -> str:

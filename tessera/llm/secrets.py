@@ -16,6 +16,7 @@ import hashlib
 import re
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +120,6 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, digest of the base spans, and all spans, per document."""
 
     def scan(batches):
-        import pyarrow as pa
-
         auto = keyword_automaton()
         for b in batches:
             rows = []
@@ -142,13 +141,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The documents with their secrets masked and ``n_chars`` renewed where the text changed."""
 
-    @F.pandas_udf("string")
-    def mask(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
         auto = keyword_automaton()
-        return pd.Series([masked(t, f) if t and (f := find_spans(t, auto)) else t for t in texts],
-                         dtype=object)
+        return pa.array([masked(t, f) if t and (f := find_spans(t, auto)) else t
+                         for t in texts.to_pylist()], pa.string())
 
     new = docs.withColumn("_masked", mask("text"))
     changed = ~F.col("_masked").eqNullSafe(F.col("text"))
