@@ -100,4 +100,76 @@ r AS (
   FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLE = {"op1_url_filters": _op1_sql(), "op9_exact_topk": _OP9_SQL}
+_OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3),
+                                      lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g
+  FROM w),
+n AS (SELECT doc_id, len(g) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(g) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+      FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+      WHERE 100 * c >= 75 * (a.n_shingles + b.n_shingles - c)),
+k AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT k.y, r.root FROM r JOIN k ON k.x = r.doc_id)
+SELECT n.doc_id, n.n_shingles, m.component_id
+FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)"""
+
+_OP3_SQL = """
+WITH m AS (
+  SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || ':' || turn END AS own,
+         CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN conv_id || ':' || (turn - 1) END AS before,
+         role IS NOT DISTINCT FROM 'assistant' AS answer
+  FROM conversations),
+c AS (
+  SELECT conv_id, turn, own AS call_id, role AS name, text, len(string_split(trim(text), ' ')) AS words,
+         min(turn) OVER (PARTITION BY conv_id) AS first,
+         '{"text":' || coalesce(to_json(text), 'null') || ',"words":'
+           || coalesce(CAST(len(string_split(trim(text), ' ')) AS VARCHAR), 'null') || '}' AS arguments
+  FROM m WHERE NOT answer),
+v AS (
+  SELECT *, CASE WHEN own_name IS NULL THEN ['unknown tool'] ELSE list_sort(list_filter([
+           CASE WHEN text IS NULL THEN 'text: missing' END,
+           CASE WHEN text = '' THEN 'text: minLength' END,
+           CASE WHEN text IS NULL THEN 'words: missing' END,
+           CASE WHEN words < least THEN 'words: minimum' END], lambda x: x IS NOT NULL)) END AS problems
+  FROM (SELECT *, CASE WHEN name IN ('system', 'user') THEN name END AS own_name,
+               CASE name WHEN 'user' THEN 3 ELSE 1 END AS least,
+               CASE WHEN call_id IS NULL THEN 0 ELSE row_number() OVER (
+                 PARTITION BY conv_id, call_id ORDER BY turn, arguments, name) END AS nth
+        FROM c)),
+r AS (
+  SELECT conv_id, turn AS result_turn, before AS call_id, text AS content,
+         CASE WHEN before IS NULL THEN 0 ELSE row_number() OVER (
+           PARTITION BY conv_id, before ORDER BY turn, text) END AS nth
+  FROM m WHERE answer),
+j AS (
+  SELECT coalesce(v.conv_id, r.conv_id) AS conv_id, v.turn AS call_turn, r.result_turn,
+         coalesce(v.call_id, r.call_id) AS call_id, v.nth, r.nth AS result_nth, v.first, v.name, v.arguments,
+         v.problems, r.content, v.call_id AS own_id,
+         CASE WHEN v.nth IS NULL THEN 'orphan' WHEN v.nth > 1 THEN 'repeated'
+              WHEN len(v.problems) > 0 THEN 'invalid' WHEN r.nth IS NULL THEN 'unanswered'
+              ELSE 'ok' END AS status
+  FROM v FULL JOIN r ON v.conv_id = r.conv_id AND v.call_id = r.call_id AND v.nth = r.nth AND v.nth = 1)
+SELECT conv_id, CASE WHEN nth IS NULL THEN result_turn ELSE call_turn END AS turn, call_id,
+       CASE WHEN own_id IS NULL THEN NULL WHEN first < call_turn THEN 1 ELSE 0 END AS level,
+       result_turn, status, CAST(coalesce(len(problems), 0) AS INT) AS n_problems,
+       '{"call":' || CASE WHEN nth IS NULL THEN 'null' ELSE
+         '{"after":' || CASE WHEN first < call_turn THEN '["' || conv_id || ':' || first || '"]' ELSE '[]' END
+         || ',"arguments":' || arguments || ',"id":' || coalesce(to_json(own_id), 'null')
+         || ',"name":' || coalesce(to_json(name), 'null') || ',"problems":' || to_json(problems)
+         || ',"turn":' || coalesce(CAST(call_turn AS VARCHAR), 'null') || '}' END
+       || ',"result":' || CASE WHEN result_nth IS NULL THEN 'null' ELSE
+         '{"content":' || coalesce(to_json(content), 'null') || ',"turn":'
+         || coalesce(CAST(result_turn AS VARCHAR), 'null') || '}' END
+       || ',"status":"' || status || '"}' AS record
+FROM j"""
+
+ORACLE = {"op1_url_filters": _op1_sql(), "op2_ngram_jaccard_join": _OP2_SQL,
+          "op3_chat_formatting": _OP3_SQL, "op9_exact_topk": _OP9_SQL}
