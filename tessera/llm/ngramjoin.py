@@ -2,19 +2,19 @@
 
 Two documents link when the Jaccard similarity of their sets of word
 shingles reaches a threshold.  Documents with one and the same set are one
-set from the start.  A set's prefix, its rarest shingles, must meet the
-prefix of every similar set, so only sets that share a prefix shingle with
-another set go on.
-
-Those are parted into groups of similar sets (by their least shingle hash,
-in blocks of bounded size), inside which all links are found at once; a
-hub that visits all blocks of one hash ties them together.  What is left
-are links between components.  The token-group matrix tells which groups
-hold the prefix shingles of a set of another component; a group is opened
-only if enough of the set lies in the union of the group's shingles.  Two
-rounds with one scout for each component and shingle join most of what
-belongs together; the last round asks with every set, so that no link
-between components is missed.
+set from the start.  The prefixes of two similar sets, their rarest
+shingles and EXTRA per cent more, share that many shingles, so only sets
+that share so many with others go on.
+
+Those are parted into blocks of bounded size, first by their least shingle
+hash, then by their most shared prefix shingle, and inside a block all
+links are found at once; hubs that visit all blocks of one key tie them
+together.  The second blocks, parted by component where one is large
+there, are the groups.  The token-group matrix tells how much of a set's
+prefix each other group holds; a group is opened only if that, and then
+the share of the set in the union of the group's shingles, is enough.
+Sets that are linked already are not compared again, but no link between
+components is missed.
 
 Edge cases: null or empty texts, and texts without words, have no shingles
 and are linked with nothing; a null doc_id takes part, but names no
@@ -35,9 +35,10 @@ from tessera.llm.shingles import Shingler, set_id
 
 WORDS = 5
 PERCENT = 75
-GROUP = 256       # sets in a group, and queries sent to it at a time
+GROUP = 256       # sets in a block, and queries sent to a group at a time
+LARGE = 8         # sets of one component that are a group of their own in a block
 COMMON = 65_536   # frequent shingles that go last in the order; the order never changes a result
-SCOUTS = 2
+EXTRA = 10        # per cent of a set's shingles that a prefix is longer than it must be
 
 
 # --- inside tasks ------------------------------------------------------------------------------
@@ -135,11 +136,10 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     kept.append(s)
-            rows, none = len(ids), pa.nulls(len(ids), pa.int64())
+            none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(least, pa.int64()), none, none], names=names)
-            del rows
             if kept:
                 token, c = np.unique(np.concatenate(kept), return_counts=True)
                 often = c >= max(4, len(kept) // 500)
@@ -150,6 +150,11 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, sid long, n long, least long, token long, c long")
 
 
+def needed(n, percent: int = EXTRA):
+    """How many prefix shingles a set of size n must share (a number or a column)."""
+    return -(-percent * n // 100) if isinstance(n, int) else F.ceil(n * percent / 100)
+
+
 def prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
     """(token, sid, frequent) of every set's prefix: its rarest shingles, ties by hash."""
     import numpy as np
@@ -168,7 +173,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
-                size = len(s) - -(-percent * len(s) // 100) + 1
+                size = len(s) - -(-percent * len(s) // 100) + needed(len(s))
                 at = np.minimum(np.searchsorted(token, s), max(0, len(token) - 1))
                 often = token[at] == s if len(token) else np.zeros(len(s), bool)
                 light = s[~often][:size]
@@ -199,7 +204,7 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("token")
     light = (rows.filter("not frequent").withColumn("lo", F.min("sid").over(w))
              .withColumn("hi", F.max("sid").over(w)).filter("lo <> hi"))
-    return light.select("token", "sid").unionByName(rows.filter("frequent").select("token", "sid"))
+    return light.select("token", "sid").unionByName(rows.filter("frequent").select("token", "sid")).distinct()
 
 
 def load_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -219,114 +224,110 @@ def load_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
             .mapInArrow(run, "sid long, tokens array<long>"))
 
 
-# --- groups -----------------------------------------------------------------------------------
+# --- blocks and groups -----------------------------------------------------------------------------------
 
-def assign_groups(sets: DataFrame, size: int) -> DataFrame:
-    """sid, group and hub rank: blocks of the sets of one least hash; its two hubs visit each block."""
-    hashes = sets.groupBy("least").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("h0"),
-                                       F.max("sid").alias("h1"))
+def assign_blocks(keys: DataFrame, size: int) -> DataFrame:
+    """sid, block, hub rank and home: blocks of the sets of one key; its two hubs visit each block."""
+    hashes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("h0"),
+                                     F.max("sid").alias("h1"))
     parts = F.ceil(F.col("k") / size).cast("int")
-    rows = sets.join(hashes, "least").select(
-        "sid", "least", "k", "h0", "h1", parts.alias("parts"),
-        F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"))
     hub = F.when(F.col("sid") == F.col("h0"), 0).when(F.col("sid") == F.col("h1"), 1)
-    rows = rows.withColumn("hub", hub).withColumn("home", F.col("part"))
+    rows = keys.join(hashes, "key").select("sid", "key", "k", hub.alias("hub"), parts.alias("parts"),
+                                           F.pmod(F.xxhash64("sid"), parts).cast("int").alias("home"))
     where = F.when(F.col("hub").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)) \
-        .otherwise(F.array("part"))
+        .otherwise(F.array("home"))
     return rows.withColumn("part", F.explode(where)).select(
-        "sid", F.xxhash64("least", "part").alias("gid"), "hub", (F.col("part") == F.col("home")).alias("home"),
+        "sid", F.xxhash64("key", "part").alias("block"), "hub", (F.col("part") == F.col("home")).alias("home"),
         (F.col("k") > 1).alias("more"))
 
 
 def link_inside(members: DataFrame, percent: int) -> DataFrame:
-    """sid, gid, home and root of the members of every group."""
+    """Every member of a block (a) with the root of its component there (b)."""
 
     def run(key, table):
         import pyarrow as pa
 
-        rows = {r["sid"]: r for r in table.select(["sid", "hub", "home"]).to_pylist()}
         tokens = dict(zip(table.column("sid").to_pylist(), read_sets(table.column("tokens"))))
+        rank = dict(zip(table.column("sid").to_pylist(), table.column("hub").to_pylist()))
         ids = sorted(tokens)
-        hubs = {i: rows[i]["hub"] for i in ids if rows[i]["hub"] is not None}
+        hubs = {i: rank[i] for i in ids if rank[i] is not None}
         roots = local_roots(ids, linked([tokens[i] for i in ids], percent), hubs)
-        return pa.table({"sid": ids, "gid": [key[0].as_py()] * len(ids),
-                         "home": [rows[i]["home"] for i in ids], "root": roots})
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(roots, pa.int64())})
+
+    return members.groupBy("block").applyInArrow(run, "a long, b long")
+
 
-    return members.groupBy("gid").applyInArrow(run, "sid long, gid long, home boolean, root long")
+def named_groups(labels: DataFrame) -> DataFrame:
+    """gid and rank of every label: a block's large components are groups of their own, the others one."""
+    size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    here = labels.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("here"))
+    large = F.col("here") >= LARGE
+    return labels.join(here, ["block", "comp"]).join(size, "comp").select(
+        "sid", "n", "comp", F.xxhash64("block", F.when(large, F.col("comp"))).alias("gid"),
+        F.when(large, F.col("size")).otherwise(0).alias("rank"))
 
 
-def open_groups(asked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
-    """Edges between components: a query's and an opened group's, where a member is similar.
+def candidates(tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(sid, gid): sets and the groups of higher rank that hold enough of their prefixes.
+
+    Of two groups the one of lower rank (ties: of the lesser gid) asks the
+    other; groups of none but the set's own component are left out.
+    """
+    rows = tokens.join(groups, "sid")
+    spread = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    rows = rows.join(spread.select("token"), "token")
+    asked = rows.groupBy("token", F.col("gid").alias("other"), F.col("rank").alias("higher")).agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        F.min("n").alias("least"), F.max("n").alias("most"))
+    up = (F.col("rank") < F.col("higher")) | ((F.col("rank") == F.col("higher")) & (F.col("gid") < F.col("other")))
+    foreign = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
+    alike = ((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n")))
+    held = (rows.join(asked, "token").filter(up & foreign & alike).groupBy("sid", "n", "other")
+            .agg(F.count(F.lit(1)).alias("c"), F.min("least").alias("least")))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))  # of the members that may be similar
+    return held.filter(F.col("c") >= needed(F.least(F.col("n"), smallest))).select("sid", F.col("other").alias("gid"))
+
+
+def open_groups(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
+    """Edges between components: a query's and those of similar members of an opened group.
 
     ``asked`` has (sid, gid); many queries of one group go to it in parts.
     """
     count = asked.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
-    parts = F.ceil(F.col("k") / size).cast("int")
+    parts = F.ceil(F.col("k") / size)
     queries = asked.join(count, "gid").select(
         "sid", "gid", F.pmod(F.xxhash64("sid"), parts).alias("part"), F.lit(True).alias("query"))
-    members = labels.join(count, "gid").select(
-        "sid", "gid", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(False).alias("query"))
-    rows = queries.unionByName(members.select("sid", "gid", F.col("part").cast("long"), "query")) \
-        .join(sets, "sid")
+    members = groups.join(count, "gid").select(
+        "sid", "gid", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"),
+        F.lit(False).alias("query"))
+    rows = queries.unionByName(members).join(groups.select("sid", "comp"), "sid").join(sets, "sid")
 
     def run(key, table):
         import numpy as np
         import pyarrow as pa
 
         tokens = read_sets(table.column("tokens"))
-        asks = table.column("query").to_pylist()
-        ids = table.column("sid").to_pylist()
+        asks, comp = table.column("query").to_pylist(), table.column("comp").to_pylist()
         inside = [i for i, q in enumerate(asks) if not q]
         union = np.unique(np.concatenate([tokens[i] for i in inside] or [np.zeros(0, np.int64)]))
         # at least this share of a set must lie in the group's union
         queries = [i for i, q in enumerate(asks) if q and 100 * np.isin(
             tokens[i], union, assume_unique=True).sum() >= percent * len(tokens[i])]
-        found = []
+        found = set()
         if queries and inside:
             links = linked([tokens[i] for i in queries + inside], percent)[:len(queries), len(queries):]
-            found = [(ids[q], ids[inside[int(row.argmax())]]) for q, row in zip(queries, links) if row.any()]
+            found = {(comp[queries[q]], comp[inside[m]]) for q, m in np.argwhere(links)}
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()),
                          "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("gid", "part").applyInArrow(run, "a long, b long")
-
-
-def candidates(tokens: DataFrame, labels: DataFrame, scouts: int | None) -> DataFrame:
-    """(sid, gid): sets and the groups of other components that hold one of their prefix shingles.
-
-    The smaller component asks the larger one (ties: the greater name asks).
-    With ``scouts`` only one set of each component and shingle asks, and
-    only one group of each shingle is asked.
-    """
-    big = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    rows = tokens.join(labels.join(big, "comp").select("sid", "gid", "comp", "size"), "sid")
-    order = F.struct("size", -F.hash("comp"), "comp")
-    rows = rows.select("token", "sid", "gid", order.alias("o"))
-    spread = rows.groupBy("token").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo <> hi")
-    rows = rows.join(spread, "token")
-    if scouts is not None:
-        pick = F.struct(F.hash("sid", F.lit(scouts)), "sid", "gid")
-        one = rows.groupBy("token", "o", "hi").agg(F.min(pick).alias("p"))
-        asked = one.filter("o = hi").select("token", F.col("p.gid").alias("gid"))
-        asks = one.filter("o <> hi").select("token", F.col("p.sid").alias("sid"))
-        return asks.join(asked, "token").select("sid", "gid").distinct()
-    asks = rows.filter("o <> hi").select("token", "sid", "o")
-    asked = rows.filter("o <> lo").select("token", "gid", F.col("o").alias("to")).distinct()
-    return asks.join(asked, "token").filter("o < to").select("sid", "gid").distinct()
+    return rows.groupBy("gid", "part").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def renamed(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels after the components at the ends of ``edges`` have become one."""
     new = components(edges).withColumnRenamed("node", "comp")
-    return labels.join(new, "comp", "left").select(
-        "sid", "gid", F.coalesce("component", "comp").alias("comp"))
-
-
-def component_edges(links: DataFrame, labels: DataFrame) -> DataFrame:
-    name = labels.select("sid", "comp")
-    return (links.join(name.select(F.col("sid").alias("a"), F.col("comp").alias("x")), "a")
-            .join(name.select(F.col("sid").alias("b"), F.col("comp").alias("y")), "b")
-            .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    return labels.join(new, "comp", "left").withColumn("comp", F.coalesce("component", "comp")) \
+        .select(*labels.columns)
 
 
 def described(docs: DataFrame, words: int, percent: int, group: int) -> DataFrame:
@@ -338,26 +339,28 @@ def described(docs: DataFrame, words: int, percent: int, group: int) -> DataFram
         seen.filter("token is not null").groupBy("token").agg(F.sum("c").alias("c"))
         .orderBy(F.desc("c"), "token").limit(COMMON).orderBy("c", "token").select("token").collect())}
     tokens = stored(shared_tokens(prefixes(docs, words, percent, common)), "tokens")
-    # one document for each set that shares a prefix shingle
-    one = rows.filter("sid is not null").groupBy("sid", "least").agg(F.min(F.struct("th", "doc_id")).alias("d"))
-    found = stored(one.join(tokens.select("sid").distinct(), "sid")
-                   .select("sid", "least", "d.th", "d.doc_id"), "found")
+    # one document for each set that shares enough of its prefix with others
+    one = rows.filter("sid is not null").groupBy("sid", "least", "n").agg(F.min(F.struct("th", "doc_id")).alias("d"))
+    shares = tokens.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
+    found = stored(one.join(shares, "sid").filter(F.col("c") >= needed(F.ceil(F.col("n") * percent / 100)))
+                   .select("sid", "least", "n", "d.th", "d.doc_id"), "found")
+    tokens = stored(tokens.join(found.select("sid"), "sid"), "tokens")
     sets = stored(load_sets(docs, found, words).dropDuplicates(["sid"]), "shingles")
-    groups = stored(assign_groups(found.select("sid", "least"), group), "groups")
-    inside = stored(link_inside(groups.filter("more").join(sets, "sid"), percent), "inside")
-    alone = groups.filter("not more").select("sid", "gid", F.col("sid").alias("comp"))
-    # the parts of one group that are no component together are groups of their own
-    labels = inside.filter("home").select("sid", "gid", F.col("root").alias("comp")).unionByName(alone)
-    visits = inside.select(F.col("sid").alias("a"), F.col("root").alias("b")).filter("a <> b")
-    hubs = visits.join(inside.filter("not home").select(F.col("sid").alias("a")).distinct(), "a", "left_semi")
-    labels = labels.withColumn("gid", F.xxhash64("gid", "comp"))
-    labels = stored(renamed(labels, component_edges(hubs, labels)), "labels")
-    for turn in [*range(SCOUTS), None]:
-        links = stored(open_groups(stored(candidates(tokens, labels, turn), "asked"), labels, sets,
-                                   percent, group), "links")
-        if links.isEmpty():
-            continue
-        labels = stored(renamed(labels, component_edges(links, labels)), "labels")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    top = (tokens.join(held, "token").groupBy("sid").agg(F.max(F.struct("df", "token")).alias("m"))
+           .select("sid", F.col("m.token").alias("top")))
+    links = None
+    for keys in (found.select("sid", F.col("least").alias("key")), top.select("sid", F.col("top").alias("key"))):
+        blocks = stored(assign_blocks(keys, group), "blocks")
+        inside = stored(link_inside(blocks.filter("more").join(sets, "sid"), percent), "inside")
+        own = inside.filter("a <> b")
+        links = own if links is None else links.unionByName(own)
+    labels = blocks.filter("home").select("sid", "block").join(found.select("sid", "n"), "sid") \
+        .withColumn("comp", F.col("sid"))
+    labels = stored(renamed(labels, links), "labels")
+    groups = stored(named_groups(labels), "groups")
+    asked = stored(candidates(tokens, groups, percent), "asked")
+    labels = stored(renamed(labels, stored(open_groups(asked, groups, sets, percent, group), "links")), "labels")
     return rows.select("doc_id", "th", "sid", "n").join(labels.select("sid", "comp"), "sid", "left") \
         .select("doc_id", "th", "n", F.coalesce("comp", "sid").alias("comp"))
 
