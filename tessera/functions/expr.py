@@ -24,11 +24,12 @@ SCENE_COLUMNS = ["B02", "B03", "B04", "B05", "NDVI", "cloud", "adj_cloud", "clou
 TRAIN_COLUMNS = ["B02", "B03", "B04", "B05", "NDVI", "X", "Y", "DOY", "PID"]
 DEFAULT_DOYS = [171, 179, 187, 195, 203, 211, 219]
 
-# Portable 31-bit linear congruential hash: the same integer formula runs in
-# Spark and DuckDB, so hash-driven choices can be oracle-checked.
-LCG_A = 1103515245
-LCG_C = 12345
-LCG_M = 2147483648
+# Portable 32-bit mixer: the same integer formula runs in Spark and DuckDB, so
+# hash-driven choices can be oracle-checked.  Every product stays below 2^63.
+MIX_W = 1 << 32
+MIX_M = 73244475
+MIX_STREAM = 2654435769
+MIX_HIGH = 1540483477
 
 
 def col_(c) -> Column:
@@ -49,23 +50,69 @@ def any_null(cols) -> Column:
     return any_of([col_(c).isNull() for c in cols])
 
 
-def lcg(x, seed: int = 0) -> Column:
-    """Portable hash in [0, 2^31): two LCG steps over (x mod 2^31) + seed.
+def mix(x, seed=0, stream: int = 0) -> Column:
+    """Portable hash in [0, 2^32) of all 64 bits of ``x``.
 
-    Every intermediate stays below 2^62, so ANSI overflow cannot fire.
+    ``seed`` may be a column below 2^32; choices that must be independent
+    (columns, bands, rounds) take a ``stream`` number each.
     """
     x = col_(x).cast("long")
-    h = F.pmod(x, F.lit(LCG_M)) + F.lit(seed % LCG_M)
-    h = F.pmod(h * F.lit(LCG_A) + F.lit(LCG_C), F.lit(LCG_M))
-    return F.pmod(h * F.lit(LCG_A) + F.lit(LCG_C), F.lit(LCG_M))
+    low = F.pmod(x, F.lit(MIX_W))
+    high = F.pmod(F.shiftright(x, 32), F.lit(MIX_W))
+    seed = F.lit(seed % MIX_W).cast("long") if isinstance(seed, int) else seed
+    h = F.pmod(low + F.pmod(high * F.lit(MIX_HIGH), F.lit(MIX_W)) + seed
+               + F.lit(stream * MIX_STREAM % MIX_W), F.lit(MIX_W))
+    for _ in range(2):
+        h = F.pmod(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(MIX_M), F.lit(MIX_W))
+    return h.bitwiseXOR(F.shiftright(h, 16))
 
 
-def lcg_sql(expr: str, seed: int = 0) -> str:
-    """DuckDB text of :func:`lcg` for oracle queries."""
-    m, a, c = LCG_M, LCG_A, LCG_C
-    h = f"((CAST({expr} AS BIGINT) % {m} + {m}) % {m} + {seed % m})"
-    h = f"(({h} * {a} + {c}) % {m})"
-    return f"(({h} * {a} + {c}) % {m})"
+def mix_sql(expr: str, seed: int | str = 0, stream: int = 0) -> str:
+    """DuckDB text of :func:`mix`."""
+    w = MIX_W
+    x = f"CAST({expr} AS BIGINT)"
+    seed = str(seed % w) if isinstance(seed, int) else f"({seed})"
+    low, high = f"(({x} % {w} + {w}) % {w})", f"((({x} >> 32) % {w} + {w}) % {w})"
+    h = f"(({low} + ({high} * {MIX_HIGH}) % {w} + {seed} + {stream * MIX_STREAM % w}) % {w})"
+    for _ in range(2):
+        h = f"((xor({h}, {h} >> 16) * {MIX_M}) % {w})"
+    return f"xor({h}, {h} >> 16)"
+
+
+def mix_keys(cols, seed: int = 0, stream: int = 0) -> Column:
+    """Hash of several key columns, mixed one by one."""
+    h = mix(cols[0], seed, stream)
+    for c in cols[1:]:
+        h = mix(c, h, stream)
+    return h
+
+
+def mix_keys_sql(cols, seed: int = 0, stream: int = 0) -> str:
+    h = mix_sql(cols[0], seed, stream)
+    for c in cols[1:]:
+        h = mix_sql(c, h, stream)
+    return h
+
+
+def pick(x, n, seed=0, stream: int = 0) -> Column:
+    """Even choice in [0, n) by the high bits of the hash (n below 2^31)."""
+    return F.shiftright(mix(x, seed, stream) * n, 32)
+
+
+def pick_sql(expr: str, n, seed: int = 0, stream: int = 0) -> str:
+    return f"(({mix_sql(expr, seed, stream)} * {n}) >> 32)"
+
+
+def uniform(x, seed=0, stream: int = 0) -> Column:
+    """Double in [0, 1) of 53 hash bits."""
+    bits = F.shiftright(mix(x, seed, 2 * stream), 5) * F.lit(1 << 26) + F.shiftright(
+        mix(x, seed, 2 * stream + 1), 6)
+    return bits.cast("double") / F.lit(float(1 << 53))
+
+
+def uniform_sql(expr: str, seed: int = 0, stream: int = 0) -> str:
+    return (f"(CAST(({mix_sql(expr, seed, 2 * stream)} >> 5) * {1 << 26} + "
+            f"({mix_sql(expr, seed, 2 * stream + 1)} >> 6) AS DOUBLE) / CAST({1 << 53} AS DOUBLE))")
 
 
 def sentinel_null(c, sentinel: int = MISSING_SENTINEL) -> Column:
@@ -130,6 +177,30 @@ def coerce_numeric(c) -> Column:
     return F.when(c.rlike(NUMERIC_TEXT), ws_trim(c).try_cast("double"))
 
 
+def float_text(c) -> Column:
+    """Doubles as Python prints them: positional from 1e-4 to below 1e16, else ``d.de-05``."""
+    c = col_(c).cast("double")
+    t = c.cast("string")
+    sign = F.when(t.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_extract(t, r"^-?(\d)\.(\d+)E", 1)
+    rest = F.regexp_replace(F.regexp_extract(t, r"^-?\d\.(\d+)E", 1), "^0$", "")
+    e = F.regexp_extract(t, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.concat(mantissa, rest)
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    padded = F.rpad(digits, F.greatest(F.length(digits), e + 1), "0")
+    fraction = F.substring(padded, e + 2, F.lit(400))
+    large = F.concat(sign, F.substring(padded, F.lit(1), e + 1), F.lit("."),
+                     F.when(fraction == "", "0").otherwise(fraction))
+    science = F.concat(sign, mantissa, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)),
+                       F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    return (F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf")
+            .when(e.isNull(), t).when((e < 0) & (e >= -4), small).when((e >= 0) & (e < 16), large)
+            .otherwise(science))
+
+
 def value_text(c) -> Column:
-    """Render a cell for the row text: null prints ``None``."""
-    return F.coalesce(ws_trim(col_(c).cast("string")), F.lit("None"))
+    """Render a cell for the row text: null prints ``None``, doubles as Python prints them."""
+    kind = F.typeof(col_(c))
+    plain = ws_trim(col_(c).cast("string"))
+    text = F.when(kind.isin("double", "float"), float_text(col_(c).try_cast("double"))).otherwise(plain)
+    return F.coalesce(text, F.lit("None"))

@@ -39,7 +39,7 @@ def context_table(train: DataFrame, ctx, bands, method: str = "median", i: int =
         # All bands in one pass: unpivot to (ctx, band, value), count, take the
         # argmax per (ctx, band), pivot the bands back to columns.
         types = dict(train.dtypes)
-        vtype = types[bands[0]]
+        vtype = types[bands[0]] if len({types[b] for b in bands}) == 1 else "double"
         long = train.select(*ctx, *[F.col(b).cast(vtype).alias(b) for b in bands]).unpivot(
             ctx, list(bands), "_band", "_value").filter(F.col("_value").isNotNull())
         counts = long.groupBy(*ctx, "_band", "_value").agg(F.count(F.lit(1)).alias("_n"))

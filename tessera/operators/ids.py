@@ -16,23 +16,6 @@ from pyspark.sql import functions as F
 
 from tessera.session import reliable_checkpoint
 
-# Bytes per key row assumed for the broadcast size check (key columns plus
-# hash-table overhead, measured ~110 B/row for (int, int, long) keys).
-KEY_ROW_BYTES = 128
-# Hard ceiling on broadcast key tables whatever the threshold says.
-BROADCAST_KEY_ROWS = 2_000_000
-
-
-def broadcast_ok(spark, n_rows: int, row_bytes: int = KEY_ROW_BYTES) -> bool:
-    """True when an n-row key table fits the session's broadcast threshold."""
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit_b = int(str(limit).lower().rstrip("b"))
-    except ValueError:
-        limit_b = 10 * 1024 * 1024
-    return 0 <= n_rows <= BROADCAST_KEY_ROWS and limit_b > 0 and n_rows * row_bytes <= limit_b
-
-
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -75,20 +58,14 @@ def number_sorted(keys: DataFrame, order: list[str], out: str, n: int | None = N
     return numbered, int(total)
 
 
-def join_keys(df: DataFrame, numbered: DataFrame, keys: list[str], n_keys: int) -> DataFrame:
-    """Attach numbers back to ``df``; broadcast only below a checked row count."""
-    right = F.broadcast(numbered) if broadcast_ok(df.sparkSession, n_keys) else numbered
-    return df.join(right, keys, "inner")
-
-
 def dense_ids(df: DataFrame, keys: list[str], out: str = "PID", n: int | None = None) -> DataFrame:
-    """0-based dense rank of the sorted distinct ``keys`` over the whole table.
+    """0-based dense rank of the sorted distinct ``keys``; null where a key is null.
 
     The distinct step aggregates map-side first, so a hot key costs one row
     per map task before the shuffle.
     """
-    numbered, total = number_sorted(df.select(*keys).distinct(), keys, out, n)
-    return join_keys(df, numbered, keys, total)
+    numbered, _ = number_sorted(df.select(*keys).dropna().distinct(), keys, out, n)
+    return df.join(numbered, keys, "left")
 
 
 def positions(df: DataFrame, order: list[str], out: str = "row_id", n: int | None = None) -> DataFrame:

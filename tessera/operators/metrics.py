@@ -122,7 +122,7 @@ def l1_l2(truth: DataFrame, imputed: DataFrame, keys=("PID", "DOY"), bands=("B02
 
 
 def band_histogram(df: DataFrame, col: str, bins: int = 256) -> DataFrame:
-    """Histogram with ``bins`` equal bins between min and max; last bin closed.
+    """Histogram with ``bins`` equal bins between min and max; last bin closed; empty bins count 0.
 
     Min and max are scalar subqueries; the bin is computed per row and
     counted with one grouped aggregate.
@@ -133,4 +133,6 @@ def band_histogram(df: DataFrame, col: str, bins: int = 256) -> DataFrame:
     v = F.col(col).cast("double")
     raw = F.floor((v - mn) * F.lit(float(bins)) / F.when(mx > mn, mx - mn).otherwise(F.lit(1.0)))
     b = F.least(raw.cast("int"), F.lit(bins - 1))
-    return df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))

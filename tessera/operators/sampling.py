@@ -1,47 +1,55 @@
 """Deterministic sampling, splits, row selection and shuffles.
 
 Randomness is a hash of stable keys and a seed (never ``rand()``), so a
-result does not depend on partitioning or task retries.  Exact cuts by
-rank use the range-partitioned numbering of ``operators.ids`` instead of
-an unpartitioned window.
+result does not depend on partitioning or task retries.  An exact cut by
+hash rank counts the hashes by their high bits, finds the bucket that
+holds the rank, ranks only that bucket and filters by the threshold: no
+sort, copy or numbering of the table.
 """
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import lcg
+from tessera.functions.expr import mix, mix_keys
 from tessera.operators.ids import positions
 
-
-def split_key(keys: list[str]):
-    """One long per row from a (PID, DOY)-style key for hashing."""
-    if len(keys) == 1:
-        return F.col(keys[0]).cast("long")
-    return F.col(keys[0]).cast("long") * F.lit(1000) + F.col(keys[1]).cast("long")
+BUCKET_SHIFT = 16  # 2^16 buckets of the 32-bit hash
+
+
+def rank_below(df: DataFrame, h: Column, keys: list[str], cut: int) -> Column:
+    """Condition that holds for the ``cut`` first rows in order of (hash, keys)."""
+    if cut <= 0:
+        return F.lit(False)
+    bucket = F.shiftright(h, BUCKET_SHIFT)
+    counts = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())
+    before, place = 0, None
+    for b, n in counts:
+        if before + n >= cut:
+            place = b
+            break
+        before += n
+    if place is None:
+        return F.lit(True)
+    first = (df.filter(bucket == place).select(h.alias("_h"), *keys).orderBy("_h", *keys).limit(cut - before)
+             .agg(F.max(F.struct("_h", *keys)).alias("m")).first()["m"])
+    types = dict(df.dtypes)
+    last = F.struct(F.lit(first["_h"]).cast("long"), *[F.lit(first[k]).cast(types[k]) for k in keys])
+    return F.struct(h.cast("long"), *[F.col(k) for k in keys]) <= last
 
 
 def exact_split(df: DataFrame, keys: list[str], test_frac: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train/test split with exactly ceil(f * n) test rows.
+    """Train/test split with exactly ceil(f * n) test rows, the first in order of (hash, keys).
 
-    Rows are ranked by (hash(key, seed), key) with the distributed numbering;
-    the first ceil(f * n) ranks are the test set.
+    ``keys`` are unique and not null.
     """
-    h = df.withColumn("_h", lcg(split_key(keys), seed))
-    ranked = positions(h, ["_h", *keys], "_rank")
-    n = ranked.agg(F.count(F.lit(1))).scalar()
-    cut = F.ceil(F.lit(float(test_frac)) * n)
-    tagged = ranked.withColumn("_test", F.col("_rank") < cut).drop("_h", "_rank")
-    return tagged.filter(~F.col("_test")).drop("_test"), tagged.filter("_test").drop("_test")
-
-
-def approx_split(df: DataFrame, test_frac: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Approximate split (``randomSplit``) when an exact size is not needed."""
-    train, test = df.randomSplit([1.0 - test_frac, test_frac], seed)
-    return train, test
+    h = mix_keys(keys, seed)
+    n = df.count()
+    test = rank_below(df, h, keys, int(-(-Fraction(str(test_frac)) * n // 1)))
+    return df.filter(~test), df.filter(test)
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
@@ -70,21 +78,19 @@ def head_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def balanced_sample(df: DataFrame, cls: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N = min(n, n0, n1); N // 2 rows of each class, picked by hash rank.
+def balanced_sample(df: DataFrame, cls: str, key: str, n: int, seed: int = 42, classes=(0, 1)) -> DataFrame:
+    """N = min(n, n0, n1, ...); N // 2 rows of each class, the first in order of (hash, key).
 
-    The rank inside a class is a global position over (class, hash, key)
-    minus the class offset (a table with one row per class), so no class is
-    ever gathered into one task.
+    A class without rows counts 0, so the sample is empty then.
     """
-    h = df.withColumn("_h", lcg(F.col(key), seed))
-    ranked = positions(h, [cls, "_h", key], "_pos")
-    counts = ranked.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
-    n0 = counts.agg(F.min("_n")).scalar()
-    per_class = F.floor(F.least(F.lit(n), n0) / F.lit(2))
-    # one row per class: no hint, AQE broadcasts it once its runtime size is known
-    out = ranked.join(counts.select(cls, "_first"), cls)
-    return out.filter(F.col("_pos") - F.col("_first") < per_class).drop("_h", "_pos", "_first")
+    h = mix(F.col(key), seed)
+    have = {r[0]: r[1] for r in df.filter(F.col(cls).isin(*classes)).groupBy(cls).count().collect()}
+    per_class = min(n, *(have.get(c, 0) for c in classes)) // 2
+    keep = F.lit(False)
+    for c in classes:
+        own = F.col(cls) == F.lit(c)
+        keep = keep | (own & rank_below(df.filter(own), h, [key], per_class))
+    return df.filter(keep)
 
 
 def anchor_series(df: DataFrame, clear: DataFrame, doy: int, seed: int = 42) -> DataFrame:
@@ -93,15 +99,6 @@ def anchor_series(df: DataFrame, clear: DataFrame, doy: int, seed: int = 42) ->
     The anchor is the pixel with the smallest hash (ties by PID): one
     scalar subquery, then a filter on the whole table.
     """
-    cand = clear.filter(F.col("DOY") == doy).select("PID", lcg(F.col("PID"), seed).alias("_h"))
+    cand = clear.filter(F.col("DOY") == doy).select("PID", mix(F.col("PID"), seed).alias("_h"))
     anchor = cand.agg(F.min(F.struct("_h", "PID")).alias("m")).select("m.PID").scalar()
     return df.filter(F.col("PID") == anchor)
-
-
-def one_random_row(df: DataFrame, cond, key: str, seed: int = 42) -> DataFrame:
-    """One seeded random row meeting a predicate (hash order, limit 1)."""
-    return df.filter(cond).orderBy(lcg(F.col(key), seed), key).limit(1)
-
-
-def test_size(n: int, frac: float) -> int:
-    return int(math.ceil(frac * n))

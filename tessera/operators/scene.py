@@ -70,11 +70,18 @@ def project(df: DataFrame, cols: list[str] = SCENE_COLUMNS) -> DataFrame:
 
 def project_cast(df: DataFrame, cols: list[str] = TRAIN_COLUMNS, dtype: str = "int",
                  keep: tuple[str, ...] = ("NDVI",)) -> DataFrame:
-    """Project and cast each column; ``try_cast`` keeps what cannot be cast as null.
+    """Project and cast each column; a column with a value that cannot be cast stays as it is.
 
     Columns in ``keep`` are not cast (an integer NDVI would truncate to 0);
-    pass ``keep=()`` to mirror that truncation.
+    pass ``keep=()`` to mirror that truncation.  Only text columns can fail:
+    they are looked through once.
     """
+    types = dict(df.dtypes)
+    texts = [c for c in cols if c not in keep and types.get(c) == "string"]
+    if texts:
+        fails = df.agg(*[F.max(F.col(c).isNotNull() & F.col(c).try_cast(dtype).isNull()).alias(c)
+                         for c in texts]).first()
+        keep = (*keep, *[c for c in texts if fails[c]])
     return df.select(*[F.col(c) if c in keep else F.col(c).try_cast(dtype).alias(c) for c in cols])
 
 

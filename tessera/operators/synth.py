@@ -10,18 +10,17 @@ a cross join, with a handful of candidates per draw.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import LCG_M, lcg
-from tessera.operators.ids import cumulative_sum, number_sorted
+from tessera.functions.expr import pick, uniform
+from tessera.operators.ids import cumulative_sum, number_sorted, positions
+from tessera.session import reliable_checkpoint
 
 BUCKETS = 1024
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """Hash-uniform double in [0, 1) from a long key."""
-    return lcg(key, seed).cast("double") / F.lit(float(LCG_M))
+WEIGHT_UNIT = 1 << 20
 
 
 def cdf_table(counts: DataFrame, value: str, weight: str = "n", group: list[str] | None = None,
@@ -29,11 +28,12 @@ def cdf_table(counts: DataFrame, value: str, weight: str = "n", group: list[str]
     """(group..., value, w, lo, hi): weights ``n ** (1/T)`` normalised per group.
 
     Values are ordered by weight descending then value, as a share table.
-    With T = 1 the weights are the counts themselves (exact integer sums).
+    Weights are whole numbers (the counts, or multiples of 2^-20), so each
+    interval starts exactly where the one before it ends.
     """
     group = group or []
-    w = F.col(weight).cast("long") if temperature == 1.0 else F.pow(F.col(weight).cast("double"),
-                                                                   1.0 / temperature)
+    w = F.col(weight).cast("long") if temperature == 1.0 else F.greatest(
+        F.lit(1), F.round(F.pow(F.col(weight).cast("double"), 1.0 / temperature) * WEIGHT_UNIT).cast("long"))
     t = counts.select(*group, value, w.alias("_w"), (-F.col(weight)).alias("_neg"))
     cum = cumulative_sum(t, ["_neg", value], "_w", "_cum", group=group)
     tot = cum.groupBy(*group).agg(F.sum("_w").alias("_tot")) if group else None
@@ -76,7 +76,7 @@ def start_continuous(rows: DataFrame, key: str, col: str, values: DataFrame, see
                      decimals: int = 5) -> DataFrame:
     """Resample observed values uniformly (no noise); text ``"col is 1.23450,"``."""
     numbered, n = number_sorted(values.select(col, "_k"), [col, "_k"], "_i")
-    r = rows.select(key, F.pmod(lcg(F.col(key), seed), F.lit(max(n, 1))).alias("_i"))
+    r = rows.select(key, F.floor(uniform(F.col(key), seed) * F.lit(float(n))).alias("_i"))
     j = r.join(numbered.select("_i", col), "_i")
     return j.select(key, F.concat(F.lit(col + " is "), F.format_string(f"%.{decimals}f", F.col(col)),
                                   F.lit(",")).alias("start"))
@@ -85,8 +85,8 @@ def start_continuous(rows: DataFrame, key: str, col: str, values: DataFrame, see
 def start_random(rows: DataFrame, key: str, cols: list[str], seed: int = 42) -> DataFrame:
     """A random column name as the start: ``"col is "``."""
     names = F.array(*[F.lit(c) for c in cols])
-    pick = F.element_at(names, (F.pmod(lcg(F.col(key), seed), F.lit(len(cols))) + 1).cast("int"))
-    return rows.select(key, F.concat(pick, F.lit(" is ")).alias("start"))
+    name = F.element_at(names, (pick(F.col(key), len(cols), seed) + 1).cast("int"))
+    return rows.select(key, F.concat(name, F.lit(" is ")).alias("start"))
 
 
 def choose_sampler(col: str | None = None, dist=None):
@@ -108,14 +108,15 @@ def choose_sampler(col: str | None = None, dist=None):
 # ------------------------------------------------------------------ K5 temperature draw
 
 def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
-                contexts=(("DOY",), ()), temperature: float = 1.0, seed: int = 42) -> DataFrame:
+                contexts=(("DOY",), ()), temperature: float = 1.0, seed=42, stream: int = 1) -> DataFrame:
     """Fill missing cells by sampling from context counts with weights n^(1/T).
 
     All bands go through one pass per context: the training table and the
     missing cells are unpivoted to (context, band, value), one CDF table per
     context is grouped by (context, band), and one bucketed range join draws
     every missing cell.  The longest context with data wins; cells are
-    pivoted back to columns, keyed by ``key``.
+    pivoted back to columns, keyed by ``key``.  Band i draws from hash
+    stream ``stream + i``, so bands are independent of each other.
     """
     ctx_cols = sorted({c for ctx in contexts for c in ctx})
     long_train = (train.select(*ctx_cols, *[F.col(b).cast("double").alias(b) for b in bands])
@@ -125,7 +126,8 @@ def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
     cells = (rows.select(key, *ctx_cols, cell.alias("_c"))
              .select(key, *ctx_cols, "_c._band", "_c._bi", "_c._orig")
              .filter(F.col("_orig").isNull())
-             .withColumn("_u", uniform(F.col(key) * 16 + F.col("_bi"), seed)))
+             .withColumn("_u", F.coalesce(*[F.when(F.col("_bi") == i, uniform(F.col(key), seed, stream + i))
+                                            for i in range(len(bands))])))
     drawn = cells.select(key, "_band")
     for ci, ctx in enumerate(contexts):
         group = [*ctx, "_band"]
@@ -145,24 +147,34 @@ def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
 
 def synthesize(spark_rows: DataFrame, key: str, train: DataFrame, start_col: str, bands: list[str],
                n: int, seed: int = 42, max_rounds: int = 14) -> DataFrame:
-    """Draw ``n`` rows: the start column from its marginal, then every band
-    given the start column (back-off to the global counts); bounded rounds."""
-    from tessera.session import reliable_checkpoint
+    """Draw exactly ``n`` rows: the start column from its marginal, then each band
+    given the start column and the bands drawn before it (back-off: the start
+    column, then all rows).
 
-    counts = train.groupBy(F.col(start_col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    cdf = cdf_table(counts, "value")
-    got, total, fruitless = None, 0, 0
-    for rnd in range(max_rounds):
-        r = spark_rows.select(key, uniform(F.col(key), seed + 1000 * rnd).alias("_u"))
-        rows = draw(r, cdf, "_u", "value", start_col).drop("_u")
-        rows = rows.select(key, start_col, *[F.lit(None).cast("double").alias(b) for b in bands])
-        rows = impute_draw(rows, train, key, bands, ((start_col,), ()), 1.0, seed + 1000 * rnd)
-        rows = rows.dropna(how="any").withColumn("_round", F.lit(rnd))
-        rows = reliable_checkpoint(rows)
+    A round draws for every key as often as rows are missing; ``max_rounds``
+    rounds in a row without a complete row raise an error.
+    """
+    keys = reliable_checkpoint(spark_rows.select(key))
+    have = keys.count()
+    if n and not have:
+        raise ValueError("no keys to draw for")
+    cdf = cdf_table(train.groupBy(F.col(start_col).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value")
+    got, total, fruitless, rnd = None, 0, 0, 0
+    while total < n or got is None:
+        copies = max(1, -(-(n - total) // max(1, have)))
+        r = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"))
+        r = r.withColumn("_draw", F.xxhash64(key, "_copy", F.lit(rnd)))
+        rows = draw(r.withColumn("_u", uniform(F.col("_draw"), seed)), cdf, "_u", "value", start_col)
+        rows = rows.select(key, "_copy", "_draw", start_col, *[F.lit(None).cast("double").alias(b) for b in bands])
+        for i, b in enumerate(bands):
+            contexts = dict.fromkeys([(start_col, *bands[:i]), (start_col,), ()])
+            rows = impute_draw(rows, train, "_draw", [b], tuple(contexts), 1.0, seed, i + 1)
+        rows = reliable_checkpoint(rows.dropna(how="any").drop("_draw").withColumn("_round", F.lit(rnd)))
         k = rows.count()
         got = rows if got is None else got.unionByName(rows)
-        total += k
+        total, rnd = total + k, rnd + 1
         fruitless = fruitless + 1 if k == 0 else 0
-        if total >= n or fruitless >= max_rounds:
-            break
-    return got.orderBy("_round", key).limit(n).drop("_round")
+        if fruitless >= max_rounds:
+            raise RuntimeError(f"{total} of {n} rows after {rnd} rounds, the last {fruitless} without any")
+    numbered = positions(got, ["_round", "_copy", key], "_row")
+    return numbered.filter(F.col("_row") < n).drop("_round", "_copy", "_row")

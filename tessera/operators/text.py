@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import all_of, coerce_numeric, lcg, value_text, ws_trim
+from tessera.functions.expr import all_of, coerce_numeric, mix, pick, value_text, ws_trim
 
 # Fixed values of the text format.
 SEP = ", "
@@ -27,7 +27,7 @@ def _part(c: str) -> Column:
 
 def _shuffled(cols: list[str], row_id: Column, seed: int, offset: int = 0) -> Column:
     parts = F.array(*[
-        F.struct(lcg(row_id * F.lit(16) + F.lit(i + offset), seed).alias("h"), _part(c).alias("t"))
+        F.struct(mix(row_id, seed, i + offset).alias("h"), _part(c).alias("t"))
         for i, c in enumerate(cols)
     ])
     # sort_array + struct-field projection stay in generated code (no lambda)
@@ -95,10 +95,10 @@ def impute_prompt(df: DataFrame, cols: list[str], id_col: str = "row_id", seed:
     names = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])
     missing = F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
     n = F.size(missing)
-    pick = F.when(n > 0, F.element_at(missing, (F.pmod(lcg(F.col(id_col), seed), n) + 1).cast("int")))
+    one = F.when(n > 0, F.element_at(missing, (pick(F.col(id_col), n, seed) + 1).cast("int")))
     prompt = F.concat(
         F.when(F.col("enc") != "", F.concat(F.col("enc"), F.lit(SEP))).otherwise(F.lit("")),
-        F.when(n > 0, F.concat(pick, F.lit(" is"))).otherwise(F.lit("")),
+        F.when(n > 0, F.concat(one, F.lit(" is"))).otherwise(F.lit("")),
     )
     return enc.select(id_col, prompt.alias("prompt"))
 
@@ -125,7 +125,7 @@ def text_to_row(df: DataFrame, cols: list[str], text_col: str = "text", id_col:
     out = []
     for c in cols:
         # a part that is only "c is" (after trimming) carries no value: skip it
-        pat = r"(?:^|,)\s*\Q" + c + r"\E is (?!\s*(?:,|$))(.*?)(?: is |\s*(?:,|$))"
+        pat = r"(?s)(?:^|,)\s*\Q" + c + r"\E is (?!\s*(?:,|$))(.*?)(?: is |\s*(?:,|$))"
         v = F.when(F.col(text_col).rlike(pat), F.regexp_extract(F.col(text_col), pat, 1)).otherwise(
             F.lit(PLACEHOLDER))
         out.append(v.alias(c))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import ws_trim
-from tessera.operators.ids import broadcast_ok, number_sorted
+from tessera.operators.ids import number_sorted
 from tessera.session import reliable_checkpoint
 
 # Fixed values of the token format.
@@ -50,10 +50,9 @@ def word_vocab(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
 
 def encode_words(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Token ids of each row's words, in text order."""
-    vocab, n = word_vocab(df, text_col)
+    vocab, _ = word_vocab(df, text_col)
     toks = df.select(*keys, F.posexplode_outer(words(text_col)).alias("pos", "word"))
-    # broadcast the vocabulary only below a checked size; AQE splits hot words otherwise
-    toks = toks.join(F.broadcast(vocab) if broadcast_ok(df.sparkSession, n) else vocab, "word", "left")
+    toks = toks.join(vocab, "word", "left")  # AQE broadcasts a small vocabulary, splits hot words otherwise
     seq = toks.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_s"))
     return seq.select(*keys, F.col("_s").getField("id").alias("input_ids"))

@@ -22,26 +22,24 @@ def impute_with(rows: DataFrame, model: Callable[[pd.DataFrame, int], pd.DataFra
     """Run ``model(batch, seed) -> batch`` on Arrow batches of ``rows``.
 
     The output keeps the input schema; band columns are coerced to double
-    (bad values become null).  ``batch_rows`` sets the Arrow batch size.
+    (bad values become null).  ``batch_rows`` is the most rows per call.
     """
-    spark = rows.sparkSession
-    if batch_rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     schema = rows.select(*[F.col(c).cast("double").alias(c) if c in bands else F.col(c)
                            for c in rows.columns]).schema
     cols = rows.columns
 
     def run(batches):
         for pdf in batches:
-            out = model(pdf.copy(), seed)
-            for b in bands:
-                out[b] = pd.to_numeric(out[b], errors="coerce").astype("float64")
-            yield out[cols]
+            for a in range(0, len(pdf), batch_rows or max(1, len(pdf))):
+                out = model(pdf.iloc[a:a + (batch_rows or len(pdf))].copy(), seed)
+                for b in bands:
+                    out[b] = pd.to_numeric(out[b], errors="coerce").astype("float64")
+                yield out[cols]
 
     return rows.mapInPandas(run, schema)
 
 
-def impute_with_retry(rows: DataFrame, model, key: list[str], bands: list[str], max_retries: int = 3,
+def impute_with_retry(rows: DataFrame, model, key: list[str], bands: list[str], max_retries: int = 15,
                       seed: int = 0) -> DataFrame:
     """Retry incomplete rows with a new seed; rows still incomplete are omitted.
 

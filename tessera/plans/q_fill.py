@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, lcg_sql
+from tessera.functions.expr import BANDS, pick_sql, uniform_sql
 from tessera.operators import fill, sampling as sp, synth as sy, text as tx, tokens as tk, udf
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
@@ -46,7 +46,7 @@ def q_start_dist_cdf(spark, d):
     return sy.cdf_table(_segment_counts(spark, d), "value")
 
 
-_U = f"CAST({lcg_sql('c_custkey', SEED)} AS DOUBLE) / 2147483648.0"
+_U = uniform_sql("c_custkey", SEED)
 
 
 @query("start_categorical", "WITH " + CDF_SQL + f"""
@@ -61,7 +61,7 @@ def q_start_categorical(spark, d):
 WITH v AS (SELECT c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i FROM customer),
 n AS (SELECT count(*) AS n FROM customer)
 SELECT c.c_custkey, 'c_acctbal is ' || printf('%.5f', v.c_acctbal) || ',' AS start
-FROM customer c JOIN v ON v.i = {lcg_sql('c.c_custkey', SEED)} % (SELECT n FROM n)""")
+FROM customer c JOIN v ON v.i = CAST(floor({uniform_sql('c.c_custkey', SEED)} * (SELECT n FROM n)) AS BIGINT)""")
 def q_start_continuous(spark, d):
     cust = table(spark, d, "customer")
     vals = cust.select("c_acctbal", F.col("c_custkey").alias("_k"))
@@ -72,7 +72,7 @@ START_COLS = ["c_mktsegment", "c_acctbal", "c_nationkey"]
 
 
 @query("start_random", "SELECT c_custkey, [" + ", ".join(f"'{c}'" for c in START_COLS)
-       + f"][CAST({lcg_sql('c_custkey', SEED)} % {len(START_COLS)} AS INTEGER) + 1] || ' is ' AS start "
+       + f"][CAST({pick_sql('c_custkey', len(START_COLS), SEED)} AS INTEGER) + 1] || ' is ' AS start "
        "FROM customer")
 def q_start_random(spark, d):
     return sy.start_random(table(spark, d, "customer"), "c_custkey", START_COLS, SEED)
@@ -115,13 +115,13 @@ def _doy_medians(t):
 
 def _median_model(table_: dict, drop_every: int = 0):
     def model(pdf, seed):
-        med = np.array([table_.get(int(doy), [np.nan] * len(BANDS)) for doy in pdf["DOY"]], dtype="float64")
         keep = np.ones(len(pdf), dtype=bool)
         if drop_every:
             keep = ((pdf["row_id"].to_numpy() * 31 + seed) % drop_every) != 0
         for i, b in enumerate(BANDS):
             vals = pdf[b].astype("float64").to_numpy()
-            pdf[b] = np.where(np.isnan(vals) & keep, med[:, i], vals)
+            median = pdf["DOY"].map({doy: row[i] for doy, row in table_.items()}).to_numpy(dtype="float64")
+            pdf[b] = np.where(np.isnan(vals) & keep, median, vals)
         return pdf
     return model
 
@@ -159,7 +159,7 @@ def q_model_roundtrip(spark, d):
 
 @query("bpe_roundtrip")
 def q_bpe_roundtrip(spark, d):
-    merges = tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents", spread=True).select("text")), 4, checkpoint_every=2)
+    merges = tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents").select("text")), 4, checkpoint_every=2)
     path = _scratch(spark, "tokenizer")
     art.save_tokenizer(path, tk.bpe_vocab(spark, merges), merges)
     vocab, _ = art.load_tokenizer(spark, path)

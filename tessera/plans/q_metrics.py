@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, FILL_BANDS, lcg_sql
+from tessera.functions.expr import BANDS, FILL_BANDS, mix_keys_sql, mix_sql
 from tessera.operators import fill, metrics as m, sampling as sp, scene as sc
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
@@ -160,7 +160,7 @@ def q_l1_l2(spark, d):
 
 
 def _rank_cte(name: str, src: str, frac: float, seed: int, test: bool) -> str:
-    h = lcg_sql("CAST(PID AS BIGINT) * 1000 + DOY", seed)
+    h = mix_keys_sql(["PID", "DOY"], seed)
     cmp = "<" if test else ">="
     return (f"{name} AS (SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (ORDER BY {h}, PID, DOY) - 1 AS _r "
             f"FROM {src}) WHERE _r {cmp} ceil({frac} * (SELECT count(*) FROM {src})))")
@@ -179,10 +179,11 @@ def q_evaluate_holdout(spark, d):
 # ------------------------------------------------------------------ E10 histogram
 
 @query("band_histogram", o.with_scene("""
-SELECT LEAST(CAST(floor((CAST(B02 AS DOUBLE) - mn) * CAST(256 AS DOUBLE)
-             / CASE WHEN mx > mn THEN mx - mn ELSE 1.0 END) AS INTEGER), 255) AS bin, count(*) AS n
-FROM s0, (SELECT CAST(min(B02) AS DOUBLE) AS mn, CAST(max(B02) AS DOUBLE) AS mx FROM s0) mm
-WHERE B02 IS NOT NULL GROUP BY 1"""))
+SELECT CAST(b.i AS INTEGER) AS bin, coalesce(h.n, 0) AS n FROM range(256) b(i) LEFT JOIN (
+  SELECT LEAST(CAST(floor((CAST(B02 AS DOUBLE) - mn) * CAST(256 AS DOUBLE)
+               / CASE WHEN mx > mn THEN mx - mn ELSE 1.0 END) AS INTEGER), 255) AS bin, count(*) AS n
+  FROM s0, (SELECT CAST(min(B02) AS DOUBLE) AS mn, CAST(max(B02) AS DOUBLE) AS mx FROM s0) mm
+  WHERE B02 IS NOT NULL GROUP BY 1) h ON h.bin = b.i"""))
 def q_band_histogram(spark, d):
     return m.band_histogram(_nulled(spark, d), "B02", 256)
 
@@ -209,12 +210,12 @@ BALANCE_N = 1000
 
 @query("balanced_sample", f"""
 WITH r AS (SELECT doc_id, quality, toxic,
-                  row_number() OVER (PARTITION BY quality ORDER BY {lcg_sql('doc_id', SEED)}, doc_id) - 1 AS rk
+                  row_number() OVER (PARTITION BY quality ORDER BY {mix_sql('doc_id', SEED)}, doc_id) - 1 AS rk
            FROM labels),
-c AS (SELECT min(n) AS n0 FROM (SELECT count(*) AS n FROM labels GROUP BY quality))
-SELECT doc_id, quality, toxic FROM r WHERE rk < floor(LEAST({BALANCE_N}, (SELECT n0 FROM c)) / 2)""")
+c AS (SELECT LEAST(count(*) FILTER (quality = 0), count(*) FILTER (quality = 1)) AS n0 FROM labels)
+SELECT doc_id, quality, toxic FROM r WHERE quality IN (0, 1) AND rk < floor(LEAST({BALANCE_N}, (SELECT n0 FROM c)) / 2)""")
 def q_balanced_sample(spark, d):
-    return sp.balanced_sample(table(spark, d, "labels"), "quality", "doc_id", BALANCE_N, SEED)
+    return sp.balanced_sample(table(spark, d, "labels"), "quality", "doc_id", BALANCE_N, SEED, classes=(0, 1))
 
 
 # ------------------------------------------------------------------ C10, C11, D3
@@ -243,7 +244,7 @@ def q_row_slice(spark, d):
 
 @query("anchor_series", o.with_scene(
     f"SELECT * FROM data WHERE PID = (SELECT PID FROM clear WHERE DOY = {DOY} "
-    f"ORDER BY {lcg_sql('PID', SEED)}, PID LIMIT 1)"))
+    f"ORDER BY {mix_sql('PID', SEED)}, PID LIMIT 1)"))
 def q_anchor_series(spark, d):
     t = rc.tables(spark, d)
     return sp.anchor_series(rc.prepared(spark, d), t.clear, DOY, SEED)

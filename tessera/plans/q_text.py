@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, NUMERIC_TEXT, lcg, lcg_sql
+from tessera.functions.expr import BANDS, NUMERIC_TEXT, mix_sql, pick, pick_sql
 from tessera.operators import sampling as sp, text as tx
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
@@ -33,7 +33,7 @@ def part_sql(c: str) -> str:
 
 
 def shuffled_sql(cols, seed, offset=0) -> str:
-    items = ", ".join(f"{{'h': {lcg_sql(f'row_id * 16 + {i + offset}', seed)}, 't': {part_sql(c)}}}"
+    items = ", ".join(f"{{'h': {mix_sql('row_id', seed, i + offset)}, 't': {part_sql(c)}}}"
                       for i, c in enumerate(cols))
     return f"array_to_string(list_transform(list_sort([{items}]), lambda x: x.t), ', ')"
 
@@ -87,7 +87,7 @@ _MISS_SQL = ("list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END"
 
 @query("impute_prompt", o.with_scene(
     "SELECT row_id, CASE WHEN enc <> '' THEN enc || ', ' ELSE '' END || "
-    f"CASE WHEN len(m) > 0 THEN m[CAST({lcg_sql('row_id', SEED)} % len(m) AS INTEGER) + 1] || ' is' ELSE '' END "
+    f"CASE WHEN len(m) > 0 THEN m[CAST({pick_sql('row_id', 'len(m)', SEED)} AS INTEGER) + 1] || ' is' ELSE '' END "
     f"AS prompt FROM (SELECT row_id, {_ENC_SQL} AS enc, {_MISS_SQL} AS m FROM tis)", TS))
 def q_impute_prompt(spark, d):
     return tx.impute_prompt(impute_rows(spark, d), COLS, seed=SEED)
@@ -96,7 +96,7 @@ def q_impute_prompt(spark, d):
 @query("clean_text", "SELECT doc_id, replace(replace(replace(text, '<|endoftext|>', ''), chr(10), ' '), "
        "chr(13), '') AS text FROM documents")
 def q_clean_text(spark, d):
-    return table(spark, d, "documents", spread=True).select("doc_id", tx.clean_text("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", tx.clean_text("text").alias("text"))
 
 
 def _parse_sql(src: str, text: str = "text") -> str:
@@ -119,7 +119,7 @@ def q_text_to_row(spark, d):
 # then cleaned -- the input the validity filter is built for.
 def generated(spark, d):
     base = tx.row_text_shuffled(corpus_rows(spark, d), COLS, seed=SEED)
-    k = F.pmod(lcg(F.col("row_id"), 7), F.lit(6))
+    k = pick(F.col("row_id"), 6, 7)
     t = F.col("text")
     bad = (F.when(k == 0, F.regexp_replace(t, ", [^,]*$", ""))
            .when(k == 1, F.concat(t, F.lit("x")))
@@ -130,7 +130,7 @@ def generated(spark, d):
     return base.select("row_id", tx.clean_text(bad).alias("text"))
 
 
-_K = f"{lcg_sql('row_id', 7)} % 6"
+_K = pick_sql("row_id", 6, 7)
 GEN_SQL = ("gen AS (SELECT row_id, replace(replace(replace(CASE "
            f"WHEN {_K} = 0 THEN regexp_replace(text, ', [^,]*$', '') "
            f"WHEN {_K} = 1 THEN text || 'x' WHEN {_K} = 2 THEN text || 'd' "

@@ -119,7 +119,7 @@ SELECT pair, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY pair"""
 
 @query("bpe_pair_counts", PAIRS_SQL)
 def q_bpe_pair_counts(spark, d):
-    return tk.pair_counts(tk.pretoken_counts(table(spark, d, "documents", spread=True).select("text")))
+    return tk.pair_counts(tk.pretoken_counts(table(spark, d, "documents").select("text")))
 
 
 BPE_MERGES = 8
@@ -127,7 +127,7 @@ BPE_MERGES = 8
 
 @query("bpe_train")
 def q_bpe_train(spark, d):
-    return tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents", spread=True).select("text")), BPE_MERGES, checkpoint_every=4)
+    return tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents").select("text")), BPE_MERGES, checkpoint_every=4)
 
 
 # Base vocabulary: the byte pieces present in documents, ranked; extended
@@ -144,7 +144,7 @@ fresh AS (SELECT pos, token FROM lst WHERE token NOT IN (SELECT token FROM base)
 SELECT id, token FROM base UNION ALL
 SELECT CAST((SELECT max(id) FROM base) + row_number() OVER (ORDER BY pos) AS BIGINT) AS id, token FROM fresh""")
 def q_vocab_extend(spark, d):
-    pieces = tk.pretoken_counts(table(spark, d, "documents", spread=True).select("text"))
+    pieces = tk.pretoken_counts(table(spark, d, "documents").select("text"))
     byts = pieces.select(F.explode(F.split(F.trim("pieces"), " ")).alias("token")).distinct()
     base, _ = tk.number_sorted(byts, ["token"], "id")
     return tk.vocab_extend(base, NEW_TOKENS)
