@@ -58,6 +58,7 @@ def fit_contexts(train: DataFrame, bands=BANDS, contexts=DEFAULT_CONTEXTS, metho
 def _attach(rows: DataFrame, fitted, bands) -> DataFrame:
     out = rows
     for i, (ctx, tbl) in enumerate(fitted):
+        ctx = list(ctx)
         if not ctx:
             # Global statistics: one scalar subquery returning a struct.
             packed = tbl.select(F.struct(*[_ctx_name(i, b) for b in bands]).alias("s")).scalar()

@@ -9,6 +9,8 @@ runtime size is known to be under the threshold.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +24,23 @@ LOG_RECORD = T.StructType([
 TRAINER_STATE = T.StructType([T.StructField("log_history", T.ArrayType(LOG_RECORD))])
 
 
+def _full_path(spark: SparkSession, path: str) -> str:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
+
+
 def read_trainer_states(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Flatten ``{"log_history": [...]}`` files; run = position of the path in ``paths``."""
-    df = spark.read.schema(TRAINER_STATE).json(paths, multiLine=True)
+    """Flatten ``{"log_history": [...]}`` files; run = position of the path in ``paths``.
+
+    Paths are taken literally (``run[0]/state.json`` is no pattern) and told
+    apart by their full names.
+    """
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    df = spark.read.schema(TRAINER_STATE).json(escaped, multiLine=True)
     recs = df.select(F.col("_metadata.file_path").alias("_f"), F.posexplode("log_history").alias("idx", "r"))
-    run = F.coalesce(*[F.when(F.col("_f").endswith(p.split("://")[-1]), F.lit(i)) for i, p in enumerate(paths)])
+    local = F.regexp_replace(F.regexp_replace("_f", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"\+", "%2B")
+    name = F.url_decode(local)
+    run = F.coalesce(*[F.when(name == _full_path(spark, p), F.lit(i)) for i, p in enumerate(paths)])
     return recs.select(run.alias("run"), "idx", "r.step", "r.loss", "r.epoch", "r.learning_rate")
 
 
@@ -82,6 +96,7 @@ def record_rank(log: DataFrame, order: str = "step") -> DataFrame:
         "rank", F.col("_pos") - F.col("_first") + 1).drop("_first")
 
 
+# The cuts of the log tail.
 TAIL_DIVISORS = [12, 10, 6, 4, 3, 2]
 
 

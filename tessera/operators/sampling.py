@@ -54,7 +54,12 @@ def exact_split(df: DataFrame, keys: list[str], test_frac: float, seed: int = 42
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     """Full seeded shuffle: a global sort on a hash of stable keys."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys)
+    return df.orderBy(mix_keys(keys, seed), *keys)
+
+
+def shuffled_positions(df: DataFrame, keys: list[str], seed: int = 42, out: str = "pos") -> DataFrame:
+    """Every row with its place (0-based) in the seeded shuffle."""
+    return positions(df.withColumn("_h", mix_keys(keys, seed)), ["_h", *keys], out).drop("_h")
 
 
 def row_ids(df: DataFrame, order: list[str], out: str = "row_id") -> DataFrame:

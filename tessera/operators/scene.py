@@ -40,9 +40,9 @@ def table_from_rows(spark: SparkSession, rows, columns: list[str]) -> DataFrame:
     """Table from row tuples and column names; the width must match."""
     rows = list(rows)
     if not columns:
-        raise ValueError("a list of column names is required")
+        raise ValueError("table_from_rows: columns is empty")
     if rows and len(rows[0]) != len(columns):
-        raise ValueError(f"{len(columns)} column names are given, but rows have {len(rows[0])} columns")
+        raise ValueError(f"table_from_rows: rows are {len(rows[0])} wide, columns name {len(columns)}")
     return spark.createDataFrame(rows, columns)
 
 

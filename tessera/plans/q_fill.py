@@ -12,8 +12,9 @@ from tessera.functions.expr import BANDS, pick_sql, uniform_sql
 from tessera.operators import fill, sampling as sp, synth as sy, text as tx, tokens as tk, udf
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
-from tessera.plans.q_text import COLS, impute_rows
-from tessera.plans.registry import _nulled, query
+from tessera.plans.q_metrics import _rank_cte
+from tessera.plans.q_text import COLS, TS, impute_rows
+from tessera.plans.registry import _FILLED_ALL, _FILLED_SEL, _nulled, query
 from tessera.session import checkpoint_dir
 from tessera.sources import artefacts as art
 from tessera.sources import scene as src
@@ -94,7 +95,13 @@ def q_synthesize(spark, d):
     return sy.synthesize(keys, "row_id", t.clear, "DOY", BANDS, n=keys.count(), seed=SEED)
 
 
-@query("complete_prompts")
+_COMPLETE = "WHERE " + " AND ".join(f"f_{b} IS NOT NULL" for b in BANDS)
+
+
+@query("complete_prompts", o.with_scene(
+    "SELECT row_id, CAST(PID AS DOUBLE) AS PID, CAST(DOY AS DOUBLE) AS DOY, "
+    + ", ".join(f"CAST(f_{b} AS DOUBLE) AS {b}" for b in BANDS) + f" FROM cp {_COMPLETE}",
+    TS + ",\n" + o.median_fill_ctes("tis", "clear", "cp")))
 def q_complete_prompts(spark, d):
     """Partial-row prompts parsed back and completed by the back-off fill."""
     t = rc.tables(spark, d)
@@ -126,13 +133,20 @@ def _median_model(table_: dict, drop_every: int = 0):
     return model
 
 
-@query("impute_with")
+def _date_median_sql(where: str = "") -> str:
+    meds = ", ".join(f"median({b}) AS m_{b}" for b in BANDS)
+    cols = ", ".join(f"COALESCE(CAST({b} AS DOUBLE), CAST(m_{b} AS DOUBLE)) AS {b}" for b in BANDS)
+    return o.with_scene(f"SELECT * FROM (SELECT row_id, PID, DOY, {cols} FROM tis LEFT JOIN dm USING (DOY)) {where}",
+                        TS + f",\ndm AS (SELECT DOY, {meds} FROM clear GROUP BY DOY)")
+
+
+@query("impute_with", _date_median_sql())
 def q_impute_with(spark, d):
     t = rc.tables(spark, d)
     return udf.impute_with(impute_rows(spark, d), _median_model(_doy_medians(t)), BANDS, SEED)
 
 
-@query("impute_with_retry")
+@query("impute_with_retry", _date_median_sql("WHERE " + " AND ".join(f"{b} IS NOT NULL" for b in BANDS)))
 def q_impute_with_retry(spark, d):
     t = rc.tables(spark, d)
     model = _median_model(_doy_medians(t), drop_every=3)
@@ -141,14 +155,19 @@ def q_impute_with_retry(spark, d):
 
 # ------------------------------------------------------------------ artefacts and files
 
-@query("split_reuse")
+@query("split_reuse", o.with_scene(
+    "SELECT *, 'test' AS split FROM te UNION ALL SELECT *, 'train' AS split FROM tr",
+    _rank_cte("te", "clear", 0.05, SEED, True) + ",\n" + _rank_cte("tr", "clear", 0.05, SEED, False)))
 def q_split_reuse(spark, d):
-    path = f"{checkpoint_dir(spark).rstrip('/')}/split-{zlib.crc32(d.encode()):08x}"
     t = rc.tables(spark, d)
+    # the stored split belongs to its rows, seed and share: other data get another folder
+    what = t.clear.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*t.clear.columns) % (1 << 40))).first()
+    key = zlib.crc32(f"{d}|{tuple(what)}|{SEED}|0.05".encode())
+    path = f"{checkpoint_dir(spark).rstrip('/')}/split-{key:08x}"
     return art.split_reuse(spark, path, lambda: sp.exact_split(t.clear, ["PID", "DOY"], 0.05, SEED))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", o.with_scene(_FILLED_SEL, _FILLED_ALL))
 def q_model_roundtrip(spark, d):
     t = rc.tables(spark, d)
     path = _scratch(spark, "fill-model")

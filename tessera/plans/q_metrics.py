@@ -200,9 +200,10 @@ def q_split_train(spark, d):
     return sp.exact_split(rc.tables(spark, d).clear, ["PID", "DOY"], SPLIT_FRAC, SEED)[0]
 
 
-@query("shuffle_rows")
+@query("shuffle_rows", o.with_scene(
+    f"SELECT *, row_number() OVER (ORDER BY {mix_keys_sql(['PID', 'DOY'], SEED)}, PID, DOY) - 1 AS pos FROM clear"))
 def q_shuffle_rows(spark, d):
-    return sp.shuffle_rows(rc.tables(spark, d).clear, ["PID", "DOY"], SEED)
+    return sp.shuffled_positions(rc.tables(spark, d).clear, ["PID", "DOY"], SEED)
 
 
 BALANCE_N = 1000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,15 @@ BOX = (0, 0, 499, 49)
 
 
 def _store_key(spark: SparkSession, sf_dir: str, doys) -> str:
-    """Key of a prepared scene: source file identity plus the preparation parameters."""
+    """Key of a prepared scene: every part file of the source plus the preparation parameters."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/lineitem.parquet")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    st = fs.getFileStatus(p)
-    ident = f"{p.toString()}|{st.getLen()}|{st.getModificationTime()}|{NX}|{NY}|{list(doys)}|v1"
+    files, parts = fs.listFiles(p, True), []
+    while files.hasNext():
+        st = files.next()
+        parts.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    ident = f"{p.toString()}|{sorted(parts)}|{NX}|{NY}|{list(doys)}|v2"
     return hashlib.sha1(ident.encode()).hexdigest()[:16]
 
 
@@ -36,17 +40,25 @@ def prepared(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> DataFrame:
     The prepared scene is written once per application as parquet
     partitioned by DOY in the shared checkpoint folder (the scene store):
     the global pixel numbering runs once, every later query reads the
-    store, and date filters prune to one partition directory.
+    store, and date filters prune to one partition directory.  It is written
+    to a folder of its own and renamed when complete, so that two
+    applications never write the same files.
     """
     path = f"{checkpoint_dir(spark).rstrip('/')}/scene-store/{_store_key(spark, sf_dir, doys)}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
         # the cleaned scene feeds both the key numbering and the join back
         base = sc.with_ndvi(sc.sentinel_to_null(scene(spark, sf_dir))).persist(StorageLevel.MEMORY_AND_DISK)
         out = sc.project(sc.select_doys(sc.with_pixel_ids(base), doys))
-        out.write.mode("overwrite").partitionBy("DOY").parquet(path)
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        out.write.partitionBy("DOY").parquet(fresh)
         base.unpersist()
+        if not fs.exists(done):  # else another application was faster: its copy holds the same rows
+            fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path))
+        if not fs.exists(done):
+            raise RuntimeError(f"the scene store could not be published at {path}")
     return spark.read.parquet(path).select(*SCENE_COLUMNS)
 
 
@@ -70,7 +82,11 @@ def recover_doy(spark: SparkSession, sf_dir: str, doy: int = DOY, method: str =
     t = tables(spark, sf_dir)
     todo = impute_table(t).filter(F.col("DOY") == doy)
     clear_d = t.clear.filter(F.col("DOY") == doy)
-    filled = fill.impute(todo, t.clear, bands, method=method, keep_unfilled=True)
+    # of the pixel contexts only those of this date's pixels are fitted
+    pixels = todo.select("PID").distinct()
+    fitted = [(ctx, fill.context_table(t.clear.join(pixels, "PID", "left_semi") if "PID" in ctx else t.clear,
+                                       ctx, bands, method, i)) for i, ctx in enumerate(fill.DEFAULT_CONTEXTS)]
+    filled = fill.impute_fitted(todo, fitted, bands, keep_unfilled=True)
     return sc.sort_raster(filled.unionByName(clear_d))
 
 

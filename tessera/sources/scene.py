@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.sources.tables import table
 
-# Full column list of a scene file (bands, quality flags, angles).
+# Column list of a scene file (bands, quality flags, angles).
 BAND_COLUMNS = ["B01", "B02", "B03", "B04", "B05", "B06", "B07", "B09", "B10", "B11"]
 FLAG_COLUMNS = ["cirrus", "cloud", "adj_cloud", "cloud_shadow", "snow_ice", "water", "aero"]
 ANGLE_COLUMNS = ["SAA", "SZA", "VAA", "VZA"]

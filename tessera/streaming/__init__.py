@@ -10,6 +10,8 @@ step (``operators.ids``) over the stored table.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,7 +40,8 @@ def ingest(stream: DataFrame, out_path: str, name: str = "scene-ingest", once: b
     """Append prepared rows to parquet partitioned by DOY; the checkpoint
     location sits in the shared checkpoint folder so a restarted query
     resumes exactly once."""
-    ckpt = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/{name}"
+    own = hashlib.sha1(out_path.encode()).hexdigest()[:16]  # each output has a checkpoint of its own
+    ckpt = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/{name}-{own}"
     writer = (prepare_stream(stream).writeStream.format("parquet").outputMode("append")
               .partitionBy("DOY").option("checkpointLocation", ckpt).option("path", out_path))
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")

@@ -11,7 +11,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from oracle_check import compare, duck
 
-KEYS = sorted(E.oracle_sql())
+KEYS = sorted(k for k in E.oracle_sql() if not k.startswith("op"))
 
 
 @pytest.fixture(scope="module")
@@ -28,9 +28,9 @@ def test_matches_duckdb(spark, con, key):
 
 def test_rows_only_keys_run(spark):
     for key in sorted(set(E.queries()) - set(E.oracle_sql())):
-        if key in {"synthesize", "impute_draw", "bpe_train", "bpe_roundtrip"}:
+        if key in {"synthesize", "impute_draw", "bpe_train"} or key == "pipeline" or key.startswith("op"):
             continue  # covered by dedicated tests
-        assert E.queries()[key](spark, SF_SMALL).count() >= 0
+        assert E.queries()[key](spark, SF_SMALL).count() > 0
 
 
 def test_entry_smoke(spark):

@@ -145,3 +145,33 @@ def test_batch_rows_leaves_the_session_alone(spark):
     got = udf.impute_with(df, model, ["b"], batch_rows=6).collect()
     assert Counter(r.b for r in got) == {6.0: 18, 2.0: 2}
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_log_folders_are_no_patterns(spark, tmp_path):
+    import json
+
+    from tessera.operators import runlog
+
+    paths = []
+    for i, name in enumerate(["run[0]", "run[1]", "a b+c", "deep/run[0]"]):
+        folder = tmp_path / name
+        folder.mkdir(parents=True)
+        (folder / "t.json").write_text(json.dumps({"log_history": [{"step": i, "loss": 0.5}, {"step": i + 10}]}))
+        paths.append(str(folder / "t.json"))
+    got = sorted((r.run, r.step) for r in runlog.read_trainer_states(spark, paths).collect())
+    assert got == sorted((i, s) for i in range(4) for s in (i, i + 10))
+
+
+def test_run_ledger_and_scene_csv(spark, tmp_path):
+    from tessera.sources import artefacts, scene as source
+
+    for i in range(2):
+        artefacts.append_run(spark, str(tmp_path / "ledger"), run=i, note="n")
+    assert sorted(r.run for r in spark.read.parquet(str(tmp_path / "ledger")).collect()) == [0, 1]
+    merges = spark.createDataFrame([(0, "a", "b", 3)], "rank int, a string, b string, n long")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "ab")], "id long, token string")
+    artefacts.save_tokenizer(str(tmp_path / "tok"), vocab, merges)
+    back, rules = artefacts.load_tokenizer(spark, str(tmp_path / "tok"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, vocab.collect()))
+    assert [(r.a, r.b) for r in rules.collect()] == [("a", "b")]
+    assert source.read_scene_csv is not None
