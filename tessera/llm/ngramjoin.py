@@ -26,6 +26,7 @@ with probability n * n / 2**65.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from tessera.llm.shingles import Shingler, set_id
 WORDS = 5
 PERCENT = 75
 GROUP = 256       # sets in a block, and queries sent to a group at a time
+RUN_TOKENS = 1 << 19     # shingles that a task holds before it hands them on
+BITMAP_WORDS = 1 << 20   # 8 MB of bits
 LARGE = 8         # sets of one component that are a group of their own in a block
 COMMON = 65_536   # frequent shingles that go last in the order; the order never changes a result
 EXTRA = 10        # per cent of a set's shingles that a prefix is longer than it must be
@@ -117,17 +120,24 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
 
 
+def frequent(sets, names):
+    """Rows of the shingles that many of some sets hold."""
+    import numpy as np
+
+    token, c = np.unique(np.concatenate(sets), return_counts=True)
+    often = c >= max(4, len(sets) // 500)
+    none = pa.nulls(int(often.sum()), pa.int64())
+    return pa.RecordBatch.from_arrays([none] * 5 + [pa.array(token[often]), pa.array(c[often])], names=names)
+
+
 def describe(docs: DataFrame, words: int) -> DataFrame:
     """A row for each document (its set's id, size and least hash), and counts of frequent shingles."""
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
         shingler = Shingler(words)
         names = ["doc_id", "th", "sid", "n", "least", "token", "c"]
         for b in batches:
-            ids, sizes, least, seen, kept = [], [], [], set(), []
+            ids, sizes, least, seen, kept, held = [], [], [], set(), [], 0
             for s in shingler.sets(b.column("text").to_pylist()):
                 sid = set_id(s) if len(s) else None
                 ids.append(sid)
@@ -136,16 +146,16 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 if len(s) and sid not in seen:
                     seen.add(sid)
                     kept.append(s)
+                    held += len(s)
+                if held >= RUN_TOKENS:
+                    yield frequent(kept, names)
+                    kept, held = [], 0
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("th"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(least, pa.int64()), none, none], names=names)
             if kept:
-                token, c = np.unique(np.concatenate(kept), return_counts=True)
-                often = c >= max(4, len(kept) // 500)
-                none = pa.nulls(int(often.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, none, none, none, pa.array(token[often]), pa.array(c[often])], names=names)
+                yield frequent(kept, names)
 
     return docs.mapInArrow(run, "doc_id long, th long, sid long, n long, least long, token long, c long")
 
@@ -155,6 +165,16 @@ def needed(n, percent: int = EXTRA):
     return -(-percent * n // 100) if isinstance(n, int) else F.ceil(n * percent / 100)
 
 
+def prefix_rows(found):
+    import numpy as np
+
+    n = [len(t) for t, _, _ in found]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([t for t, _, _ in found])),
+         pa.array(np.repeat(np.array([x for _, x, _ in found], np.int64), n)),
+         pa.array(np.repeat(np.array([x for _, _, x in found], bool), n))], names=["token", "sid", "frequent"])
+
+
 def prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
     """(token, sid, frequent) of every set's prefix: its rarest shingles, ties by hash."""
     import numpy as np
@@ -164,11 +184,9 @@ def prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((token, place))  # at most COMMON entries
 
     def run(batches):
-        import pyarrow as pa
-
         shingler, (token, place) = Shingler(words), shared.value
         for b in batches:
-            seen, out = set(), []
+            seen, out, held = set(), [], 0
             for s in shingler.sets(b.column("text").to_pylist()):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
@@ -180,15 +198,13 @@ def prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
                 heavy = s[often]
                 heavy = heavy[np.argsort(place[at[often]], kind="stable")][:size - len(light)] \
                     if len(light) < size else heavy[:0]
-                out.append((light, sid, False))
-                out.append((heavy, sid, True))
+                out += [(light.copy(), sid, False), (heavy, sid, True)]
+                held += size
+                if held >= RUN_TOKENS:
+                    yield prefix_rows(out)
+                    out, held = [], 0
             if out:
-                n = [len(t) for t, _, _ in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([t for t, _, _ in out])),
-                     pa.array(np.repeat(np.array([x for _, x, _ in out], np.int64), n)),
-                     pa.array(np.repeat(np.array([x for _, _, x in out], bool), n))],
-                    names=["token", "sid", "frequent"])
+                yield prefix_rows(out)
 
     return docs.select("text").mapInArrow(run, "token long, sid long, frequent boolean")
 
@@ -207,18 +223,53 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return light.select("token", "sid").unionByName(rows.filter("frequent").select("token", "sid")).distinct()
 
 
+def bitmap(keys: DataFrame, col: str):
+    """A bitmap of fixed size in which the bit of every (hashed) key is set, for all executors."""
+    import numpy as np
+
+    word = F.pmod(F.shiftright(col, 6), F.lit(BITMAP_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(col).bitwiseAND(F.lit(63)).cast("int"))
+    words = np.zeros(BITMAP_WORDS, np.int64)
+    for r in keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["w"]] = r["bits"]
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def may_hold(words):
+    """Whether a key's bit is set: true for every key of the bitmap, seldom for others."""
+
+    @F.arrow_udf("boolean")
+    def check(keys: pa.Array) -> pa.Array:
+        import numpy as np
+
+        k = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array((words.value[(k >> 6) % BITMAP_WORDS] >> (k & 63)) & 1 == 1)
+
+    return check
+
+
 def load_sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """sid, its groups and its shingles; ``chosen`` names a document of each set."""
+    """sid and shingles of the sets of which ``chosen`` names a document.
 
-    def run(batches):
-        import pyarrow as pa
+    A bitmap of the chosen texts keeps most other texts out of the shuffle
+    (all pass once it is full; the join decides).  A task gives each set once.
+    """
 
-        shingler = Shingler(words)
+    def run(batches):
+        shingler, seen = Shingler(words), set()
         for b in batches:
-            sets = list(shingler.sets(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("sid"), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "tokens"])
+            keep = []
+            for i, sid in enumerate(b.column("sid").to_pylist()):
+                if sid not in seen:
+                    seen.add(sid)
+                    keep.append(i)
+            for a in range(0, len(keep), 500):
+                part = b.take(pa.array(keep[a:a + 500], pa.int64()))
+                sets = list(shingler.sets(part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("sid"), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "tokens"])
 
+    docs = docs.filter(may_hold(bitmap(chosen, "th"))("th"))
     same = (docs["th"] == chosen["th"]) & docs["doc_id"].eqNullSafe(chosen["doc_id"])
     return (docs.join(chosen, same).select(chosen["sid"], docs["text"])
             .mapInArrow(run, "sid long, tokens array<long>"))
@@ -245,8 +296,6 @@ def link_inside(members: DataFrame, percent: int) -> DataFrame:
     """Every member of a block (a) with the root of its component there (b)."""
 
     def run(key, table):
-        import pyarrow as pa
-
         tokens = dict(zip(table.column("sid").to_pylist(), read_sets(table.column("tokens"))))
         rank = dict(zip(table.column("sid").to_pylist(), table.column("hub").to_pylist()))
         ids = sorted(tokens)
@@ -304,8 +353,6 @@ def open_groups(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
 
     def run(key, table):
         import numpy as np
-        import pyarrow as pa
-
         tokens = read_sets(table.column("tokens"))
         asks, comp = table.column("query").to_pylist(), table.column("comp").to_pylist()
         inside = [i for i, q in enumerate(asks) if not q]
@@ -345,7 +392,7 @@ def described(docs: DataFrame, words: int, percent: int, group: int) -> DataFram
     found = stored(one.join(shares, "sid").filter(F.col("c") >= needed(F.ceil(F.col("n") * percent / 100)))
                    .select("sid", "least", "n", "d.th", "d.doc_id"), "found")
     tokens = stored(tokens.join(found.select("sid"), "sid"), "tokens")
-    sets = stored(load_sets(docs, found, words).dropDuplicates(["sid"]), "shingles")
+    sets = stored(load_sets(docs, found, words), "shingles")
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     top = (tokens.join(held, "token").groupBy("sid").agg(F.max(F.struct("df", "token")).alias("m"))
            .select("sid", F.col("m.token").alias("top")))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.tokens import END_ID, encoder, tokenizer_file
 
 WINDOW = 1024
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 QUERY_TERMS = 16      # a seed asks with its rarest words
 K1, LENGTH_SHARE = 1.2, 0.75
 

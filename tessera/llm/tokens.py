@@ -12,7 +12,7 @@ import re
 SPECIAL = "<|endoftext|>"
 END_ID = 0
 UNSAFE = re.compile(r"\s \s")
-MAX_WORDS = 400_000  # cached words per worker; beyond it the cache starts anew
+MAX_WORDS = 150_000  # cached words that a worker keeps from one call to the next
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -94,8 +94,6 @@ class WordEncoder:
         """For each text: its ids (uint32) and the numbers of its words."""
         import numpy as np
 
-        if len(self.numbers) > MAX_WORDS:
-            self.reset()
         known, heads, numbers = len(self.numbers), [], []
         look = self.numbers.__getitem__
         for t in texts:
@@ -115,6 +113,8 @@ class WordEncoder:
             before = np.cumsum(n) - n
             at = np.repeat(self.start[w] - before, n) + np.arange(before[-1] + n[-1])
             out.append((np.concatenate([head, self.ids[at]]), w))
+        if len(self.numbers) > MAX_WORDS:
+            self.reset()
         return out
 
 
