@@ -1,11 +1,9 @@
-import os
+"""Tables that the tests of this folder share."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = [f"w{i}" for i in range(300)]
 
@@ -36,6 +34,6 @@ def near_copies(seed=5, bases=4, copies=40):
     return rows
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture
 def docs_of(spark):
     return lambda rows, extra=None: documents(spark, rows, extra)

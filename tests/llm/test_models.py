@@ -5,7 +5,7 @@ import random
 import zlib
 
 import pytest
-from conftest import documents
+from llm_data import docs_of, documents  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline

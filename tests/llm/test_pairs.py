@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import near_copies
+from llm_data import docs_of, near_copies  # noqa: F401
 
 from tessera.llm import shingles as shingle_module
 from tessera.llm.components import components

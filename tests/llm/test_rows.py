@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+from llm_data import docs_of  # noqa: F401
+
 from tessera.llm.htmltext import (Wrapper, align, extract_text, infer_wrappers, main_text, own_slots, shape, stream,
                                   with_host)
 from tessera.llm.secrets import (ACCESS, ASSIGN, base62, find_spans, keyword_automaton, mask_secrets, masked,
