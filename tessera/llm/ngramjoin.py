@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import release_memory, stored
 from tessera.llm.components import components
 from tessera.llm.shingles import Shingler, set_id
 
@@ -156,6 +156,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                  pa.array(least, pa.int64()), none, none], names=names)
             if kept:
                 yield frequent(kept, names)
+            kept = None
+            release_memory()
 
     return docs.mapInArrow(run, "doc_id long, th long, sid long, n long, least long, token long, c long")
 
@@ -205,6 +207,8 @@ def prefixes(docs: DataFrame, words: int, percent: int, common) -> DataFrame:
                     out, held = [], 0
             if out:
                 yield prefix_rows(out)
+            out = None
+            release_memory()
 
     return docs.select("text").mapInArrow(run, "token long, sid long, frequent boolean")
 

@@ -18,6 +18,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
 from tessera.llm.tokens import END_ID, encoder, tokenizer_file
 
 WINDOW = 1024
@@ -149,9 +150,12 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
         cols = [[rows[d][0] for d in doc], [p[1] for p in pieces], [p[2] for p in pieces], crc,
                 [lengths[d] for d in doc], [(shard << 32) + p[3] for p in pieces],
                 [p[4] for p in pieces]]
-        return pa.table([pa.array(c, pa.int64()) for c in cols],
-                        names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
-                               "sequence_id", "offset"])
+        out = pa.table([pa.array(c, pa.int64()) for c in cols],
+                       names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
+                              "sequence_id", "offset"])
+        del rows, coded, ids, pieces, doc, cols
+        release_memory()
+        return out
 
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
     return docs.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES)
