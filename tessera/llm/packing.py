@@ -1,7 +1,9 @@
 """Lexical retrieval packing: documents that share rare words fill one window.
 
-Documents are dealt into shards of bounded size.  Each shard builds a BM25
-inverted index of its documents; a window starts from a seed (what is left
+Words are counted over all documents.  Documents are dealt into shards of
+bounded size by their rarest word that another one holds as well; a seed
+never sees documents of other shards.  Each shard builds a BM25 inverted
+index of its documents with the counts over all; a window starts from a seed (what is left
 of the document cut last, else the next unused one) and takes the seed's
 best unused neighbours, those that fit whole first; the best of the rest is
 cut where the window is full.  Only a shard's last window can be short.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release_memory
@@ -25,47 +27,67 @@ WINDOW = 1024
 SHARD_BYTES = 8 << 20
 QUERY_TERMS = 16      # a seed asks with its rarest words
 K1, LENGTH_SHARE = 1.2, 0.75
+LENGTH = -(1 << 63)   # the term whose count is the number of words
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
+def terms_of(text: str) -> list[str]:
+    return text.split(" ")[1:]
+
+
+class TermNumbers(dict):
+    """term -> 64-bit hash, the same in every worker; ``of`` hashes the new terms of a text at once."""
+
+    def of(self, text: str):
+        import numpy as np
+        from pandas.util import hash_array
+
+        words = terms_of(text)
+        if new := [w for w in dict.fromkeys(words) if w not in self]:
+            self.update(zip(new, hash_array(np.array(new, object), categorize=False).view(np.int64).tolist()))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Bm25:
-    """Inverted index over one shard: postings of the words that two documents at least hold."""
+    """Inverted index over one shard: postings of the words that two of its documents at least hold.
 
-    def __init__(self, docs):
+    ``df`` (for each document: counts of its words in ascending order of the words), ``total`` and
+    ``mean`` are those of all documents; without them, of the shard.
+    """
+
+    def __init__(self, docs, df=None, total=None, mean=None):
         import numpy as np
 
         n = len(docs)
-        terms, counts, firsts, sizes = [], [], [], []
+        terms, counts, sizes = [], [], []
         for words in docs:
-            t, first, c = np.unique(words, return_index=True, return_counts=True)
+            t, c = np.unique(words, return_counts=True)
             terms.append(t)
-            firsts.append(first)
             counts.append(c)
             sizes.append(len(words))
         every = np.concatenate(terms) if n else np.zeros(0, np.int64)
-        vocabulary, at, df = np.unique(every, return_inverse=True, return_counts=True)
+        vocabulary, at, here = np.unique(every, return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(n), [len(t) for t in terms])
         tf = np.concatenate(counts) if n else every
         size = np.array(sizes, np.float64)
-        norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * size / max(1.0, size.mean() if n else 1.0))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[at] * tf * (K1 + 1) / (tf + norm[owner])
+        mean = mean or (size.mean() if n else 1.0)
+        norm = K1 * (1 - LENGTH_SHARE + LENGTH_SHARE * size / max(1.0, mean))
+        df = here[at] if df is None else np.concatenate([*df, np.zeros(0, np.int64)])
+        idf = np.log1p(((total or n) - df + 0.5) / (df + 0.5))
+        weight = idf * tf * (K1 + 1) / (tf + norm[owner])
         order = np.argsort(at, kind="stable")
         self.n, self.docs, self.weights = n, owner[order], weight[order]
-        self.ends = np.concatenate([[0], np.cumsum(df)])
-        # the rarest shared words of each document; ties by their place in the text
-        self.asks, a = [], 0
-        for t, first in zip(terms, firsts):
-            own = at[a:a + len(t)]
-            a += len(t)
-            shared = np.flatnonzero(df[own] > 1)
-            best = shared[np.lexsort((first[shared], df[own[shared]]))[:QUERY_TERMS]]
-            self.asks.append(own[best])
+        self.ends = np.concatenate([[0], np.cumsum(here)])
+        ends = np.cumsum([0, *(len(t) for t in terms)])
+        self.asks = []
+        for x, y in zip(ends, ends[1:]):
+            shared = x + np.flatnonzero(here[at[x:y]] > 1)
+            self.asks.append(at[shared[np.argsort(df[shared], kind="stable")[:QUERY_TERMS]]])
 
     def neighbours(self, doc: int, unused):
-        """Unused documents that share a rare word with ``doc``, best first (ties: in order)."""
+        """Unused documents that share a word with ``doc``, best first (ties: in order)."""
         import numpy as np
 
         spans = [slice(self.ends[t], self.ends[t + 1]) for t in self.asks[doc]]
@@ -124,6 +146,73 @@ def fill_windows(lengths, index: Bm25, window: int):
         number += 1
 
 
+def placed(docs: DataFrame, rows: int, chunks: int, group_bytes: float, row_bytes: float) -> DataFrame:
+    """Each row with the counts of its words over all documents, their mean length and its place.
+
+    The place is the rarest word that another document holds as well, cut into ``parts`` where the
+    documents of that word would be more than ``group_bytes``; no place where no word is shared.
+    Words are counted for each chunk of documents first, so only (chunk, word) pairs are shuffled.
+    """
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))
+    chunked = docs.withColumn("chunk", chunk).groupBy("chunk")
+
+    def count(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        numbers, found, length = TermNumbers(), [], 0
+        for t in table.column("text").to_pylist():
+            words = numbers.of(t or "")
+            length += len(words)
+            found.append(np.unique(words))
+        term, n = np.unique(np.concatenate(found), return_counts=True)
+        out = pa.table({"chunk": pa.array(np.full(len(term) + 1, key[0].as_py())),
+                        "term": pa.array(np.append(term, LENGTH)), "n": pa.array(np.append(n, length))})
+        del numbers, found, term, n
+        release_memory()
+        return out
+
+    counts = chunked.applyInArrow(count, "chunk long, term long, n long")
+    counts = (counts.withColumn("df", F.sum("n").over(Window.partitionBy("term")))
+              .where("df > 1").select(F.col("chunk").alias("c"), "term", "df"))
+
+    def place(key, table, known):
+        import numpy as np
+        import pyarrow as pa
+
+        term, df = (known.column(c).to_numpy() for c in ("term", "df"))
+        order = np.argsort(term)
+        term, df = np.append(term[order], (1 << 63) - 1), np.append(df[order], 1)
+        mean = df[0] / rows if term[0] == LENGTH else 0.0
+        numbers, places, parts, dfs = TermNumbers(), [], [], []
+        for t in table.column("text").to_pylist():
+            own = np.unique(numbers.of(t or ""))
+            at = np.minimum(np.searchsorted(term, own), len(term) - 1)
+            n = np.where(term[at] == own, df[at], 1)
+            dfs.append(n)
+            shared = np.flatnonzero(n > 1)
+            if len(shared):
+                best = shared[np.argmin(n[shared])]
+                places.append(int(own[best]))
+                parts.append(max(1, -int(-n[best] * row_bytes // group_bytes)))
+            else:
+                places.append(None)
+                parts.append(1)
+        ends = np.cumsum([0, *map(len, dfs)])
+        flat = np.concatenate(dfs)
+        out = pa.table({
+            "doc_id": table.column("doc_id"), "text": table.column("text"),
+            "place": pa.array(places, pa.int64()), "parts": pa.array(parts, pa.int64()),
+            "df": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+            "mean": pa.array(np.full(len(dfs), mean))})
+        del numbers, places, parts, dfs, flat, term, df
+        release_memory()
+        return out
+
+    return chunked.cogroup(counts.groupBy("c")).applyInArrow(
+        place, "doc_id long, text string, place long, parts long, df array<long>, mean double")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
          shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Pieces of all documents; ``sequence_id`` is the shard's number, then the window's."""
@@ -131,31 +220,43 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     total = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     # an id takes at least its end token: rows count too
-    shards = max(1, -(-((total[0] or 0) + 64 * total[1]) // shard_bytes))
+    size, rows = (total[0] or 0) + 64 * total[1], total[1]
+    shards = max(1, -(-size // shard_bytes))
 
     def run(key, table):
         import numpy as np
         import pyarrow as pa
 
         shard = key[0].as_py()
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()),
-                      key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        coded = encoder(path).encode_all([t or "" for _, t in rows])
+        mean = table.column("mean")[0].as_py()
+        listed = table.column("df").combine_chunks()
+        ends, flat = listed.offsets.to_numpy(), listed.values.to_numpy()
+        order = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), range(len(ends))),
+                       key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        numbers = TermNumbers()
+        index = Bm25([numbers.of(t or "") for _, t, _ in order],
+                     [flat[ends[i]:ends[i + 1]] for _, _, i in order], rows, mean)
+        del numbers, listed, flat
+        coded = encoder(path).encode_all([t or "" for _, t, _ in order])
         end = np.array([END_ID], np.uint32)
         ids = [np.concatenate([x, end]) for x, _ in coded]
         lengths = [len(x) for x in ids]
-        pieces = fill_windows(lengths, Bm25([w for _, w in coded]), window)
+        pieces = fill_windows(lengths, index, window)
         doc = [p[0] for p in pieces]
         crc = [zlib.crc32(ids[d][a:a + n].astype("<u4").tobytes()) for d, a, n, _, _ in pieces]
-        cols = [[rows[d][0] for d in doc], [p[1] for p in pieces], [p[2] for p in pieces], crc,
+        cols = [[order[d][0] for d in doc], [p[1] for p in pieces], [p[2] for p in pieces], crc,
                 [lengths[d] for d in doc], [(shard << 32) + p[3] for p in pieces],
                 [p[4] for p in pieces]]
         out = pa.table([pa.array(c, pa.int64()) for c in cols],
                        names=["doc_id", "start", "length", "ids_crc32", "doc_tokens",
                               "sequence_id", "offset"])
-        del rows, coded, ids, pieces, doc, cols
+        del order, coded, ids, pieces, doc, cols, index
         release_memory()
         return out
 
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
-    return docs.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES)
+    docs = placed(docs, rows, shards, shard_bytes / 4, size / max(1, rows))
+    apart = F.xxhash64("doc_id", "text")
+    near = F.when(F.col("place").isNull(), apart).otherwise(F.xxhash64("place", F.pmod(apart, "parts")))
+    shard = F.pmod(near, F.lit(shards))
+    return (docs.select("doc_id", "text", "df", "mean", shard.alias("shard"))
+            .groupBy("shard").applyInArrow(run, PIECES))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm.chat import TURN_SCHEMAS, levels, link_calls, turn_calls, validate
 from tessera.llm.langid import identify_language
-from tessera.llm.packing import Bm25, fill_windows, pack
+from tessera.llm.packing import Bm25, fill_windows, pack, placed
 from tessera.llm.quality import QualityModel, fit_quality, keep_good, score_quality
 from tessera.llm.tokens import encoder, tokenizer_file
 
@@ -146,6 +146,24 @@ def test_neighbours_share_rare_words():
     assert fill_windows([], Bm25([]), 6) == []
 
 
+def test_related_documents_share_a_shard(spark, docs_of):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(200)) + f" rare{i % 60}") for i in range(120)]
+    shards = {}
+    for r in pack(docs_of(rows), shard_bytes=1 << 13).collect():
+        shards.setdefault(r.doc_id, set()).add(r.sequence_id >> 32)
+    assert len(set.union(*shards.values())) > 3
+    assert all(shards[i] == shards[i + 60] for i in range(60))
+
+
+def test_words_count_over_all_documents(spark, docs_of):
+    rows = [(i, f"one two w{i % 7} x{i}") for i in range(50)] + [(99, None)]
+    got = placed(docs_of(rows).select("doc_id", "text"), len(rows), 5, 1 << 20, 20.0).collect()
+    assert len(got) == 51 and {r.mean for r in got} == {150 / 51}
+    want = {i: sorted([50, sum(j % 7 == i % 7 for j in range(50)), 1]) for i in range(50)}
+    assert all(sorted(r.df) == want[r.doc_id] for r in got if r.doc_id < 99)
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {
