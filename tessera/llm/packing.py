@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +26,21 @@ from tessera.llm.tokens import END_ID, encoder, tokenizer_file
 
 WINDOW = 1024
 SHARD_BYTES = 8 << 20
-QUERY_TERMS = 16      # a seed asks with its rarest words
 K1, LENGTH_SHARE = 1.2, 0.75
 LENGTH = -(1 << 63)   # the term whose count is the number of words
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{2,}")
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
 def terms_of(text: str) -> list[str]:
-    return text.split(" ")[1:]
+    """Words between white space; runs of scripts written without spaces also as character pairs."""
+    out = text.split()
+    if not text.isascii():
+        for run in UNSPACED.findall(text):
+            out += [run[i:i + 2] for i in range(len(run) - 1)]
+    return out
 
 
 class TermNumbers(dict):
@@ -81,10 +87,7 @@ class Bm25:
         self.n, self.docs, self.weights = n, owner[order], weight[order]
         self.ends = np.concatenate([[0], np.cumsum(here)])
         ends = np.cumsum([0, *(len(t) for t in terms)])
-        self.asks = []
-        for x, y in zip(ends, ends[1:]):
-            shared = x + np.flatnonzero(here[at[x:y]] > 1)
-            self.asks.append(at[shared[np.argsort(df[shared], kind="stable")[:QUERY_TERMS]]])
+        self.asks = [own[here[own] > 1] for own in (at[x:y] for x, y in zip(ends, ends[1:]))]
 
     def neighbours(self, doc: int, unused):
         """Unused documents that share a word with ``doc``, best first (ties: in order)."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm.chat import TURN_SCHEMAS, levels, link_calls, turn_calls, validate
 from tessera.llm.langid import identify_language
-from tessera.llm.packing import Bm25, fill_windows, pack, placed
+from tessera.llm.packing import Bm25, TermNumbers, fill_windows, pack, placed, terms_of
 from tessera.llm.quality import QualityModel, fit_quality, keep_good, score_quality
 from tessera.llm.tokens import encoder, tokenizer_file
 
@@ -159,11 +159,30 @@ def test_related_documents_share_a_shard(spark, docs_of):
 def test_words_count_over_all_documents(spark, docs_of):
     rows = [(i, f"one two w{i % 7} x{i}") for i in range(50)] + [(99, None)]
     got = placed(docs_of(rows).select("doc_id", "text"), len(rows), 5, 1 << 20, 20.0).collect()
-    assert len(got) == 51 and {r.mean for r in got} == {150 / 51}
-    want = {i: sorted([50, sum(j % 7 == i % 7 for j in range(50)), 1]) for i in range(50)}
+    assert len(got) == 51 and {r.mean for r in got} == {200 / 51}
+    want = {i: sorted([50, 50, sum(j % 7 == i % 7 for j in range(50)), 1]) for i in range(50)}
     assert all(sorted(r.df) == want[r.doc_id] for r in got if r.doc_id < 99)
 
 
+def test_every_word_of_a_seed_counts():
+    import numpy as np
+
+    # 0 shares 16 words with one of 2-17 each, and 20 more common ones with 1 and the last
+    docs = [[*range(36)], [*range(16, 36)], *([i] for i in range(16)), [*range(16, 36)]]
+    near = Bm25(docs).neighbours(0, np.arange(len(docs)) > 0)
+    assert near[:2] == [1, 18] and len(near) == 18
+
+
+def test_words_at_any_white_space():
+    assert terms_of("one two\nthree\tfour\u00a0five") == ["one", "two", "three", "four", "five"]
+    assert {"北京", "京大", "大学"} <= set(terms_of("x 北京大学")) and terms_of("") == []
+    numbers, index = TermNumbers(), None
+    index = Bm25([numbers.of(t) for t in ("a\nriver", "river\nb", "北京大学", "去北京")])
+    import numpy as np
+
+    assert index.neighbours(0, np.arange(4) != 0) == [1] and index.neighbours(2, np.arange(4) != 2) == [3]
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {
