@@ -190,3 +190,15 @@ def test_extract_table(spark):
     assert by[21].text == "" and by[22].text == "" and by[23].n_chars == 39_999
     assert infer_wrappers(with_host(df)).count() == 3
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_constant_text_of_a_host_is_no_content(spark):
+    page = "<body><div class=x1>Our firm</div><div class=x2><p>All rights kept</p><p>News {0}</p></div></body>"
+    named = "<body><div class=box>Our firm</div><div class='story share'><p>News {0}</p></div></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(12)]
+    rows += [(20 + i, f"http://b.com/{i}", named.format(i)) for i in range(12)]
+    rows += [(40 + i, "http://c.com/", page.format("same")) for i in range(12)]  # copies are one page
+    df = spark.createDataFrame([(*r, "x") for r in rows], PAGES + ", text string").repartition(5)
+    by = {r.page_id: r.text for r in extract_text(df).collect()}
+    assert all(by[i] == f"News {i}" and by[20 + i] == f"News {i}" for i in range(12))
+    assert all(by[40 + i] == "Our firm\nAll rights kept\nNews same" for i in range(12))
