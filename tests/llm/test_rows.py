@@ -1,6 +1,7 @@
 """URL filters, secrets, exact top-k and HTML extraction."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -202,3 +203,19 @@ def test_constant_text_of_a_host_is_no_content(spark):
     by = {r.page_id: r.text for r in extract_text(df).collect()}
     assert all(by[i] == f"News {i}" and by[20 + i] == f"News {i}" for i in range(12))
     assert all(by[40 + i] == "Our firm\nAll rights kept\nNews same" for i in range(12))
+
+
+def test_shapes_of_a_host_meet_in_small_groups(spark):
+    from tessera.llm.htmltext import dealt
+
+    shapes = spark.range(4000).selectExpr("'h' AS host", "1L AS n", "CAST(id AS STRING) AS shape")
+    sizes = [r["count"] for r in dealt(shapes, 20).groupBy("host", "salt").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 60
+    rnd = random.Random(8)
+    tags = ["<p>a</p>", "<h2>b</h2>", "<ul><li>c</ul>", "<figure>d</figure>"]
+    rows = [(i, "http://h/", "".join(rnd.choice(tags) for _ in range(6)), "x") for i in range(40)]
+    df = with_host(spark.createDataFrame(rows, PAGES + ", text string"))
+    (one,) = infer_wrappers(df, group=4).collect()
+    assert one.host == "h" and one.n == 40
+    w = Wrapper(json.loads(one["shape"]))
+    assert all(w.slots(stream(r[2])) == own_slots(stream(r[2])) for r in rows)
