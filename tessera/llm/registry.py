@@ -11,6 +11,7 @@ from tessera.llm.ngramjoin import similar_documents
 from tessera.llm.packing import pack
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.secrets import scan_secrets
+from tessera.llm.suffixdedup import remove_repeats, repeat_digest
 from tessera.llm.topk import top_k
 from tessera.llm.urlfilter import QUERY_RULES, SPAM_RULES, judge_urls
 
@@ -57,9 +58,14 @@ def op10_html_extraction(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    return repeat_digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_ngram_jaccard_join, op3_chat_formatting, op4_language_id,
-    op5_decontamination, op6_quality, op7_packing, op8_secret_scans, op9_exact_topk, op10_html_extraction)}
+    op5_decontamination, op6_quality, op7_packing, op8_secret_scans, op9_exact_topk, op10_html_extraction,
+    op11_suffix_dedup)}
 
 
 def _op1_sql() -> str:
@@ -171,5 +177,28 @@ SELECT conv_id, CASE WHEN nth IS NULL THEN result_turn ELSE call_turn END AS tur
        || ',"status":"' || status || '"}' AS record
 FROM j"""
 
-ORACLE = {"op1_url_filters": _op1_sql(), "op2_ngram_jaccard_join": _OP2_SQL,
+_OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT rid, p, b[p + 1:p + 200] AS s
+  FROM (SELECT rid, b, unnest(range(0, octet_length(b) - 199)) AS p FROM d)),
+r AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+h AS (
+  SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 200 THEN 0 ELSE 1 END AS new
+  FROM w SEMI JOIN r USING (s)),
+g AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS k FROM h),
+runs AS (SELECT rid, min(p) AS a, max(p) + 200 AS z FROM g GROUP BY rid, k),
+gaps AS (
+  SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS x, a AS y FROM runs
+  UNION ALL SELECT rid, max(z), 9223372036854775000 FROM runs GROUP BY rid),
+cut AS (
+  SELECT rid, string_agg(hex(b[x + 1:y]), '' ORDER BY x) AS kept FROM gaps JOIN d USING (rid) GROUP BY rid),
+n AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN cut USING (rid)"""
+
+ORACLE = {"op11_suffix_dedup": _OP11_SQL, "op1_url_filters": _op1_sql(), "op2_ngram_jaccard_join": _OP2_SQL,
           "op3_chat_formatting": _OP3_SQL, "op9_exact_topk": _OP9_SQL}
