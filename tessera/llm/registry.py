@@ -9,6 +9,7 @@ from tessera.llm.htmltext import extract_text
 from tessera.llm.langid import identify_language
 from tessera.llm.ngramjoin import similar_documents
 from tessera.llm.packing import pack
+from tessera.llm.phrases import mine_phrases
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.suffixdedup import remove_repeats, repeat_digest
@@ -62,10 +63,14 @@ def op11_suffix_dedup(spark, sf_dir):
     return repeat_digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op13_phrase_mining(spark, sf_dir):
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_ngram_jaccard_join, op3_chat_formatting, op4_language_id,
     op5_decontamination, op6_quality, op7_packing, op8_secret_scans, op9_exact_topk, op10_html_extraction,
-    op11_suffix_dedup)}
+    op11_suffix_dedup, op13_phrase_mining)}
 
 
 def _op1_sql() -> str:
@@ -200,5 +205,39 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
        sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
 FROM d LEFT JOIN n USING (rid) LEFT JOIN cut USING (rid)"""
 
-ORACLE = {"op11_suffix_dedup": _OP11_SQL, "op1_url_filters": _op1_sql(), "op2_ngram_jaccard_join": _OP2_SQL,
+_OP13_SQL = """
+WITH p AS (
+  SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\\x0A-\\x0D]+')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS w
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, w, k, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, w, k, f AS a FROM f WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, w, a, cut, w[1:cut] AS head, w[cut + 1:k] AS tail
+  FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
+scored AS (
+  SELECT x.lang, x.w, x.a, cut, h.f AS l, t.f AS r,
+         CAST((2000000 * CAST(a AS HUGEINT)) // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts x JOIN f h ON h.lang = x.lang AND h.w = x.head JOIN f t ON t.lang = x.lang AND t.w = x.tail),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) AS i FROM scored),
+inside AS (
+  SELECT lang, w, max(a) AS longer FROM (
+    SELECT lang, a, w[i:i + m - 1] AS w
+    FROM c, (SELECT unnest([2, 3]) AS m) x, (SELECT unnest([1, 2, 3]) AS i) y WHERE m < k AND i + m - 1 <= k)
+  GROUP BY lang, w),
+kept AS (
+  SELECT b.*, array_to_string(b.w, ' ') AS phrase
+  FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.w = b.w
+  WHERE i = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLE = {"op11_suffix_dedup": _OP11_SQL, "op13_phrase_mining": _OP13_SQL, "op1_url_filters": _op1_sql(), "op2_ngram_jaccard_join": _OP2_SQL,
           "op3_chat_formatting": _OP3_SQL, "op9_exact_topk": _OP9_SQL}
