@@ -36,8 +36,8 @@ from tessera.llm.shingles import _mix
 from tessera.llm.suffixes import SEPARATOR, common_prefixes, load_words, suffix_order
 
 LENGTH = 200
-CHUNK = 1 << 20   # windows of a long text looked at together (below 2**24: places share a word with hashes)
-SHARD = 8192      # pieces that a task sorts together
+CHUNK = 1 << 18   # windows of a long text looked at together (below 2**24: places share a word with hashes)
+SHARD = 2048      # pieces that a task sorts together
 HOT = 2000        # different pieces of one anchor beyond which it is split
 WIDTH = 16        # windows in a cut of a split piece
 BATCH = 1 << 15   # pieces handed on at a time
@@ -133,6 +133,7 @@ def fetch_pieces(length: int):
                         [pa.array([w[c] for w in part], t) for c, t in
                          (("g", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("at", pa.int32()))]
                         + [pa.array(cut, pa.binary())], names=["g", "h", "n", "at", "data"])
+            release_memory()
 
     return run
 
@@ -164,6 +165,8 @@ def split_pieces(length: int, width: int):
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+            out = None
+            release_memory()
 
     return run
 
@@ -240,6 +243,7 @@ def remove_runs(batches):
                 [b.column("doc_id").slice(i, 1), pa.array([len(data)], pa.int64()),
                  pa.array([[{"start": x, "end": y} for x, y in spans]], span), pa.array([b"".join(kept)], pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"])
+        release_memory()
 
 
 # --- the plan ------------------------------------------------------------------------------------
