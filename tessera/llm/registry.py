@@ -13,6 +13,8 @@ from tessera.llm.phrases import mine_phrases
 from tessera.llm.quality import fit_quality, score_quality
 from tessera.llm.secrets import scan_secrets
 from tessera.llm.suffixdedup import remove_repeats, repeat_digest
+from tessera.llm.tokenalign import align_tokens
+from tessera.llm.tokens import tokenizer_file
 from tessera.llm.topk import top_k
 from tessera.llm.urlfilter import QUERY_RULES, SPAM_RULES, judge_urls
 
@@ -63,6 +65,11 @@ def op11_suffix_dedup(spark, sf_dir):
     return repeat_digest(remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                        tokenizer_file("piece_bpe_32k.model"))[0]
+
+
 def op13_phrase_mining(spark, sf_dir):
     return mine_phrases(table(spark, sf_dir, "documents"))
 
@@ -70,7 +77,7 @@ def op13_phrase_mining(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_ngram_jaccard_join, op3_chat_formatting, op4_language_id,
     op5_decontamination, op6_quality, op7_packing, op8_secret_scans, op9_exact_topk, op10_html_extraction,
-    op11_suffix_dedup, op13_phrase_mining)}
+    op11_suffix_dedup, op12_token_alignment, op13_phrase_mining)}
 
 
 def _op1_sql() -> str:
