@@ -37,7 +37,8 @@ LONGEST = 4
 TOP = 2000
 MAX_WORDS = 1 << 22     # 48 MB of hashes and numbers
 MAX_PHRASES = 1 << 20   # some 16 MB of trie
-HELD = 1 << 22          # words or places that a task holds before it hands counts on
+SLICE = 1 << 12         # phrases whose counts are a row; MAX_PHRASES is a multiple
+HELD = 1 << 21          # words or places that a task holds before it hands counts on
 STREAM = 1 << 20        # word numbers in a stored stream
 SALTS = 64
 BREAKS = b".,;:!?\n\v\f\r"
@@ -352,24 +353,38 @@ def grow_phrases(shared, k: int):
 
 
 def count_phrases(shared):
-    """pid, n: accepting states of all levels."""
+    """slice, counts: accepting states of all levels, as the counts of SLICE phrases a row."""
 
     def run(batches):
         import numpy as np
 
         block = shared.value
-        total = np.zeros(block.count, np.int64)
+        total = np.zeros(-(-block.count // SLICE) * SLICE, np.int64)
         for b in batches:
             for ids in b.column("ids"):
                 for _, state in block.trie.walk(block.own(np.frombuffer(ids.as_py(), np.int32)), LONGEST):
                     leaf = block.trie.leaf[state[state >= 0]]
-                    total += np.bincount(leaf[leaf >= 0], minlength=block.count)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some + block.first), pa.array(total[some])], names=["pid", "n"])
+                    total += np.bincount(leaf[leaf >= 0], minlength=len(total))
+        parts = total.reshape(-1, SLICE)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some + block.first // SLICE), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+            names=["slice", "counts"])
 
     return run
 
 
+def sum_shards(key, table):
+    """pid, a: the counts of a slice, summed over all shards."""
+    import numpy as np
+
+    total = np.zeros(SLICE, np.int64)
+    for counts in table.column("counts"):
+        total += np.frombuffer(counts.as_py(), np.int64)
+    some = np.flatnonzero(total)
+    return pa.table({"pid": pa.array(some + key[0].as_py() * SLICE), "a": pa.array(total[some])})
+
+
 def blocks(phrases: DataFrame, total: int):
     """Broadcast tries of at most MAX_PHRASES phrases each (id, w: its words)."""
     import numpy as np
@@ -476,7 +491,8 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     names = (encoded.filter("id is not null").groupBy("id")
              .agg(F.min("word").alias("word")).select("id", F.col("word").cast("string").alias("word")))
     phrases = stored(candidate_phrases(streams, least), "candidate-phrases")
-    counted = over_blocks(streams, phrases, count_phrases, "pid long, n long").groupBy("pid").agg(F.sum("n").alias("a"))
+    counted = over_blocks(streams, phrases, count_phrases, "slice long, counts binary").groupBy("slice").applyInArrow(
+        sum_shards, "pid long, a long")
     found = phrases.join(counted, phrases["id"] == counted["pid"]).filter(F.col("a") >= least).select("w", "a")
     ranked = top_phrases(spelled(phrase_scores(found, words), names), top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

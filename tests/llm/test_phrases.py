@@ -76,7 +76,7 @@ def corpus(seed, n):
                    (n + 2, "state of the art " * 400, "en", "x", "y"), (0, rows[0][1], rows[0][2], "x", "y")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"MAX_PHRASES": 7}, {"MAX_WORDS": 3}, {"HELD": 50, "STREAM": 40}])
+@pytest.mark.parametrize("limits", [{}, {"MAX_PHRASES": 8, "SLICE": 4}, {"MAX_WORDS": 3}, {"HELD": 50, "STREAM": 40}])
 def test_phrases_equal_brute_force(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(module, name, value)
