@@ -374,15 +374,19 @@ def count_phrases(shared):
     return run
 
 
-def sum_shards(key, table):
+def sum_shards(size: int):
     """pid, a: the counts of a slice, summed over all shards."""
-    import numpy as np
 
-    total = np.zeros(SLICE, np.int64)
-    for counts in table.column("counts"):
-        total += np.frombuffer(counts.as_py(), np.int64)
-    some = np.flatnonzero(total)
-    return pa.table({"pid": pa.array(some + key[0].as_py() * SLICE), "a": pa.array(total[some])})
+    def run(key, table):
+        import numpy as np
+
+        total = np.zeros(size, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.int64)
+        some = np.flatnonzero(total)
+        return pa.table({"pid": pa.array(some + key[0].as_py() * size), "a": pa.array(total[some])})
+
+    return run
 
 
 def blocks(phrases: DataFrame, total: int):
@@ -492,7 +496,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
              .agg(F.min("word").alias("word")).select("id", F.col("word").cast("string").alias("word")))
     phrases = stored(candidate_phrases(streams, least), "candidate-phrases")
     counted = over_blocks(streams, phrases, count_phrases, "slice long, counts binary").groupBy("slice").applyInArrow(
-        sum_shards, "pid long, a long")
+        sum_shards(SLICE), "pid long, a long")
     found = phrases.join(counted, phrases["id"] == counted["pid"]).filter(F.col("a") >= least).select("w", "a")
     ranked = top_phrases(spelled(phrase_scores(found, words), names), top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
