@@ -5,10 +5,8 @@
 * Batch padding takes the longest sequence per batch from a grouped
   aggregate joined back on the batch key (no window over a batch).
 * BPE works on the table of distinct pre-tokens with their counts, held as
-  space-separated hex byte pieces; one Spark job per merge round counts
-  adjacent pairs, the single best pair goes to the driver, and the merge
-  is one ``regexp_replace`` over the table.  The table is checkpointed
-  reliably every few rounds to cut lineage.
+  space-separated hex byte pieces; ``operators.bpe`` learns many merges per
+  job from it and encodes texts by a whole merge list in one pass.
 """
 
 from __future__ import annotations
@@ -17,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import ws_trim
+from tessera.operators.bpe import encode_texts, train_merges
 from tessera.operators.ids import number_sorted
-from tessera.session import reliable_checkpoint
 
 # Fixed values of the token format.
 PAD_ID = 50256
@@ -168,35 +166,19 @@ def pair_counts(table: DataFrame) -> DataFrame:
             .groupBy("pair").agg(F.sum("n").cast("long").alias("n")))
 
 
-def apply_merge(table: DataFrame, a: str, b: str) -> DataFrame:
-    """Merge every non-overlapping adjacent (a, b), left to right."""
-    return table.select(F.regexp_replace("pieces", f" {a} {b}(?= )", f" {a}{b}").alias("pieces"), "n")
-
-
-def bpe_train(table: DataFrame, n_merges: int, checkpoint_every: int = 10,
-              initial_merges: list[tuple[str, str]] | None = None) -> DataFrame:
+def bpe_train(table: DataFrame, n_merges: int, initial_merges: list[tuple[str, str]] | None = None) -> DataFrame:
     """Learn ``n_merges`` merges (ties: smallest pair); returns (rank, a, b, n).
 
     ``initial_merges`` re-applies an existing merge list first (retraining
     from a saved vocabulary with a new budget).
     """
-    spark = table.sparkSession
-    # the distinct pre-token table is small next to the corpus: materialise it
-    # once so no round re-reads the texts
-    cur = reliable_checkpoint(table)
-    for a, b in initial_merges or []:
-        cur = apply_merge(cur, a, b)
-    merges = []
-    for r in range(n_merges):
-        top = pair_counts(cur).orderBy(F.desc("n"), "pair").limit(1).collect()
-        if not top:
-            break
-        a, b = top[0]["pair"].split(" ")
-        merges.append((r + len(initial_merges or []), a, b, int(top[0]["n"])))
-        cur = apply_merge(cur, a, b)
-        if (r + 1) % checkpoint_every == 0:
-            cur = reliable_checkpoint(cur)
-    return spark.createDataFrame(merges, "rank int, a string, b string, n long")
+    return train_merges(table, n_merges, initial_merges or [])
+
+
+def bpe_encode(df: DataFrame, merges: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with ``ids``: each text's token ids in the vocabulary of :func:`bpe_vocab`."""
+    ranked = [(r["a"], r["b"]) for r in merges.orderBy("rank").select("a", "b").collect()]  # the vocabulary
+    return encode_texts(df, ranked, PRETOKEN, text_col, first_id=len(SPECIAL_TOKENS) + 256)
 
 
 def bpe_vocab(spark: SparkSession, merges: DataFrame) -> DataFrame:

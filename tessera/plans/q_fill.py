@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import BANDS, pick_sql, uniform_sql
-from tessera.operators import fill, sampling as sp, synth as sy, text as tx, tokens as tk, udf
+from tessera.operators import fill, sampling as sp, synth as sy, text as tx, udf
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
 from tessera.plans.q_metrics import _rank_cte
@@ -176,15 +176,6 @@ def q_model_roundtrip(spark, d):
     return fill.impute_fitted(rc.impute_table(t), fitted, attrs["bands"])
 
 
-@query("bpe_roundtrip")
-def q_bpe_roundtrip(spark, d):
-    merges = tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents").select("text")), 4, checkpoint_every=2)
-    path = _scratch(spark, "tokenizer")
-    art.save_tokenizer(path, tk.bpe_vocab(spark, merges), merges)
-    vocab, _ = art.load_tokenizer(spark, path)
-    return vocab
-
-
 @query("roundtrip_csv", o.with_scene("SELECT * FROM s0"))
 def q_roundtrip_csv(spark, d):
     path = _scratch(spark, "scene-csv")

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import text as tx, tokens as tk
 from tessera.plans import oracle as o
+from tessera.plans import recover as rc
 from tessera.plans.q_text import COLS, CS, ROW_TEXT_SQL, corpus_rows
 from tessera.plans.registry import query
+from tessera.session import checkpoint_dir
+from tessera.sources import artefacts as art
 from tessera.sources.tables import table
 
 # ------------------------------------------------------------------ word ids and padding
@@ -122,12 +125,43 @@ def q_bpe_pair_counts(spark, d):
     return tk.pair_counts(tk.pretoken_counts(table(spark, d, "documents").select("text")))
 
 
-BPE_MERGES = 8
+BPE_MERGES = 1000
+MORE_MERGES = 200
+
+
+def _pretokens(spark, d):
+    return tk.pretoken_counts(table(spark, d, "documents").select("text"))
 
 
 @query("bpe_train")
 def q_bpe_train(spark, d):
-    return tk.bpe_train(tk.pretoken_counts(table(spark, d, "documents").select("text")), BPE_MERGES, checkpoint_every=4)
+    return tk.bpe_train(_pretokens(spark, d), BPE_MERGES)
+
+
+def saved_tokenizer(spark, d) -> str:
+    """Folder of the tokenizer of ``documents``; trained once for each state of the table's files."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tokenizer-{rc.source_key(spark, d, 'documents', BPE_MERGES)}"
+    if not art.exists(spark, f"{path}/merges/_SUCCESS"):
+        merges = tk.bpe_train(_pretokens(spark, d), BPE_MERGES)
+        art.save_tokenizer(path, tk.bpe_vocab(spark, merges), merges)
+    return path
+
+
+@query("bpe_roundtrip")
+def q_bpe_roundtrip(spark, d):
+    """The saved vocabulary, read back: special tokens, bytes, then every merge in its order."""
+    vocab, merges = art.load_tokenizer(spark, saved_tokenizer(spark, d))
+    own = tk.bpe_vocab(spark, merges)
+    return vocab.join(own, ["id", "token"], "left_semi")
+
+
+@query("bpe_retrain")
+def q_bpe_retrain(spark, d):
+    """Training goes on from the saved merges, and the documents are encoded by the longer list."""
+    _, saved = art.load_tokenizer(spark, saved_tokenizer(spark, d))
+    known = [(r["a"], r["b"]) for r in saved.orderBy("rank").collect()]  # the vocabulary
+    merges = saved.unionByName(tk.bpe_train(_pretokens(spark, d), MORE_MERGES, known))
+    return tk.bpe_encode(table(spark, d, "documents").select("doc_id", "text"), merges).select("doc_id", "ids")
 
 
 # Base vocabulary: the byte pieces present in documents, ranked; extended

@@ -21,16 +21,16 @@ DOY = 211
 BOX = (0, 0, 499, 49)
 
 
-def _store_key(spark: SparkSession, sf_dir: str, doys) -> str:
-    """Key of a prepared scene: every part file of the source plus the preparation parameters."""
+def source_key(spark: SparkSession, sf_dir: str, name: str, *parameters) -> str:
+    """Key of what is derived from a table: every part file of it plus the parameters."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files, parts = fs.listFiles(p, True), []
     while files.hasNext():
         st = files.next()
         parts.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
-    ident = f"{p.toString()}|{sorted(parts)}|{NX}|{NY}|{list(doys)}|v2"
+    ident = f"{p.toString()}|{sorted(parts)}|{parameters}|v3"
     return hashlib.sha1(ident.encode()).hexdigest()[:16]
 
 
@@ -44,7 +44,7 @@ def prepared(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> DataFrame:
     to a folder of its own and renamed when complete, so that two
     applications never write the same files.
     """
-    path = f"{checkpoint_dir(spark).rstrip('/')}/scene-store/{_store_key(spark, sf_dir, doys)}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scene-store/{source_key(spark, sf_dir, 'lineitem', NX, NY, list(doys))}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -24,7 +24,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def split_reuse(spark: SparkSession, path: str, make_split) -> DataFrame:
     """First run writes ``make_split() -> (train, test)`` partitioned by ``split``;
     later runs read the stored split instead of recomputing it."""
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if not exists(spark, f"{path}/_SUCCESS"):
         train, test = make_split()
         both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
         both.write.mode("overwrite").partitionBy("split").parquet(path)
@@ -47,7 +47,7 @@ def _read_attrs(spark: SparkSession, path: str) -> dict:
 
 def save_fill_model(spark: SparkSession, path: str, fitted, attrs: dict, overwrite: bool = False) -> None:
     """Save back-off context tables: one parquet table per context plus attributes."""
-    if _exists(spark, path) and not overwrite:
+    if exists(spark, path) and not overwrite:
         raise FileExistsError(f"{path} exists; pass overwrite=True to replace it")
     _write_attrs(spark, path, {**attrs, "contexts": [list(c) for c, _ in fitted]})
     for i, (_, tbl) in enumerate(fitted):
@@ -55,7 +55,7 @@ def save_fill_model(spark: SparkSession, path: str, fitted, attrs: dict, overwri
 
 
 def load_fill_model(spark: SparkSession, path: str):
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"{path} is not a saved model directory")
     attrs = _read_attrs(spark, path)
     fitted = [(ctx, spark.read.parquet(f"{path}/context_{i}")) for i, ctx in enumerate(attrs["contexts"])]

@@ -1,8 +1,13 @@
 """Token operators: padding, digit-place codes, BPE against brute force."""
 
+import random
 from collections import Counter
 
+import pytest
+
+from tessera.operators import bpe
 from tessera.operators import tokens as tk
+from tessera.sources import artefacts as art
 
 
 def test_digit_place_vocabulary(spark):
@@ -66,15 +71,62 @@ def _brute_bpe(words_counts, n_merges):
     return merges
 
 
-def test_bpe_matches_brute_force(spark):
-    texts = ["aaa abab aa", "ab ab ba aaaa", "b a ab"]
+def _random_words(seed, n):
+    rnd = random.Random(seed)
+    parts = ["a", "aa", "ab", "the", "on", "é", "ing", "b"]
+    return [" ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(0, 12)))
+            for _ in range(n)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"LEADERS": 4, "STORE_EVERY": 2, "BATCH": 3}, {"KEPT": 6}])
+def test_bpe_matches_brute_force(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(bpe, name, value)
+    texts = ["aaa abab aa", "ab ab ba aaaa", "b a ab", "aaaaaaa aaaaa"] + _random_words(1, 60)
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    table = tk.pretoken_counts(df)
-    got = [(r["a"], r["b"], r["n"]) for r in tk.bpe_train(table, 6, checkpoint_every=2).orderBy("rank").collect()]
+    table = tk.pretoken_counts(df).repartition(3)
     wc = Counter()
     for r in table.collect():
         wc[tuple(r["pieces"].split())] += r["n"]
-    assert got == _brute_bpe(wc, 6)
+    want = _brute_bpe(wc, 45)
+    got = [(r["a"], r["b"], r["n"]) for r in tk.bpe_train(table, 45).orderBy("rank").collect()]
+    assert got == want
+    known = [(a, b) for a, b, _ in want[:20]]
+    more = tk.bpe_train(table, 25, known).orderBy("rank").collect()
+    assert [(r["a"], r["b"], r["n"]) for r in more] == want[20:] and more[0]["rank"] == 20
+
+
+def test_bpe_ends_when_no_pair_is_left(spark):
+    table = spark.createDataFrame([(" 61 62 ", 3), (" 63 ", 9)], "pieces string, n long")
+    assert [tuple(r) for r in tk.bpe_train(table, 9).collect()] == [(0, "61", "62", 3)]
+    assert tk.bpe_train(table.limit(0), 9).count() == 0
+
+
+def test_saved_merges_encode_as_one_long_training(spark, tmp_path):
+    texts = _random_words(2, 80) + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = tk.pretoken_counts(df)
+    whole = tk.bpe_train(table, 40)
+    art.save_tokenizer(str(tmp_path), tk.bpe_vocab(spark, whole.limit(25)), whole.filter("rank < 25"))
+    vocab, merges = art.load_tokenizer(spark, str(tmp_path))
+    assert vocab.count() == len(tk.SPECIAL_TOKENS) + 256 + 25
+    assert merges.orderBy("rank").collect() == whole.filter("rank < 25").orderBy("rank").collect()
+    longer = merges.unionByName(tk.bpe_train(table, 15, [(r["a"], r["b"]) for r in merges.orderBy("rank").collect()]))
+    one = {r["doc_id"]: r["ids"] for r in tk.bpe_encode(df, whole).collect()}
+    assert {r["doc_id"]: r["ids"] for r in tk.bpe_encode(df, longer).collect()} == one
+    token = {r["id"]: bytes.fromhex(r["token"]) for r in tk.bpe_vocab(spark, whole).filter("id >= 8").collect()}
+    for i, t in enumerate(texts):  # ids spell the text; merges one after the other give the same ids
+        assert (one[i] is None) == (t is None)
+        if t is not None:
+            assert b"".join(token[x] for x in one[i]) == (" " + t).encode()
+    number = {(r["a"], r["b"]): r["rank"] + 256 for r in whole.collect()}
+    names = {f"{i:02X}": i for i in range(256)} | {a + b: n for (a, b), n in number.items()}
+    ranks = {(names[a], names[b]): n for (a, b), n in number.items()}
+    for word in {w for t in texts if t for w in t.split()}:
+        plain = list(word.encode())
+        for (a, b), n in sorted(ranks.items(), key=lambda x: x[1]):
+            plain = bpe.merge_word(plain, {(a, b): n})
+        assert bpe.merge_word(word.encode(), ranks) == plain
 
 
 def test_vocab_extend_skips_duplicates(spark):
