@@ -15,10 +15,14 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
+
 RATE = 0.08
 GRAM = 4
 ITEM_CHARS = 4 << 20   # characters of items in one automaton; more are searched in several passes
@@ -163,7 +167,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
                item_chars: int = ITEM_CHARS) -> DataFrame:
-    """The documents in whose text no benchmark item occurs."""
+    """The documents in whose text no benchmark item occurs.
+
+    Null and empty texts hold none; repeated rows and all columns stay as
+    they are; an empty table stays empty, an empty benchmark drops nothing.
+    """
     for block in item_blocks(benchmark, item_chars):
         docs = docs.filter(~holds_item(block, rate)(F.col("text")))
     return docs
@@ -171,9 +179,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
 
 def holds_item(block: list[tuple[int, str]], rate: float):
     @F.arrow_udf("boolean")
-    def holds(texts: pa.Array) -> pa.Array:
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = [Item(i, t, rate) for i, t in block]
         auto = automaton(items)
-        return pa.array([bool(t and search(folded(t), items, auto)) for t in texts.to_pylist()], pa.bool_())
+        for texts in batches:
+            yield pa.array([bool((t := x.as_py()) and search(folded(t), items, auto)) for x in texts], pa.bool_())
+            release_memory()
 
     return holds

@@ -19,12 +19,13 @@ each on its own; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_crc
+from tessera.llm.common import id_crc, release_memory
 from tessera.llm.ngrams import Grams
 
 MOST = 4000
@@ -174,11 +175,16 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The documents whose score reaches the threshold."""
+    """The documents whose score reaches the threshold (a null text is scored as an empty one).
+
+    Repeated rows and all columns stay as they are; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")
-    def good(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t) >= THRESHOLD for t in texts.to_pylist()], pa.bool_())
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shared.value.score(t.as_py()) >= THRESHOLD for t in texts], pa.bool_())
+            release_memory()
 
     return docs.filter(good("text"))

@@ -15,11 +15,14 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import release_memory
+
 BASE_KINDS = ("assign", "access", "hex")
 CHECKED_KINDS = ("github", "npm")
 KINDS = BASE_KINDS + CHECKED_KINDS
@@ -139,13 +142,18 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets masked and ``n_chars`` renewed where the text changed."""
+    """The documents with their secrets masked and ``n_chars`` renewed where the text changed.
+
+    A null text stays null; repeated rows stay; an empty table stays empty.
+    """
 
     @F.arrow_udf("string")
-    def mask(texts: pa.Array) -> pa.Array:
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         auto = keyword_automaton()
-        return pa.array([masked(t, f) if t and (f := find_spans(t, auto)) else t
-                         for t in texts.to_pylist()], pa.string())
+        for texts in batches:
+            yield pa.array([masked(t, f) if (t := x.as_py()) and (f := find_spans(t, auto)) else t
+                            for x in texts], pa.string())
+            release_memory()
 
     new = docs.withColumn("_masked", mask("text"))
     changed = ~F.col("_masked").eqNullSafe(F.col("text"))

@@ -8,9 +8,10 @@ but counts and at most k rows of each task and query is ever moved.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components
 take no part, nor does a null id; vectors of another length than the
-query's are no candidates; of several rows with one id the smallest
-vector counts; fewer candidates than k give as many rows; scores beyond a
-long are clipped to it; an empty table gives no rows.
+query's are no candidates; rows with one id are each a query and a
+candidate of their own, and only the query's own row is left out; fewer
+candidates than k give as many rows; scores beyond a long are clipped to
+it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +39,7 @@ def integer_vectors(vecs: DataFrame, scale: int = SCALE) -> DataFrame:
     usable = F.col("vec_id").isNotNull() & e.isNotNull() & F.forall(
         e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (vecs.select(F.col("vec_id").cast("long"), "embedding").filter(usable)
-            .select("vec_id", F.transform(e, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+            .select("vec_id", F.transform(e, lambda x: F.floor(x.cast("double") * scale)).alias("v")))
 
 
 class Block:
@@ -50,6 +50,7 @@ class Block:
 
         self.k = k
         self.ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
+        self.rows = np.array([r["row"] for r in rows], dtype=np.int64)
         self.by_length: dict[int, tuple] = {}
         for n in {len(r["v"]) for r in rows}:
             at = [i for i, r in enumerate(rows) if len(r["v"]) == n]
@@ -62,7 +63,7 @@ class Block:
         import numpy as np
 
         for b in batches:
-            ids = b.column("vec_id").to_numpy(zero_copy_only=False)
+            ids, own = (b.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
             lists = b.column("v")
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
@@ -72,7 +73,7 @@ class Block:
                 for i in range(0, len(same), CHUNK):
                     rows = same[i:i + CHUNK]
                     c = flat[ends[rows][:, None] + np.arange(n)].reshape(len(rows), n)
-                    yield at, ids[rows], scores(c, q), ids[rows][:, None] == self.ids[at][None, :]
+                    yield at, ids[rows], scores(c, q), own[rows][:, None] == self.rows[at][None, :]
 
 
 def scores(c, q):
@@ -176,8 +177,8 @@ def pick(cands: DataFrame, block: Block) -> DataFrame:
         ties: dict[int, np.ndarray] = {}
         for at, ids, s, own in block.scored(batches):
             c, j = np.nonzero(~own & (s > block.hi[at]) & (block.least[at] > 0))
-            out = [block.ids[at[j]], ids[c], s[c, j]]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["query_id", "vec_id", "score"])
+            out = [at[j], ids[c], s[c, j]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["q", "vec_id", "score"])
             c, j = np.nonzero(~own & (s == block.hi[at]) & (block.least[at] > 0))
             order = np.argsort(j, kind="stable")
             c, j = c[order], j[order]
@@ -187,13 +188,14 @@ def pick(cands: DataFrame, block: Block) -> DataFrame:
                 need = int(block.least[q] - block.above[q])
                 ties[q] = np.sort(np.concatenate([ties.get(q, new[:0]), new]))[:need]
         for q, ids in ties.items():
-            out = [np.repeat(block.ids[q], len(ids)), ids, np.repeat(block.hi[q], len(ids))]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["query_id", "vec_id", "score"])
+            out = [np.repeat(q, len(ids)), ids, np.repeat(block.hi[q], len(ids))]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["q", "vec_id", "score"])
 
-    best = cands.mapInArrow(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = cands.mapInArrow(run, "q long, vec_id long, score long")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    names = F.array(*[F.lit(int(i)) for i in block.ids])
     return (best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= block.k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select(F.get(names, F.col("q").cast("int")).alias("query_id"), "rank", "vec_id", "score"))
 
 
 def top_k(vecs: DataFrame, k: int = 5, every: int = QUERY_EVERY, block: int = BLOCK) -> DataFrame:
@@ -203,7 +205,7 @@ def top_k(vecs: DataFrame, k: int = 5, every: int = QUERY_EVERY, block: int = BL
     block at a time; each block's answer is stored before the next begins.
     """
     spark = vecs.sparkSession
-    cands = stored(integer_vectors(vecs), "vectors")
+    cands = stored(integer_vectors(vecs).withColumn("row", F.monotonically_increasing_id()), "vectors")
     queries = cands.filter(F.pmod("vec_id", F.lit(every)) == 0).toLocalIterator()
     parts = []
     while rows := list(islice(queries, block)):

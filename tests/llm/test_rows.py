@@ -105,19 +105,20 @@ def test_topk_equals_plain_search(spark):
     rows += [(300 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(90)]  # ties
     rows += [(400, None), (450, [1.0, None, 0.0, 0.0]), (500, [float("nan")] * 4), (550, [float("inf")] * 4),
              (None, [1.0] * 4), (600, [1.0, 2.0]), (601, [3.0, 1.0]), (650, [0.1] * 3), (700, []), (50, [9.0] * 4)]
+    rows.append((51, [8.0] * 4))  # a repeated candidate: both rows count
     df = spark.createDataFrame([(*r, 1) for r in rows], VECTORS).repartition(5)
-    usable = {}
+    usable = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and abs(x) < 1e30 for x in v):
             import numpy as np
 
             x = [int(np.floor(256 * float(np.float32(y)))) for y in v]
-            usable[i] = min(usable.get(i, x), x)
+            usable.append((i, x))
     want = []
-    for q, a in usable.items():
+    for n, (q, a) in enumerate(usable):
         if q % 50 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable.items()
-                           if i != q and len(a) == len(b))
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(usable)
+                           if m != n and len(a) == len(b))
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:5])]
     for block in (3, 2048):
         got = top_k(df.withColumnRenamed("label", "score"), block=block)
