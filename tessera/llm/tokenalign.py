@@ -2,6 +2,8 @@
 
 Both tokenizers read a text whole: A (byte-level BPE) the text after a
 space, B (pieces with byte fallback) the text, to which it adds that space.
+Neither joins a word with what stands before a single space, so words that
+were read before are not tokenised again: a word leads to its window.
 Byte offsets where a token of each ends are shared ends.  Those before a
 token that starts with a space on both sides are anchors: they split the
 text into windows, mostly words, and a window's alignment depends on its
@@ -32,9 +34,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import release_memory, stored
 
 SEGMENT = 1 << 17      # characters of a text tokenised together
-MEMO = 300_000         # windows that a worker keeps
+MEMO = 400_000         # windows and words that a worker keeps
 HELD = 1 << 21         # links that a task holds before it hands them on
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+CROWDED = re.compile(r"^ | $|  |\s \s")  # spaces that either tokenizer may join with a neighbour
 FORMS = 1 << 16        # ids have 16 bits
 SHIFT = 15             # bits of an id of B in a link's code
 
@@ -101,7 +104,8 @@ class Pair:
 
     def clear(self):
         """Forget the windows."""
-        self.number, self.text, self.links = {}, [], []
+        self.number, self.text, self.links, self.sizes = {}, [], [], []
+        self.words = {}  # word after a single space -> its window, -1 where the bytes differ
 
     def tokens(self, text: str):
         """Ids of both sides, or None where their bytes are not the text's."""
@@ -170,26 +174,48 @@ class Pair:
             self.number[keys[t]] = len(self.text)
             self.text.append("".join(spelled[x:y])[:-1])
             self.links.append(links[i:j])
+            self.sizes.append(len(keys[t][0]) << 31 | len(keys[t][1]) >> 1)
+
+    def read(self, text: str):
+        """Numbers of the windows of a text, or None where the bytes differ."""
+        if CROWDED.search(text):
+            found = self.tokens(text)
+            return None if found is None else self.windows(*found)
+        words = text.split(" ")
+        numbers = list(map(self.words.get, words))
+        if None in numbers:
+            self.learn_words(list({w for w, n in zip(words, numbers) if n is None}))
+            numbers = list(map(self.words.__getitem__, words))
+        return None if -1 in numbers else numbers
+
+    def learn_words(self, words: list[str]) -> None:
+        """The windows of new words, which are tokenised together."""
+        found = self.tokens(" ".join(words))
+        numbers = [] if found is None else self.windows(*found)
+        if len(numbers) == len(words):
+            self.words.update(zip(words, numbers))
+        elif len(words) == 1:
+            self.words[words[0]] = -1
+        else:
+            for w in words:
+                self.learn_words([w])
 
     def align(self, text: str | None):
         """(n_a, n_b, sha256 of the groups, codes of the links), or None for a text without tokens."""
         if not text:
             return None
-        n_a = n_b = 0
-        digest, codes, first = hashlib.sha256(), [], True
+        n, digest, codes, first = 0, hashlib.sha256(), [], True
         for part in segments(text):
-            found = self.tokens(part)
-            if found is None:
-                return None
-            a, b = found
-            if len(self.text) > MEMO:
+            if len(self.text) + len(self.words) > MEMO:
                 self.clear()
-            numbers = self.windows(a, b)
+            numbers = self.read(part)
+            if numbers is None:
+                return None
             groups = ";".join(map(self.text.__getitem__, numbers))
             digest.update((groups if first else ";" + groups).encode())
             codes += map(self.links.__getitem__, numbers)
-            n_a, n_b, first = n_a + len(a), n_b + len(b), False
-        return n_a, n_b, digest.hexdigest(), b"".join(codes)
+            n, first = n + sum(map(self.sizes.__getitem__, numbers)), False
+        return n >> 32, n & (2 ** 32 - 1), digest.hexdigest(), b"".join(codes)
 
 
 def segments(text: str):

@@ -73,6 +73,7 @@ def brute(tools, rows):
 
 def test_alignment_equals_brute_force(docs_of, spark, tools, monkeypatch):
     rows = list(enumerate(texts(300)))
+    rows += [(800 + i, t) for i, t in enumerate(["a \n b", " x", "x ", "a  b c", "\n x", "x \ny z", "\u2581 a b", "a \u2581 b"])]
     rows += [(900, None), (901, ""), (902, " "), (None, "one two"), (5, rows[5][1]), (903, "z" * 3000),
              (904, "ab▁c"), (905, " ".join(texts(90, seed=3)))]
     want, counts = brute(tools, rows)
