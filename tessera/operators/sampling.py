@@ -20,36 +20,57 @@ from tessera.operators.ids import positions
 BUCKET_SHIFT = 16  # 2^16 buckets of the 32-bit hash
 
 
-def rank_below(df: DataFrame, h: Column, keys: list[str], cut: int) -> Column:
-    """Condition that holds for the ``cut`` first rows in order of (hash, keys)."""
+def hashed(df: DataFrame, h: Column) -> DataFrame:
+    """``df`` with the hash in ``_h``, computed once per row.
+
+    The added zero is not deterministic for Catalyst, which therefore keeps
+    filters on ``_h`` above this projection instead of copying the hash into
+    them, where each of its parts would be computed again and again.
+    """
+    return df.withColumn("_h", h + F.monotonically_increasing_id() * F.lit(0))
+
+
+def rank_below(df: DataFrame, keys: list[str], cut: int) -> Column:
+    """Condition that holds for the ``cut`` first rows of a hashed table in order of (_h, keys).
+
+    Counts by the high bits find the bucket of the cut, counts of the hashes
+    in that bucket the hash; only rows of that one hash are ordered.
+    """
     if cut <= 0:
         return F.lit(False)
-    bucket = F.shiftright(h, BUCKET_SHIFT)
-    counts = sorted((r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect())
-    before, place = 0, None
-    for b, n in counts:
-        if before + n >= cut:
-            place = b
-            break
-        before += n
+
+    def find(counts, cut):
+        for value, n in sorted(counts):
+            if n >= cut:
+                return value, cut
+            cut -= n
+        return None, cut
+
+    bucket = F.shiftright("_h", BUCKET_SHIFT)
+    counts = [(r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect()]
+    if any(b is None for b, _ in counts):
+        raise ValueError(f"rows with a null key among {keys}: the order of their hash is not defined")
+    place, cut = find(counts, cut)
     if place is None:
         return F.lit(True)
-    first = (df.filter(bucket == place).select(h.alias("_h"), *keys).orderBy("_h", *keys).limit(cut - before)
-             .agg(F.max(F.struct("_h", *keys)).alias("m")).first()["m"])
+    inside = df.filter(bucket == place)
+    value, cut = find([(r[0], r[1]) for r in inside.groupBy("_h").count().collect()], cut)
+    last = inside.filter(F.col("_h") == value).select(*keys).orderBy(*keys).limit(cut) \
+        .agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
     types = dict(df.dtypes)
-    last = F.struct(F.lit(first["_h"]).cast("long"), *[F.lit(first[k]).cast(types[k]) for k in keys])
-    return F.struct(h.cast("long"), *[F.col(k) for k in keys]) <= last
+    upto = F.struct(*[F.lit(last[k]).cast(types[k]).alias(k) for k in keys])
+    return (F.col("_h") < value) | ((F.col("_h") == value) & (F.struct(*keys) <= upto))
 
 
 def exact_split(df: DataFrame, keys: list[str], test_frac: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train/test split with exactly ceil(f * n) test rows, the first in order of (hash, keys).
 
-    ``keys`` are unique and not null.
+    ``keys`` are unique; a null key raises an error.
     """
-    h = mix_keys(keys, seed)
+    rows = hashed(df, mix_keys(keys, seed))
     n = df.count()
-    test = rank_below(df, h, keys, int(-(-Fraction(str(test_frac)) * n // 1)))
-    return df.filter(~test), df.filter(test)
+    test = rank_below(rows, keys, int(-(-Fraction(str(test_frac)) * n // 1)))
+    return rows.filter(~test).drop("_h"), rows.filter(test).drop("_h")
 
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
@@ -88,14 +109,14 @@ def balanced_sample(df: DataFrame, cls: str, key: str, n: int, seed: int = 42, c
 
     A class without rows counts 0, so the sample is empty then.
     """
-    h = mix(F.col(key), seed)
-    have = {r[0]: r[1] for r in df.filter(F.col(cls).isin(*classes)).groupBy(cls).count().collect()}
+    rows = hashed(df.filter(F.col(cls).isin(*classes)), mix(F.col(key), seed))
+    have = {r[0]: r[1] for r in rows.groupBy(cls).count().collect()}
     per_class = min(n, *(have.get(c, 0) for c in classes)) // 2
     keep = F.lit(False)
     for c in classes:
         own = F.col(cls) == F.lit(c)
-        keep = keep | (own & rank_below(df.filter(own), h, [key], per_class))
-    return df.filter(keep)
+        keep = keep | (own & rank_below(rows.filter(own), [key], per_class))
+    return rows.filter(keep).drop("_h")
 
 
 def anchor_series(df: DataFrame, clear: DataFrame, doy: int, seed: int = 42) -> DataFrame:

@@ -1,74 +1,110 @@
 """Randomised draws: start samplers, temperature draws and row synthesis.
 
 The neural sampler of the source pipeline is re-aimed at frequency tables:
-a draw is an inverse-CDF lookup of a hash-uniform number in a cumulative
-table.  The lookup is a *bucketed range join*: every CDF interval is
-listed under each of the ``B`` equal buckets it overlaps, a draw joins on
-its own bucket and keeps the interval containing it -- an equi-join, not
-a cross join, with a handful of candidates per draw.
+a draw is an inverse-CDF lookup.  Every value of a group owns an interval
+of whole numbers as long as its weight; a draw is a number below the
+group's total.  The lookup is an ordered merge: interval starts and draws
+are range-partitioned and sorted together, each draw takes the value of the
+last start before it, and one row per partition is handed on to the next.
+Rows out equal rows in, whatever the number of values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import pick, uniform
+from tessera.functions.expr import any_null, mix_keys, pick, uniform
 from tessera.operators.ids import cumulative_sum, number_sorted, positions
 from tessera.session import reliable_checkpoint
 
-BUCKETS = 1024
+WEIGHT_UNIT = 1 << 36  # weight of a group's most frequent value where the temperature is not 1
 
 
-WEIGHT_UNIT = 1 << 20
+def draw_weights(counts: DataFrame, weight: str, group: list[str], temperature: float) -> DataFrame:
+    """``counts`` with ``_w``: n at temperature 1, else (n / largest n of the group) ** (1 / T) in units of 2^-36.
+
+    Relative to the largest count nothing overflows at any temperature; a
+    value whose share is below a unit has no weight and is left out.
+    """
+    if temperature <= 0:
+        raise ValueError(f"temperature {temperature} is not above 0")
+    n = F.col(weight)
+    if temperature == 1.0:
+        return counts.withColumn("_w", n.cast("long"))
+    if group:
+        top = counts.groupBy(*group).agg(F.max(n).alias("_top"))
+        rows, most = counts.join(top, group), F.col("_top")
+    else:
+        rows, most = counts, counts.agg(F.max(n)).scalar()
+    share = F.pow(n.cast("double") / most.cast("double"), 1.0 / temperature)
+    rows = rows.withColumn("_w", F.floor(share * WEIGHT_UNIT + 0.5).cast("long")).filter(F.col("_w") > 0)
+    return rows.drop("_top")
 
 
-def cdf_table(counts: DataFrame, value: str, weight: str = "n", group: list[str] | None = None,
-              temperature: float = 1.0) -> DataFrame:
-    """(group..., value, w, lo, hi): weights ``n ** (1/T)`` normalised per group.
+def intervals(counts: DataFrame, value: str, weight: str, group: list[str], temperature: float = 1.0):
+    """(group..., value, _w, _from): each value's weight and where its interval starts; and (group..., _total).
 
-    Values are ordered by weight descending then value, as a share table.
-    Weights are whole numbers (the counts, or multiples of 2^-20), so each
-    interval starts exactly where the one before it ends.
+    Values are ordered by count descending, then value.
     """
-    group = group or []
-    w = F.col(weight).cast("long") if temperature == 1.0 else F.greatest(
-        F.lit(1), F.round(F.pow(F.col(weight).cast("double"), 1.0 / temperature) * WEIGHT_UNIT).cast("long"))
-    t = counts.select(*group, value, w.alias("_w"), (-F.col(weight)).alias("_neg"))
+    t = draw_weights(counts, weight, group, temperature).select(*group, value, "_w", (-F.col(weight)).alias("_neg"))
     cum = cumulative_sum(t, ["_neg", value], "_w", "_cum", group=group)
-    tot = cum.groupBy(*group).agg(F.sum("_w").alias("_tot")) if group else None
-    if group:
-        cum = cum.join(tot, group)
-        total = F.col("_tot")
-    else:
-        total = t.agg(F.sum("_w")).scalar()
-    lo = (F.col("_cum") - F.col("_w")).cast("double") / total.cast("double")
-    hi = F.col("_cum").cast("double") / total.cast("double")
-    return cum.select(*group, value, F.col("_w").alias("w"), lo.alias("lo"), hi.alias("hi"))
-
-
-def draw(rows: DataFrame, cdf: DataFrame, u: str, value: str, out: str,
-         group: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Attach the value whose [lo, hi) interval holds ``rows[u]`` (per group)."""
-    group = group or []
-    b_lo = F.floor(F.col("lo") * buckets).cast("int")
-    b_hi = F.least(F.floor(F.col("hi") * buckets).cast("int"), F.lit(buckets - 1))
-    spread = cdf.select(*group, F.col(value).alias(out), "lo", "hi",
-                        F.explode(F.sequence(b_lo, F.greatest(b_lo, b_hi))).alias("_b"))
-    r = rows.withColumn("_b", F.floor(F.col(u) * buckets).cast("int"))
-    j = r.join(spread, [*group, "_b"], "left")
-    hit = (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))
-    kept = j.filter(hit | F.col("lo").isNull())
-    return kept.drop("_b", "lo", "hi")
+    totals = t.groupBy(*group).agg(F.sum("_w").alias("_total"))
+    return cum.select(*group, value, "_w", (F.col("_cum") - F.col("_w")).alias("_from")), totals
+
+
+def interval_lookup(rows: DataFrame, starts: DataFrame, value: str, out: str) -> DataFrame:
+    """``rows`` (_g, _pos, ...) with the value of the last start (_g, _from) at or before each place.
+
+    Every group of ``rows`` has a start at 0.  Ties of (group, place) are
+    spread by the other columns.
+    """
+    types, kind = dict(rows.dtypes), dict(starts.dtypes)[value]
+    others = [c for c in rows.columns if c not in ("_g", "_pos")]
+    both = starts.select("_g", F.col("_from").alias("_pos"), F.lit(0).alias("_kind"), F.col(value).alias("_v"),
+                         *[F.lit(None).cast(types[c]).alias(c) for c in others]).unionByName(
+        rows.select("_g", "_pos", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_v"), *others))
+    order = ["_g", "_pos", "_kind", *others]
+    ranged = reliable_checkpoint(both.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    last = ranged.filter("_kind = 0").groupBy("_part").agg(F.max(F.struct("_g", "_pos", "_v")).alias("m"))
+    ends = {r["_part"]: r["_v"] for r in last.select("_part", "m._v").collect()}  # one row per partition
+    carry, held = [], None
+    for part in range(ranged.rdd.getNumPartitions()):
+        carry.append((part, held))
+        held = ends.get(part, held)
+    borders = rows.sparkSession.createDataFrame(carry, f"_part int, _carry {kind}")
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = ranged.withColumn("_last", F.last("_v", ignorenulls=True).over(before)).filter("_kind = 1")
+    return filled.join(F.broadcast(borders), "_part").select(
+        *others, F.coalesce("_last", "_carry").alias(out))
+
+
+def place(u, total):
+    """A uniform number in [0, 1) as a place below ``total``."""
+    return F.least(F.floor(u * total.cast("double")).cast("long"), total - 1)
+
+
+def cdf_table(counts: DataFrame, value: str, weight: str = "n", temperature: float = 1.0) -> DataFrame:
+    """(value, w, lo, hi): the shares of a count table as intervals of [0, 1), the most frequent value first."""
+    starts, totals = intervals(counts, value, weight, [], temperature)
+    total = totals.select("_total").scalar().cast("double")
+    return starts.select(value, F.col("_w").alias("w"), (F.col("_from").cast("double") / total).alias("lo"),
+                         ((F.col("_from") + F.col("_w")).cast("double") / total).alias("hi"))
+
+
+def draw(rows: DataFrame, counts: DataFrame, u: str, value: str, out: str, temperature: float = 1.0) -> DataFrame:
+    """``rows`` with a value of the count table (``value``, n) for each number ``u`` in [0, 1)."""
+    starts, totals = intervals(counts.filter(F.col(value).isNotNull()), value, "n", [], temperature)
+    at = rows.withColumn("_pos", place(F.col(u), totals.select("_total").scalar()))
+    return interval_lookup(at.withColumn("_g", F.lit(0)), starts.withColumn("_g", F.lit(0)), value, out)
 
 
 # ------------------------------------------------------------------ K1 start samplers
 
 def start_categorical(rows: DataFrame, key: str, col: str, counts: DataFrame, seed: int = 42) -> DataFrame:
     """Weighted draw with replacement of a start value; text ``"col is v,"``."""
-    cdf = cdf_table(counts, "value")
     r = rows.select(key, uniform(F.col(key), seed).alias("_u"))
-    d = draw(r, cdf, "_u", "value", "value")
+    d = draw(r, counts, "_u", "value", "value")
     return d.select(key, F.concat(F.lit(col + " is "), F.col("value").cast("string"), F.lit(",")).alias("start"))
 
 
@@ -107,36 +143,65 @@ def choose_sampler(col: str | None = None, dist=None):
 
 # ------------------------------------------------------------------ K5 temperature draw
 
+def context_levels(train: DataFrame, bands: list[str], contexts) -> DataFrame:
+    """(_g, _value, n): counts of every band's values in each context, one after the other rolled up.
+
+    ``_g`` names level, context and band.  A context whose keys are part of
+    the one before is summed from its counts, not from the rows.
+    """
+    names = sorted({c for ctx in contexts for c in ctx})
+    long = (train.select(*names, *[F.col(b).cast("double").alias(b) for b in bands])
+            .unpivot(names, list(bands), "_band", "_value").filter(F.col("_value").isNotNull())) if names else \
+        train.select(F.explode(F.array(*[F.struct(F.lit(b).alias("_band"), F.col(b).cast("double").alias("_value"))
+                                         for b in bands])).alias("c")).select("c.*").filter("_value is not null")
+    out, above, held = None, None, None
+    for level, ctx in enumerate(contexts):
+        rolled = above is not None and set(ctx) <= above
+        src, n = (held, F.sum("n")) if rolled else (long, F.count(F.lit(1)))
+        held, above = src.groupBy(*ctx, "_band", "_value").agg(n.alias("n")), set(ctx)
+        part = held.dropna(subset=list(ctx)) if ctx else held
+        part = part.select(level_key(level, ctx).alias("_g"), "_value", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def level_key(level: int, ctx):
+    """Null where a key of the context is null: such a row matches nothing on this level."""
+    key = F.array(F.lit(str(level)), F.col("_band"), *[F.col(c).cast("string") for c in ctx])
+    return F.when(~any_null(ctx), key)
+
+
 def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
                 contexts=(("DOY",), ()), temperature: float = 1.0, seed=42, stream: int = 1) -> DataFrame:
     """Fill missing cells by sampling from context counts with weights n^(1/T).
 
-    All bands go through one pass per context: the training table and the
-    missing cells are unpivoted to (context, band, value), one CDF table per
-    context is grouped by (context, band), and one bucketed range join draws
-    every missing cell.  The longest context with data wins; cells are
-    pivoted back to columns, keyed by ``key``.  Band i draws from hash
-    stream ``stream + i``, so bands are independent of each other.
+    All bands and contexts go through one pass: counts by context, rolled up
+    from one to the next, intervals of all groups in one cumulative table,
+    and one ordered merge that draws every missing cell from the longest
+    context that has data.  Cells are pivoted back to columns, keyed by
+    ``key``.  Band i draws from hash stream ``stream + i``, so bands are
+    independent of each other.
     """
+    contexts = [list(c) for c in contexts]
     ctx_cols = sorted({c for ctx in contexts for c in ctx})
-    long_train = (train.select(*ctx_cols, *[F.col(b).cast("double").alias(b) for b in bands])
-                  .unpivot(ctx_cols, list(bands), "_band", "_value").filter(F.col("_value").isNotNull()))
+    counts = reliable_checkpoint(context_levels(train, bands, contexts))
+    starts, totals = intervals(counts, "_value", "n", ["_g"], temperature)
     cell = F.explode(F.array(*[F.struct(F.lit(b).alias("_band"), F.lit(i).alias("_bi"),
                                         F.col(b).cast("double").alias("_orig")) for i, b in enumerate(bands)]))
-    cells = (rows.select(key, *ctx_cols, cell.alias("_c"))
+    types = dict(train.dtypes)  # keys are compared as text: both sides need one type
+    cells = (rows.select(key, *[F.col(c).cast(types[c]).alias(c) for c in ctx_cols], cell.alias("_c"))
              .select(key, *ctx_cols, "_c._band", "_c._bi", "_c._orig")
              .filter(F.col("_orig").isNull())
              .withColumn("_u", F.coalesce(*[F.when(F.col("_bi") == i, uniform(F.col(key), seed, stream + i))
                                             for i in range(len(bands))])))
-    drawn = cells.select(key, "_band")
-    for ci, ctx in enumerate(contexts):
-        group = [*ctx, "_band"]
-        counts = long_train.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("n"))
-        cdf = cdf_table(counts, "_value", "n", group, temperature)
-        d = draw(cells.select(key, *group, "_u"), cdf, "_u", "_value", f"_d{ci}", group)
-        drawn = drawn.join(d.select(key, "_band", f"_d{ci}"), [key, "_band"], "left")
-    val = F.coalesce(*[F.col(f"_d{ci}") for ci in range(len(contexts))])
-    wide = drawn.groupBy(key).pivot("_band", list(bands)).agg(F.first(val))
+    for level, ctx in enumerate(contexts):
+        own = totals.select(F.col("_g").alias(f"_g{level}"), F.col("_total").alias(f"_t{level}"))
+        cells = cells.withColumn("_g", level_key(level, ctx)).join(own, F.col("_g") == F.col(f"_g{level}"), "left")
+    levels = range(len(contexts))
+    cells = cells.select(key, "_band", F.coalesce(*[F.col(f"_g{i}") for i in levels]).alias("_g"), place(
+        F.col("_u"), F.coalesce(*[F.col(f"_t{i}") for i in levels])).alias("_pos")).filter("_g is not null")
+    drawn = interval_lookup(cells, starts, "_value", "_drawn")
+    wide = drawn.groupBy(key).pivot("_band", list(bands)).agg(F.first("_drawn"))
     wide = wide.select(key, *[F.col(b).alias(f"_w_{b}") for b in bands])
     out = rows.join(wide, key, "left")
     return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_w_{c}")).alias(c) if c in bands
@@ -145,30 +210,63 @@ def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
 
 # ------------------------------------------------------------------ K6 synthesis
 
+def draw_number(cols: list[str], seed: int):
+    """63 hash bits of several key columns (portable: ``mix`` twice)."""
+    return F.shiftleft(mix_keys(cols, seed, 1).bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(mix_keys(cols, seed, 2))
+
+
+def next_band(rows: DataFrame, tree: DataFrame, start_col: str, before: list[str], band: str, seed: int,
+              stream: int) -> DataFrame:
+    """``rows`` (with _draw) and a value of ``band`` given the start column and the bands ``before`` it."""
+    contexts = [list(c) for c in dict.fromkeys([(start_col, *before), (start_col,), ()])]
+    out, held = None, tree.filter(F.col(band).isNotNull()).withColumn("_band", F.lit(band)) \
+        .withColumn("_value", F.col(band))
+    weight = "_n"
+    for level, ctx in enumerate(contexts):  # each level is summed from the one before
+        held = held.groupBy(*ctx, "_band", "_value").agg(F.sum(weight).alias("n"))
+        weight = "n"
+        part = held.select(level_key(level, ctx).alias("_g"), "_value", "n").filter("_g is not null")
+        out = part if out is None else out.unionByName(part)
+    starts, totals = intervals(reliable_checkpoint(out), "_value", "n", ["_g"])
+    cells = rows.withColumn("_band", F.lit(band)).withColumn("_u", uniform(F.col("_draw"), seed, stream))
+    for level, ctx in enumerate(contexts):
+        own = totals.select(F.col("_g").alias(f"_g{level}"), F.col("_total").alias(f"_t{level}"))
+        cells = cells.withColumn("_g", level_key(level, ctx)).join(own, F.col("_g") == F.col(f"_g{level}"), "left")
+    levels = range(len(contexts))
+    cells = cells.select(*rows.columns, F.coalesce(*[F.col(f"_g{i}") for i in levels]).alias("_g"), place(
+        F.col("_u"), F.coalesce(*[F.col(f"_t{i}") for i in levels])).alias("_pos")).filter("_g is not null")
+    return interval_lookup(cells, starts, "_value", band)
+
+
 def synthesize(spark_rows: DataFrame, key: str, train: DataFrame, start_col: str, bands: list[str],
                n: int, seed: int = 42, max_rounds: int = 14) -> DataFrame:
     """Draw exactly ``n`` rows: the start column from its marginal, then each band
     given the start column and the bands drawn before it (back-off: the start
     column, then all rows).
 
-    A round draws for every key as often as rows are missing; ``max_rounds``
+    The bands are one walk down a tree of counts (start, first band, second
+    band, ...): a band takes one table of intervals and one merge, whose
+    groups are the prefixes of the rows drawn so far and the two shorter
+    contexts.  A round draws for every key as often as rows are missing; ``max_rounds``
     rounds in a row without a complete row raise an error.
     """
     keys = reliable_checkpoint(spark_rows.select(key))
     have = keys.count()
     if n and not have:
         raise ValueError("no keys to draw for")
-    cdf = cdf_table(train.groupBy(F.col(start_col).alias("value")).agg(F.count(F.lit(1)).alias("n")), "value")
+    counts = train.groupBy(F.col(start_col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    # what all bands need: the counts of whole rows, of which every prefix is rolled up
+    tree = reliable_checkpoint(train.select(start_col, *[F.col(b).cast("double").alias(b) for b in bands])
+                               .groupBy(start_col, *bands).agg(F.count(F.lit(1)).alias("_n")))
     got, total, fruitless, rnd = None, 0, 0, 0
     while total < n or got is None:
         copies = max(1, -(-(n - total) // max(1, have)))
         r = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_copy"))
-        r = r.withColumn("_draw", F.xxhash64(key, "_copy", F.lit(rnd)))
-        rows = draw(r.withColumn("_u", uniform(F.col("_draw"), seed)), cdf, "_u", "value", start_col)
-        rows = rows.select(key, "_copy", "_draw", start_col, *[F.lit(None).cast("double").alias(b) for b in bands])
+        r = r.withColumn("_draw", draw_number([key, "_copy"], rnd))
+        rows = draw(r.withColumn("_u", uniform(F.col("_draw"), seed)), counts, "_u", "value", start_col)
+        rows = rows.select(key, "_copy", "_draw", start_col)
         for i, b in enumerate(bands):
-            contexts = dict.fromkeys([(start_col, *bands[:i]), (start_col,), ()])
-            rows = impute_draw(rows, train, "_draw", [b], tuple(contexts), 1.0, seed, i + 1)
+            rows = next_band(rows, tree, start_col, bands[:i], b, seed, i + 1)
         rows = reliable_checkpoint(rows.dropna(how="any").drop("_draw").withColumn("_round", F.lit(rnd)))
         k = rows.count()
         got = rows if got is None else got.unionByName(rows)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, pick_sql, uniform_sql
+from tessera.functions.expr import BANDS, mix_keys_sql, pick_sql, uniform_sql
 from tessera.operators import fill, sampling as sp, synth as sy, text as tx, udf
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
@@ -81,14 +81,85 @@ def q_start_random(spark, d):
 
 # ------------------------------------------------------------------ K5 - K7
 
-@query("impute_draw")
+def _level_ctes(name: str, src: str, ctx: list[str], temperature: float, unit: int = sy.WEIGHT_UNIT) -> str:
+    """CTE ``name``: the intervals (ctx, v, f, w, tot) of the values ``v`` counted in ``src``."""
+    part = f"PARTITION BY {', '.join(ctx)}" if ctx else ""
+    cols = "".join(f"{c}, " for c in ctx)
+    w = "n" if temperature == 1.0 else (
+        f"CAST(floor(pow(CAST(n AS DOUBLE) / CAST(max(n) OVER ({part}) AS DOUBLE), {1.0 / temperature!r}) "
+        f"* {unit} + 0.5) AS BIGINT)")
+    return (f"{name}_w AS (SELECT {cols}v, n, {w} AS w FROM (SELECT {cols}v, count(*) AS n FROM {src} "
+            f"WHERE v IS NOT NULL GROUP BY {cols}v)),\n"
+            f"{name} AS (SELECT {cols}v, w, CAST(sum(w) OVER ({part} ORDER BY n DESC, v ROWS UNBOUNDED PRECEDING) - w "
+            f"AS BIGINT) AS f, CAST(sum(w) OVER ({part}) AS BIGINT) AS tot FROM {name}_w WHERE w > 0)")
+
+
+def _hit(t: str, u: str) -> str:
+    at = f"least(CAST(floor({u} * CAST({t}.tot AS DOUBLE)) AS BIGINT), {t}.tot - 1)"
+    return f"{at} >= {t}.f AND {at} < {t}.f + {t}.w"
+
+
+TEMPERATURE = 0.7
+
+
+def _draw_sql(temperature: float) -> str:
+    ctes, joins = [], []
+    for i, b in enumerate(BANDS):
+        ctes.append(f"lg{i} AS (SELECT DOY, CAST({b} AS DOUBLE) AS v FROM clear)")
+        ctes.append(_level_ctes(f"a{i}", f"lg{i}", ["DOY"], temperature))
+        ctes.append(_level_ctes(f"z{i}", f"lg{i}", [], temperature))
+        u = f"u{i}"
+        ctes.append(f"c{i} AS (SELECT row_id, DOY, {uniform_sql('row_id', SEED, 1 + i)} AS {u} FROM tis WHERE {b} IS NULL)")
+        ctes.append(f"d{i} AS (SELECT c{i}.row_id, COALESCE(a.v, z.v) AS v FROM c{i} LEFT JOIN a{i} a ON a.DOY = c{i}.DOY "
+                    f"AND {_hit('a', u)} LEFT JOIN z{i} z ON {_hit('z', u)})")
+        joins.append(f"LEFT JOIN d{i} ON d{i}.row_id = tis.row_id")
+    cols = ", ".join(f"COALESCE(CAST({b} AS DOUBLE), d{i}.v) AS {b}" for i, b in enumerate(BANDS))
+    return o.with_scene(f"SELECT tis.row_id, PID, DOY, {cols} FROM tis {' '.join(joins)}", TS + ",\n" + ",\n".join(ctes))
+
+
+@query("impute_draw", _draw_sql(TEMPERATURE))
 def q_impute_draw(spark, d):
     t = rc.tables(spark, d)
     rows = impute_rows(spark, d)
-    return sy.impute_draw(rows, t.clear, "row_id", BANDS, (("DOY",), ()), temperature=0.7, seed=SEED)
+    return sy.impute_draw(rows, t.clear, "row_id", BANDS, (("DOY",), ()), temperature=TEMPERATURE, seed=SEED)
+
 
+COLD = 1e-32
 
-@query("synthesize")
+
+@query("impute_draw_cold", _draw_sql(COLD))
+def q_impute_draw_cold(spark, d):
+    """The same draw at the temperature of an evaluation: only the most frequent values are left."""
+    t = rc.tables(spark, d)
+    return sy.impute_draw(impute_rows(spark, d), t.clear, "row_id", BANDS, (("DOY",), ()), temperature=COLD, seed=SEED)
+
+
+def _synthesize_sql() -> str:
+    """One round of draws: a row for each key, every band from its longest context with data."""
+    number = (f"((({mix_keys_sql(['row_id', '0'], 0, 1)}) & {(1 << 31) - 1}) << 32) | ({mix_keys_sql(['row_id', '0'], 0, 2)})")
+    ctes = ["st AS (SELECT DOY AS v FROM clear)", _level_ctes("s", "st", [], 1.0),
+            f"k AS (SELECT row_id, CAST({number} AS BIGINT) AS dr FROM tis)",
+            f"r0 AS (SELECT row_id, dr, s.v AS DOY FROM (SELECT *, {uniform_sql('dr', SEED)} AS u FROM k) x "
+            f"JOIN s ON {_hit('s', 'x.u')})"]
+    for i, b in enumerate(BANDS):
+        before = BANDS[:i]
+        ctes.append(f"lg{i} AS (SELECT DOY, {''.join(f'CAST({x} AS DOUBLE) AS {x}, ' for x in before)}"
+                    f"CAST({b} AS DOUBLE) AS v FROM clear)")
+        found = []
+        for level, ctx in enumerate(dict.fromkeys([("DOY", *before), ("DOY",), ()])):
+            name = f"l{i}_{level}"
+            ctes.append(_level_ctes(name, f"lg{i}" if not ctx else
+                                    f"(SELECT * FROM lg{i} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ctx)})",
+                                    list(ctx), 1.0))
+            on = " AND ".join([*[f"{name}.{c} = x.{c}" for c in ctx], _hit(name, "x.u")])
+            found.append((name, f"LEFT JOIN {name} ON {on}"))
+        ctes.append(f"r{i + 1} AS (SELECT x.row_id, x.dr, x.DOY, {''.join(f'x.{c}, ' for c in before)}"
+                    f"COALESCE({', '.join(f'{n}.v' for n, _ in found)}) AS {b} FROM (SELECT *, "
+                    f"{uniform_sql('dr', SEED, i + 1)} AS u FROM r{i}) x {' '.join(j for _, j in found)})")
+    return o.with_scene(f"SELECT row_id, DOY, {', '.join(BANDS)} FROM r{len(BANDS)}", TS + ",\n" + ",\n".join(ctes))
+
+
+@query("synthesize", _synthesize_sql())
 def q_synthesize(spark, d):
     t = rc.tables(spark, d)
     keys = impute_rows(spark, d).select("row_id")
