@@ -28,6 +28,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Let Spark hand Python at most ``size`` bytes at a time from now on (whole texts; never raises the setting)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    held = int(now[:-1]) * units[now[-1]] if now[-1] in units else int(now)
+    if held < 0 or held > size:
+        spark.conf.set(name, f"{size}b")
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks."""
     import ctypes
