@@ -44,6 +44,21 @@ def read_trainer_states(spark: SparkSession, paths: list[str]) -> DataFrame:
     return recs.select(run.alias("run"), "idx", "r.step", "r.loss", "r.epoch", "r.learning_rate")
 
 
+def flatten_states(states: DataFrame, run: str = "run") -> DataFrame:
+    """One row per record of a table of trainer states (``run``, ``log_history``): run, idx and the record's fields.
+
+    A state without records, or with a null history, gives no row.
+    """
+    recs = states.select(F.col(run).alias("run"), F.posexplode("log_history").alias("idx", "r"))
+    return recs.select("run", "idx", "r.step", "r.loss", "r.epoch", "r.learning_rate")
+
+
+def read_state_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of trainer states, one JSON object ``{"run", "log_history": [...]}`` a line, flattened."""
+    schema = T.StructType([T.StructField("run", T.LongType()), *TRAINER_STATE.fields])
+    return flatten_states(spark.read.schema(schema).json(path))
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines log records ``{"run", "step", "loss", ...}`` with an explicit schema."""
     schema = "run INT, step LONG, loss DOUBLE, epoch DOUBLE, learning_rate DOUBLE"

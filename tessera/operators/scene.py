@@ -135,9 +135,11 @@ def reverse_columns(df: DataFrame) -> DataFrame:
 
 
 def fill_with_max(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Fill missing cells with the column's maximum (one scalar subquery per frame)."""
-    maxima = df.agg(*[F.max(c).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c), maxima.select(c).scalar()) for c in cols})
+    """Fill missing cells with the one maximum of all ``cols`` (a scalar subquery)."""
+    most = [F.max(c) for c in cols]
+    whole = df.agg((F.greatest(*most) if len(most) > 1 else most[0]).alias("m"))
+    types = dict(df.dtypes)
+    return df.withColumns({c: F.coalesce(F.col(c), whole.select("m").scalar().cast(types[c])) for c in cols})
 
 
 # ------------------------------------------------------------ filters
@@ -153,18 +155,19 @@ def clip_box(df: DataFrame, x1: int, y1: int, x2: int, y2: int) -> DataFrame:
 
 
 def select_doys(df: DataFrame, doys=DEFAULT_DOYS, keep_pos: bool = False) -> DataFrame:
-    """Rows of the listed dates; a repeated date repeats its rows.
+    """Rows of the listed dates, in the order of the list; a repeated date repeats its rows.
 
-    Distinct lists are a pushed-down ``isin``; lists with repeats join the
-    (bounded, list-sized) position table by broadcast.
+    Strictly ascending lists are a pushed-down ``isin`` that leaves the rows
+    where they are (stores are kept by date).  Others join the (bounded,
+    list-sized) position table by broadcast and sort by the position.
     """
     doys = [int(d) for d in doys]
-    if len(set(doys)) == len(doys) and not keep_pos:
+    if all(a < b for a, b in zip(doys, doys[1:])) and not keep_pos:
         return df.filter(F.col("DOY").isin(doys))
     spark = df.sparkSession
     lst = spark.createDataFrame([(i, d) for i, d in enumerate(doys)], "_pos int, DOY int")
     out = df.join(F.broadcast(lst), "DOY")
-    out = out.select(*df.columns, "_pos")
+    out = out.select(*df.columns, "_pos").orderBy("_pos")
     return out if keep_pos else out.drop("_pos")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import all_of, coerce_numeric, mix, pick, value_text, ws_trim
+from tessera.functions.expr import all_of, coerce_numeric, mix, pick, value_text
 
 # Fixed values of the text format.
 SEP = ", "
@@ -67,19 +67,20 @@ def row_text_segments(df: DataFrame, cols: list[str], fixed: int = 2, id_col: st
 
 
 def _is_int_row(cols: list[str]) -> Column:
-    return all_of([F.col(c).isNull() | (F.col(c).cast("double") == F.floor(F.col(c).cast("double")))
-                   for c in cols])
+    """Whether all cells of the row are whole numbers or missing (text that is no number is not)."""
+    return all_of([F.col(c).isNull() | F.coalesce(
+        F.col(c).try_cast("double") == F.floor(F.col(c).try_cast("double")), F.lit(False)) for c in cols])
 
 
 def partial_row_text(df: DataFrame, cols: list[str], id_col: str = "row_id") -> DataFrame:
     """Present cells only; integers print without a decimal point when the
-    whole row is integral, otherwise values print unchanged."""
+    whole row is integral, otherwise values print as in the corpus text."""
     int_row = _is_int_row(cols)
 
     def cell(c):
-        as_int = F.col(c).cast("double").cast("long").cast("string")
+        as_int = F.col(c).try_cast("double").cast("long").cast("string")
         return F.when(F.col(c).isNotNull(),
-                      F.concat(F.lit(c + IS), F.when(int_row, as_int).otherwise(ws_trim(F.col(c).cast("string")))))
+                      F.concat(F.lit(c + IS), F.when(int_row, as_int).otherwise(value_text(c))))
 
     return df.select(id_col, *cols, F.concat_ws(SEP, *[cell(c) for c in cols]).alias("enc"))
 

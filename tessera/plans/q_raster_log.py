@@ -99,6 +99,26 @@ def q_log_flatten(spark, d):
     return rl.read_log_lines(spark, path).select("run", "step", "loss")
 
 
+RUN_RECORDS = 500  # records of a run: a state is one JSON object
+
+
+@query("log_history", f"""
+SELECT event_id // {RUN_RECORDS} AS run, CAST(row_number() OVER (PARTITION BY event_id // {RUN_RECORDS}
+         ORDER BY event_id) - 1 AS INTEGER) AS idx, event_id % {RUN_RECORDS} AS step, value AS loss,
+       CAST(NULL AS DOUBLE) AS epoch, CAST(user_id AS DOUBLE) AS learning_rate FROM events""")
+def q_log_history(spark, d):
+    """Nested ``log_history`` states of many runs, written to the shared folder, read back and flattened."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex}"
+    ev = table(spark, d, "events").select(
+        F.floor(F.col("event_id") / RUN_RECORDS).cast("long").alias("run"), "event_id",
+        F.struct(F.col("user_id").cast("double").alias("learning_rate"), F.col("value").alias("loss"),
+                 (F.col("event_id") % RUN_RECORDS).alias("step")).alias("r"))
+    states = ev.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("event_id", "r"))).getField("r")
+                                   .alias("log_history"))
+    states.write.json(path)
+    return rl.read_state_lines(spark, path)
+
+
 @query("stitch_steps", "WITH " + LOG_SQL + """,
 runs AS (SELECT run, max(step) AS last_step FROM log GROUP BY run),
 sh AS (SELECT run, sum(last_step) OVER (ORDER BY run ROWS UNBOUNDED PRECEDING) - last_step AS shift FROM runs)

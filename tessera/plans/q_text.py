@@ -93,6 +93,39 @@ def q_impute_prompt(spark, d):
     return tx.impute_prompt(impute_rows(spark, d), COLS, seed=SEED)
 
 
+# The same with NDVI, whose values are fractions: a row with one prints every number as the corpus does.
+FLOAT_COLS = [*COLS, "NDVI"]
+TSN = "tis AS (SELECT CAST(PID AS BIGINT) * 1000 + DOY AS row_id, PID, DOY, B02, B03, B04, NDVI FROM ti)"
+
+
+def _float_enc_sql() -> str:
+    whole = " AND ".join(f"({c} IS NULL OR CAST({c} AS DOUBLE) = floor(CAST({c} AS DOUBLE)))" for c in FLOAT_COLS)
+    cells = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c} is ' || CASE WHEN {whole} THEN CAST(CAST({c} AS BIGINT) "
+                      f"AS VARCHAR) ELSE CAST({c} AS VARCHAR) END END" for c in FLOAT_COLS)
+    return f"concat_ws(', ', {cells})"
+
+
+def float_rows(spark, d):
+    t = rc.tables(spark, d)
+    return rc.impute_table(t).select((F.col("PID").cast("long") * 1000 + F.col("DOY")).alias("row_id"), *FLOAT_COLS)
+
+
+@query("partial_row_text_float", o.with_scene(
+    f"SELECT row_id, {', '.join(FLOAT_COLS)}, {_float_enc_sql()} AS enc FROM tis", TSN))
+def q_partial_row_text_float(spark, d):
+    return tx.partial_row_text(float_rows(spark, d), FLOAT_COLS)
+
+
+@query("impute_prompt_float", o.with_scene(
+    "SELECT row_id, CASE WHEN enc <> '' THEN enc || ', ' ELSE '' END || "
+    f"CASE WHEN len(m) > 0 THEN m[CAST({pick_sql('row_id', 'len(m)', SEED)} AS INTEGER) + 1] || ' is' ELSE '' END "
+    f"AS prompt FROM (SELECT row_id, {_float_enc_sql()} AS enc, list_filter(["
+    + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in FLOAT_COLS)
+    + "], lambda x: x IS NOT NULL) AS m FROM tis)", TSN))
+def q_impute_prompt_float(spark, d):
+    return tx.impute_prompt(float_rows(spark, d), FLOAT_COLS, seed=SEED)
+
+
 @query("clean_text", "SELECT doc_id, replace(replace(replace(text, '<|endoftext|>', ''), chr(10), ' '), "
        "chr(13), '') AS text FROM documents")
 def q_clean_text(spark, d):

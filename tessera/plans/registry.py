@@ -144,7 +144,8 @@ def q_reverse_columns(spark, d):
 
 
 @query("fill_with_max", o.with_scene(
-    "SELECT " + ", ".join(f"COALESCE({b}, (SELECT max({b}) FROM data)) AS {b}" for b in FILL_BANDS)
+    "SELECT " + ", ".join(f"COALESCE({b}, (SELECT greatest({', '.join(f'max({x})' for x in FILL_BANDS)}) FROM data)) "
+                          f"AS {b}" for b in FILL_BANDS)
     + ", cloud, adj_cloud, cloud_shadow, X, Y, DOY, PID FROM data"))
 def q_fill_with_max(spark, d):
     return sc.fill_with_max(rc.prepared(spark, d), FILL_BANDS)
