@@ -6,10 +6,12 @@ map-side, one shuffle on the context keys) and join the result to the rows
 to fill.  Missing cells take the value of the longest context that has
 data; present cells are never changed.
 
-* ``median``: exact ``F.median`` (its buffer is a value->count map, so a
-  hot group costs memory per *distinct* value, not per row).
-* ``mode``: argmax count, ties to the smallest value, via ``max_by`` over
-  ``(count, -value)``; no ranking window.
+* ``median``: exact ``F.median`` per group (its buffer is a value->count map,
+  so a hot group costs memory per *distinct* value, not per row); over the
+  whole table from value counts that are range-partitioned and summed up, so
+  no task holds all values.
+* ``mode``: the most frequent value, ties to the smallest, by the least
+  ``(-count, value)``; no ranking window, any type that has an order.
 """
 
 from __future__ import annotations
@@ -18,14 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expr import BANDS, all_of
+from tessera.operators.ids import cumulative_sum
 
 DEFAULT_CONTEXTS = (("PID",), ("DOY",), ())
 
-# Context keys whose cardinality is bounded by the domain (day of year),
-# so their tables may always be broadcast.
-BOUNDED_KEYS = {"DOY"}
-
-
 def _ctx_name(i: int, band: str) -> str:
     return f"_c{i}_{band}"
 
@@ -34,22 +32,49 @@ def context_table(train: DataFrame, ctx, bands, method: str = "median", i: int =
     """One row per context value with the statistic of every band."""
     ctx = list(ctx)
     if method == "median":
+        if not ctx:
+            return whole_medians(train, bands).select(*[F.col(b).alias(_ctx_name(i, b)) for b in bands])
         return train.groupBy(*ctx).agg(*[F.median(b).alias(_ctx_name(i, b)) for b in bands])
     if method == "mode":
-        # All bands in one pass: unpivot to (ctx, band, value), count, take the
-        # argmax per (ctx, band), pivot the bands back to columns.
         types = dict(train.dtypes)
-        vtype = types[bands[0]] if len({types[b] for b in bands}) == 1 else "double"
-        long = train.select(*ctx, *[F.col(b).cast(vtype).alias(b) for b in bands]).unpivot(
-            ctx, list(bands), "_band", "_value").filter(F.col("_value").isNotNull())
-        counts = long.groupBy(*ctx, "_band", "_value").agg(F.count(F.lit(1)).alias("_n"))
-        best = counts.groupBy(*ctx, "_band").agg(
-            F.max_by(F.col("_value"), F.struct(F.col("_n"), -F.col("_value"))).alias("_best"))
-        wide = best.groupBy(*ctx).pivot("_band", list(bands)).agg(F.first("_best"))
-        return wide.select(*ctx, *[F.col(b).cast(types[b]).alias(_ctx_name(i, b)) for b in bands])
+        out = None
+        for kind in dict.fromkeys(types[b] for b in bands):  # bands of unlike types are counted apart
+            part = modes(train, ctx, [b for b in bands if types[b] == kind])
+            out = part if out is None else out.join(part, ctx, "full") if ctx else out.join(part, F.lit(True), "full")
+        return out.select(*ctx, *[F.col(b).alias(_ctx_name(i, b)) for b in bands])
     raise ValueError(f"unknown method {method!r}")
 
 
+def modes(train: DataFrame, ctx: list[str], bands: list[str]) -> DataFrame:
+    """(ctx..., bands...): the most frequent value of each band, all bands (of one type) in one pass."""
+    long = train.select(*ctx, *[F.col(b).alias(f"_v_{b}") for b in bands]).unpivot(
+        ctx, [f"_v_{b}" for b in bands], "_band", "_value").filter(F.col("_value").isNotNull())
+    counts = long.groupBy(*ctx, "_band", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(*ctx, "_band").agg(F.min(F.struct(-F.col("_n"), F.col("_value")))["_value"].alias("_best"))
+    wide = best.groupBy(*ctx).pivot("_band", [f"_v_{b}" for b in bands]).agg(F.first("_best"))
+    return wide.select(*ctx, *[F.col(f"_v_{b}").alias(b) for b in bands])
+
+
+def whole_medians(df: DataFrame, bands) -> DataFrame:
+    """One row with the exact median (double) of each band over all rows, null for a band without values.
+
+    The counts of the distinct values are range-partitioned by (band, value)
+    and summed up; the two values at the middle ranks are picked by their
+    running counts.  Nothing but the table of partition sums is global.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("value"))
+                                         for b in bands])).alias("c")).select("c.*").filter("value is not null")
+    counts = long.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = cumulative_sum(counts, ["value"], "n", "upto", group=["band"])
+    total = upto.groupBy("band").agg(F.max("upto").alias("total"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)  # ranks from 0
+    inside = [(F.col("upto") - F.col("n") <= r) & (r < F.col("upto")) for r in (low, high)]
+    mid = upto.join(total, "band").agg(*[
+        ((F.max(F.when((F.col("band") == b) & inside[0], F.col("value")))
+          + F.max(F.when((F.col("band") == b) & inside[1], F.col("value")))) / 2).alias(b) for b in bands])
+    return mid
+
+
 def fit_contexts(train: DataFrame, bands=BANDS, contexts=DEFAULT_CONTEXTS, method: str = "median"):
     """Fitted back-off tables, longest context first."""
     return [(list(ctx), context_table(train, ctx, bands, method, i)) for i, ctx in enumerate(contexts)]
@@ -64,8 +89,7 @@ def _attach(rows: DataFrame, fitted, bands) -> DataFrame:
             packed = tbl.select(F.struct(*[_ctx_name(i, b) for b in bands]).alias("s")).scalar()
             out = out.withColumns({_ctx_name(i, b): packed[_ctx_name(i, b)] for b in bands})
         else:
-            small = set(ctx) <= BOUNDED_KEYS
-            out = out.join(F.broadcast(tbl) if small else tbl, ctx, "left")
+            out = out.join(tbl, ctx, "left")  # AQE broadcasts a table that is small
     return out
 
 

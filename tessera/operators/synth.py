@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expr import any_null, mix_keys, pick, uniform
 from tessera.operators.ids import cumulative_sum, number_sorted, positions
+from tessera.operators.prompts import is_number
 from tessera.session import reliable_checkpoint
 
 WEIGHT_UNIT = 1 << 36  # weight of a group's most frequent value where the temperature is not 1
@@ -125,13 +126,40 @@ def start_random(rows: DataFrame, key: str, cols: list[str], seed: int = 42) ->
     return rows.select(key, F.concat(name, F.lit(" is ")).alias("start"))
 
 
-def choose_sampler(col: str | None = None, dist=None):
+def fit_record(train: DataFrame, conditional: str | None = None) -> dict:
+    """What a fit leaves for later draws: columns, numeric columns, the conditional column and its distribution.
+
+    The conditional column is the last one unless named.  Its distribution is
+    chosen by type: ``continuous`` for numbers, else ``categorical``; both
+    are kept as counts of the values that are not null.
+    """
+    conditional = conditional or train.columns[-1]
+    if conditional not in train.columns:
+        raise ValueError(f"{conditional!r} is no column of the training rows")
+    numeric = [c for c, t in train.dtypes if is_number(t)]
+    counts = (train.filter(F.col(conditional).isNotNull()).groupBy(F.col(conditional).alias("value"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    return {"columns": train.columns, "numeric": numeric, "conditional": conditional,
+            "kind": "continuous" if conditional in numeric else "categorical", "counts": counts}
+
+
+def start_from_record(rows: DataFrame, key: str, record: dict, seed: int = 42, decimals: int = 5) -> DataFrame:
+    """Start texts drawn from the fitted column: ``"Sex is female,"`` or ``"Age is 26.00000,"``."""
+    u = rows.select(key, uniform(F.col(key), seed).alias("_u"))
+    drawn = draw(u, record["counts"], "_u", "value", "value")
+    text = F.format_string(f"%.{decimals}f", F.col("value").cast("double")) if record["kind"] == "continuous" \
+        else F.col("value").cast("string")
+    return drawn.select(key, F.concat(F.lit(record["conditional"] + " is "), text, F.lit(",")).alias("start"))
+
+
+def choose_sampler(col: str | None = None, dist=None, record: dict | None = None):
     """Pick the start sampler: categorical for a count table, continuous for a
-    value column, random column otherwise; name and distribution go together."""
+    value column; name and distribution go together.  Without both, the
+    column of the last fit decides, and without a fit a random column."""
     if (col is None) != (dist is None):
         raise ValueError("start column name and distribution must be given together")
     if col is None:
-        return "random"
+        return record["kind"] if record else "random"
     if isinstance(dist, DataFrame):
         cols = set(dist.columns)
         if {"value", "n"} <= cols:
@@ -141,6 +169,14 @@ def choose_sampler(col: str | None = None, dist=None):
     raise ValueError("distribution must be a (value, n) count table or a value column table")
 
 
+def start_texts(rows: DataFrame, key: str, record: dict | None = None, cols: list[str] | None = None,
+                seed: int = 42) -> DataFrame:
+    """Start texts by the sampler that :func:`choose_sampler` picks without a column."""
+    if choose_sampler(record=record) == "random":
+        return start_random(rows, key, cols or [], seed)
+    return start_from_record(rows, key, record, seed)
+
+
 # ------------------------------------------------------------------ K5 temperature draw
 
 def context_levels(train: DataFrame, bands: list[str], contexts) -> DataFrame:

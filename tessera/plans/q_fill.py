@@ -8,8 +8,8 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, mix_keys_sql, pick_sql, uniform_sql
-from tessera.operators import fill, sampling as sp, synth as sy, text as tx, udf
+from tessera.functions.expr import BANDS, mix, mix_keys_sql, mix_sql, pick_sql, uniform_sql
+from tessera.operators import fill, prompts as pr, sampling as sp, synth as sy, text as tx, udf
 from tessera.plans import oracle as o
 from tessera.plans import recover as rc
 from tessera.plans.q_metrics import _rank_cte
@@ -69,6 +69,35 @@ def q_start_continuous(spark, d):
     return sy.start_continuous(cust, "c_custkey", "c_acctbal", vals, SEED)
 
 
+def _fitted(spark, d, cols):
+    """A record fitted on customer columns, saved and loaded again."""
+    path = _scratch(spark, "fit-record")
+    art.save_fit_record(spark, path, sy.fit_record(table(spark, d, "customer").select(*cols)))
+    return art.load_fit_record(spark, path)
+
+
+@query("start_fitted", "WITH " + CDF_SQL + f"""
+SELECT c_custkey, 'c_mktsegment is ' || value || ',' AS start
+FROM (SELECT c_custkey, {_U} AS u FROM customer) r JOIN cdf ON r.u >= cdf.lo AND r.u < cdf.hi""")
+def q_start_fitted(spark, d):
+    """No start column given: the last fitted column, a text, gives the starts."""
+    record = _fitted(spark, d, ["c_custkey", "c_acctbal", "c_mktsegment"])
+    return sy.start_texts(table(spark, d, "customer"), "c_custkey", record, seed=SEED)
+
+
+@query("start_fitted_numbers", f"""
+WITH c AS (SELECT c_acctbal AS v, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1),
+s AS (SELECT v, n, sum(n) OVER (ORDER BY n DESC, v ROWS UNBOUNDED PRECEDING) - n AS f, sum(n) OVER () AS tot FROM c)
+SELECT c_custkey, 'c_acctbal is ' || printf('%.5f', v) || ',' AS start
+FROM (SELECT c_custkey, {_U} AS u FROM customer) r
+JOIN s ON least(CAST(floor(u * CAST(tot AS DOUBLE)) AS BIGINT), tot - 1) >= f
+      AND least(CAST(floor(u * CAST(tot AS DOUBLE)) AS BIGINT), tot - 1) < f + n""")
+def q_start_fitted_numbers(spark, d):
+    """The same with a number as the last fitted column."""
+    record = _fitted(spark, d, ["c_custkey", "c_mktsegment", "c_acctbal"])
+    return sy.start_texts(table(spark, d, "customer"), "c_custkey", record, seed=SEED)
+
+
 START_COLS = ["c_mktsegment", "c_acctbal", "c_nationkey"]
 
 
@@ -183,6 +212,57 @@ def q_complete_prompts(spark, d):
     return fill.impute(typed, t.clear.select(*[F.col(c).cast("double") for c in COLS]), BANDS)
 
 
+PROMPT_COLS = ["c_mktsegment", "c_nationkey", "c_acctbal"]
+PROMPT_CONTEXTS = [["c_mktsegment", "c_nationkey"], ["c_nationkey"], ["c_mktsegment"], []]
+
+
+def _prompt_kind(k: str) -> str:
+    """Every customer's prompt by its key: which cells it gives, and in which order."""
+    return f"({mix_sql(k, SEED)} % 5)"
+
+
+def customer_prompts(spark, d):
+    """Prompts of mixed types: two cells in either order, one cell, a wrong number, or nothing but a name."""
+    c = table(spark, d, "customer")
+    seg = F.concat(F.lit("c_mktsegment is "), F.col("c_mktsegment"))
+    nat = F.concat(F.lit("c_nationkey is "), F.col("c_nationkey").cast("string"))
+    kind = mix(F.col("c_custkey"), SEED) % 5
+    text = (F.when(kind == 0, F.concat(seg, F.lit(", "), nat, F.lit(", c_acctbal is")))
+            .when(kind == 1, F.concat(nat, F.lit(", "), seg))
+            .when(kind == 2, F.concat(nat, F.lit(", c_mktsegment is")))
+            .when(kind == 3, F.concat(F.lit("c_nationkey is many, "), seg)).otherwise("c_acctbal is"))
+    return c.select("c_custkey", text.alias("prompt"))
+
+
+def _customer_prompt_sql() -> str:
+    kind = _prompt_kind("c_custkey")
+    ctes = [f"p AS (SELECT c_custkey, CASE WHEN {kind} IN (0, 1, 3) THEN c_mktsegment END AS seg, "
+            f"CASE WHEN {kind} IN (0, 1, 2) THEN c_nationkey END AS nat FROM customer)"]
+    seen = "c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL"
+    ctes += [f"b2 AS (SELECT c_mktsegment AS seg, c_nationkey AS nat, median(c_acctbal) AS v FROM customer WHERE {seen} "
+             "GROUP BY ALL)",
+             "bn AS (SELECT c_nationkey AS nat, median(c_acctbal) AS v FROM customer WHERE c_nationkey IS NOT NULL "
+             "GROUP BY ALL)",
+             "bs AS (SELECT c_mktsegment AS seg, median(c_acctbal) AS v, CAST(trunc(median(c_nationkey)) AS INTEGER) AS n "
+             "FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY ALL)",
+             "al AS (SELECT median(c_acctbal) AS v, CAST(trunc(median(c_nationkey)) AS INTEGER) AS n FROM customer)",
+             "cm AS (SELECT c_mktsegment AS seg, c_nationkey AS nat, count(*) AS n FROM customer "
+             "WHERE c_mktsegment IS NOT NULL GROUP BY ALL)",
+             "mn AS (SELECT nat, arg_min(seg, (-n, seg)) AS s FROM cm WHERE nat IS NOT NULL GROUP BY nat)",
+             "ma AS (SELECT arg_min(seg, (-n, seg)) AS s FROM (SELECT seg, sum(n) AS n FROM cm GROUP BY seg))"]
+    return ("WITH " + ",\n".join(ctes) + "\nSELECT p.c_custkey, COALESCE(p.seg, mn.s, (SELECT s FROM ma)) AS c_mktsegment, "
+            "COALESCE(p.nat, bs.n, (SELECT n FROM al)) AS c_nationkey, "
+            "COALESCE(b2.v, bn.v, bs.v, (SELECT v FROM al)) AS c_acctbal FROM p "
+            "LEFT JOIN b2 ON b2.seg = p.seg AND b2.nat = p.nat LEFT JOIN bn ON bn.nat = p.nat "
+            "LEFT JOIN bs ON bs.seg = p.seg LEFT JOIN mn ON mn.nat = p.nat")
+
+
+@query("complete_customer_prompts", _customer_prompt_sql())
+def q_complete_customer_prompts(spark, d):
+    train = table(spark, d, "customer").select(*PROMPT_COLS)
+    return pr.complete_prompts(customer_prompts(spark, d), train, "c_custkey", PROMPT_CONTEXTS)
+
+
 # ------------------------------------------------------------------ U1 / U2 batch models
 
 def _doy_medians(t):

@@ -62,6 +62,18 @@ def load_fill_model(spark: SparkSession, path: str):
     return fitted, attrs
 
 
+def save_fit_record(spark: SparkSession, path: str, record: dict) -> None:
+    """Save what ``synth.fit_record`` gives: the counts as parquet, the rest as attributes."""
+    if exists(spark, path):
+        raise FileExistsError(f"{path} exists")
+    record["counts"].write.parquet(f"{path}/counts")
+    _write_attrs(spark, path, {k: v for k, v in record.items() if k != "counts"})
+
+
+def load_fit_record(spark: SparkSession, path: str) -> dict:
+    return {**_read_attrs(spark, path), "counts": spark.read.parquet(f"{path}/counts")}
+
+
 def save_tokenizer(path: str, vocab: DataFrame, merges: DataFrame) -> None:
     vocab.write.mode("overwrite").parquet(os.path.join(path, "vocab"))
     merges.write.mode("overwrite").parquet(os.path.join(path, "merges"))
