@@ -16,7 +16,7 @@ from tessera.llm.suffixdedup import remove_repeats, repeat_digest
 from tessera.llm.tokenalign import align_tokens
 from tessera.llm.tokens import tokenizer_file
 from tessera.llm.topk import top_k
-from tessera.llm.urlfilter import QUERY_RULES, SPAM_RULES, judge_urls
+from tessera.llm.urlfilter import QUERY_RULES, SPAM_WORDS, judge_urls
 
 
 def op1_url_filters(spark, sf_dir):
@@ -89,7 +89,7 @@ def _op1_sql() -> str:
     longest = sorted(QUERY_RULES, key=lambda r: (-len(r.text), r.text))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in longest)
     verdict = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in longest)
-    spam = " OR ".join(f"contains(host, '{r.text.strip('*')}')" for r in SPAM_RULES)
+    spam = f"regexp_matches(host, '(^|[.-])({'|'.join(SPAM_WORDS)})[.-]')"
 
     return f"""
 WITH parts AS (

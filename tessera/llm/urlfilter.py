@@ -7,8 +7,10 @@ token; rarity is counted over the tokens of all given URLs.  A URL's
 tokens fetch the candidate rules, and only those run their expression.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path
-and no fitting rule; repeated rows are judged each on its own; of fitting
-rules the longest wins (ties: the smaller text); extra columns are ignored.
+and no fitting rule; a null page_id stays null; a URL of any length is read
+whole; repeated rows are judged each on its own; of fitting rules the
+longest wins (ties: the smaller text); an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,9 +60,20 @@ QUERY_RULES = [
     Rule("com/", "allow"), Rule("example.com/en/", "block"), Rule("www.example.com/en/", "allow"),
     Rule("net/es/", "block"), Rule("net/fr/", "block"),
 ]
-# Default block patterns: known hosts of advertising, gambling and link farms.
-SPAM_RULES = [Rule(f"*{x}.*", "block") for x in
-              ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track")]
+# Default block patterns, a parameter of ``judge_urls``: hosts in which one of these words of advertising,
+# gambling, adult, pharmacy and fraud sites stands between dots or hyphens.
+SPAM_WORDS = """ad ads adserver adservice adtrack affiliate banner banners popunder popup tracker
+    bet bets betting bingo casino casinos gambling jackpot lottery poker roulette slots
+    adult cams escort escorts porn sex xxx cialis pharma pills viagra
+    crack keygen malware payday phishing scam spam warez""".split()
+
+
+def word_patterns(words, verdict: str = "block") -> list[Rule]:
+    """Host patterns in which each word is a whole part of a host's label."""
+    return [Rule(f"{left}{w}{right}", verdict) for w in words for left in ("", "*.", "*-") for right in (".*", "-*")]
+
+
+SPAM_RULES = word_patterns(SPAM_WORDS)
 
 JUDGE_SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 
@@ -73,13 +86,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def token_counts(urls: DataFrame, wanted: list[str]) -> dict[str, int]:
-    """In how many of all URLs each of the rules' own tokens occurs (bounded by the rules)."""
+    """In how many of all URLs each of the rules' own tokens occurs (as many rows as the rules have tokens)."""
     if not wanted:
         return {}
-    own = F.array(*[F.lit(w) for w in wanted])
+    own = F.broadcast(urls.sparkSession.createDataFrame([(w,) for w in wanted], "token string"))  # bounded by MAX_RULES
     key = F.regexp_replace(F.lower("url"), "[^a-z0-9]+", " ")
-    rows = (urls.select(F.explode(F.array_intersect(F.array_distinct(F.split(key, " ")), own)).alias("token"))
-            .groupBy("token").count().collect())
+    rows = (urls.select(F.explode(F.array_distinct(F.split(key, " "))).alias("token"))
+            .join(own, "token").groupBy("token").count().collect())
     return {r["token"]: r["count"] for r in rows}
 
 
@@ -96,6 +109,18 @@ def build_index(rules: list[Rule], counts: dict[str, int]):
     return index, always
 
 
+class Expressions(dict):
+    """The rules' expressions, compiled when first fetched."""
+
+    def __init__(self, rules: list[Rule]):
+        super().__init__()
+        self.rules = rules
+
+    def __missing__(self, i: int):
+        found = self[i] = re.compile(self.rules[i].regex())
+        return found
+
+
 def judge_urls(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | None = None,
                default: str = "allow") -> DataFrame:
     """page_id, host, path, fitting rule, verdict (the rule's, else the patterns', else default)."""
@@ -111,7 +136,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], patterns: list[Rule] | None
     def judge(batches):
         import pyarrow as pa
 
-        compiled = [re.compile(r.regex()) for r in every]
+        compiled = Expressions(every)
         for b in batches:
             rows = []
             for url in b.column("url").to_pylist():

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pytest
 from llm_data import docs_of  # noqa: F401
 
 from tessera.llm.htmltext import (Wrapper, align, extract_text, infer_wrappers, main_text, own_slots, shape, stream,
@@ -37,6 +38,12 @@ def test_url_rules(spark):
     assert got[10] == ("example.com", "", None, "allow")
     assert got[11] == ("h", "", None, "allow") and got[12][2] == "com/"
     assert judged(spark, []) == {}
+    more = judged(spark, ["http://my-casino.example.org/", "http://casinos-of.org", "http://mycasino.org/", "http://x.org/ads"])
+    assert [more[i][3] for i in range(4)] == ["block", "block", "allow", "allow"]
+    twice = spark.createDataFrame([(1, "http://a.com/" + "x" * 200_000, "h", "z")] * 2 + [(None, None, None, "z")],
+                                  PAGES + ", rule string")
+    assert sorted(((r.page_id, r.rule) for r in judge_urls(twice, QUERY_RULES).collect()), key=str) == [
+        (1, "com/"), (1, "com/"), (None, None)]
 
 
 def test_url_index_finds_what_all_rules_find(spark):
@@ -206,6 +213,20 @@ def test_constant_text_of_a_host_is_no_content(spark):
     assert all(by[40 + i] == "Our firm\nAll rights kept\nNews same" for i in range(12))
 
 
+@pytest.mark.parametrize("n", [9, 12])
+def test_an_article_keeps_what_its_host_repeats(spark, n):
+    page = ("<body><div>Our firm</div><article><h1>Recall {0}</h1><p>Do not use the product.</p><p>Batch {0} is affected."
+            "</p></article></body>")
+    main = "<body><main><p>Same lead</p><p>Item {0}</p></main></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(i)) for i in range(n)]
+    rows += [(50 + i, f"http://b.com/{i}", main.format(i)) for i in range(n)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], PAGES + ", text string").repartition(3)
+    by = {r.page_id: r.text for r in extract_text(df).collect()}
+    for i in range(n):
+        assert by[i] == f"Recall {i}\nDo not use the product.\nBatch {i} is affected."
+        assert by[50 + i] == f"Same lead\nItem {i}"
+
+
 def test_shapes_of_a_host_meet_in_small_groups(spark):
     from tessera.llm.htmltext import dealt
 
