@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.expr import ndvi8, stretch8
 
@@ -40,16 +41,17 @@ def raster_layers(df: DataFrame, layers: dict) -> DataFrame:
     last = F.coalesce(F.element_at(s, -1)["X"], x0 - 1)
     vtype = cells.schema["v"].dataType
 
-    def dense(n):
-        def piece(e, i):
-            prev_end = F.when(i == 0, x0).otherwise(F.element_at(s, i)["X"] + 1)
-            return F.concat(F.array_repeat(F.when(F.lit(False), e["v"][n]), e["X"] - prev_end),
-                            F.array(e["v"][n]))
-        empty = F.array().cast(f"array<{vtype[n].dataType.simpleString()}>")
-        tail = F.array_repeat(F.when(F.lit(False), F.element_at(s, 1)["v"][n]), x1 - last)
-        return F.concat(F.coalesce(F.flatten(F.transform(s, piece)), empty), tail).alias(n)
+    none = F.when(F.lit(False), F.element_at(s, 1)["v"])  # a pixel that is not there
 
-    return j.select("DOY", "Y", "x0", *[dense(n) for n in names])
+    def piece(e, i):
+        prev_end = F.when(i == 0, x0).otherwise(F.element_at(s, i)["X"] + 1)
+        return F.concat(F.array_repeat(F.when(F.lit(False), e["v"]), e["X"] - prev_end), F.array(e["v"]))
+
+    empty = F.array().cast(T.ArrayType(vtype))
+    line = F.concat(F.coalesce(F.flatten(F.transform(s, piece)), empty), F.array_repeat(none, x1 - last))
+    # one walk over the pixels for all layers; each layer is then a field of the line's cells
+    return j.select("DOY", "Y", "x0", line.alias("_line")).select(
+        "DOY", "Y", "x0", *[F.col("_line").getField(n).alias(n) for n in names])
 
 
 def raster_rows(df: DataFrame, band: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.ids import positions
+from tessera.sources.ordered import OrderedTable, write_ordered
 
 LOG_RECORD = T.StructType([
     T.StructField("epoch", T.DoubleType()), T.StructField("learning_rate", T.DoubleType()),
@@ -87,20 +88,20 @@ def stitch_steps(log: DataFrame) -> DataFrame:
     return log.join(shift, "run").withColumn("global_step", F.col("step") + F.col("shift")).drop("shift")
 
 
-def loss_delta(log: DataFrame) -> DataFrame:
+def ordered_log(log: DataFrame, path: str) -> OrderedTable:
+    """The log written in (run, step) order into ``path``, a folder that all executors share."""
+    write_ordered(log, ["run", "step"], path)
+    return OrderedTable(log.sparkSession, path)
+
+
+def loss_delta(log: OrderedTable) -> DataFrame:
     """Loss minus the previous record's loss in (run, step) order; the first is 0.
 
-    The previous record inside a run is an equi-join on the record's rank;
-    the first record of a run takes the last loss of the previous run from
-    the per-run table.
+    The record before is the neighbour in an ordered log; only one value for
+    each file crosses a border, and no run is shuffled or joined.
     """
-    ranked = record_rank(log)
-    prev = ranked.select("run", (F.col("rank") + 1).alias("rank"), F.col("loss").alias("_prev"))
-    runs = _run_table(log)
-    prev_run = runs.select("run", F.lag("last_loss").over(Window.orderBy("run")).alias("_prev_run"))
-    j = ranked.join(prev, ["run", "rank"], "left").join(prev_run, "run")
-    p = F.coalesce(F.col("_prev"), F.col("_prev_run"), F.col("loss"))
-    return j.select("run", "step", "loss", (F.col("loss") - p).alias("delta"))
+    rows = log.with_previous("loss", "_prev")
+    return rows.select("run", "step", "loss", (F.col("loss") - F.coalesce("_prev", "loss")).alias("delta"))
 
 
 def record_rank(log: DataFrame, order: str = "step") -> DataFrame:
@@ -115,13 +116,15 @@ def record_rank(log: DataFrame, order: str = "step") -> DataFrame:
 TAIL_DIVISORS = [12, 10, 6, 4, 3, 2]
 
 
-def log_tail(log: DataFrame) -> DataFrame:
-    """Rows from position n//k for each k, and from n//2 + n//4, labelled by cut."""
-    pos = positions(log, ["run", "step"], "_pos")
-    n = pos.agg(F.count(F.lit(1))).scalar()
-    cuts = [(f"n//{k}", F.floor(n / F.lit(k))) for k in TAIL_DIVISORS]
-    cuts.append(("n//2+n//4", F.floor(n / F.lit(2)) + F.floor(n / F.lit(4))))
-    arr = F.array(*[F.struct(F.lit(name).alias("cut"), start.cast("long").alias("start")) for name, start in cuts])
-    # subqueries may not sit inside a lambda: explode the 7 cuts, then filter
-    tagged = pos.select("*", F.explode(arr).alias("c")).filter(F.col("_pos") >= F.col("c.start"))
-    return tagged.select(F.col("c.cut").alias("cut"), "run", "step", "loss", F.col("_pos").alias("pos"))
+def log_tail(log: OrderedTable) -> DataFrame:
+    """Rows from position n//k for each k, and from n//2 + n//4, labelled by cut.
+
+    Each cut reads the files of an ordered log from its position on.
+    """
+    n = log.total
+    cuts = [(f"n//{k}", n // k) for k in TAIL_DIVISORS] + [("n//2+n//4", n // 2 + n // 4)]
+    out = None
+    for name, start in cuts:
+        part = log.slice(start, n, "pos").select(F.lit(name).alias("cut"), "run", "step", "loss", "pos")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -226,21 +226,17 @@ SLICE = (1000, 2000)
 _ROWNUM = "rn AS (SELECT *, row_number() OVER (ORDER BY DOY, Y, X) - 1 AS row_id FROM data)"
 
 
-def _numbered(spark, d):
-    return sp.row_ids(rc.prepared(spark, d), ["DOY", "Y", "X"])
-
-
 @query("rows_by_id", o.with_scene(
     "SELECT rn.*, l.pos FROM rn JOIN (VALUES " + ", ".join(f"({i}, {v})" for i, v in enumerate(ROW_IDS))
     + ") AS l(pos, rid) ON rn.row_id = l.rid", _ROWNUM))
 def q_rows_by_id(spark, d):
-    return sp.rows_by_id(_numbered(spark, d), ROW_IDS).withColumnRenamed("_pos", "pos")
+    return rc.ordered(spark, d).rows(ROW_IDS, place="pos")
 
 
 @query("row_slice", o.with_scene(f"SELECT * FROM rn WHERE row_id >= {SLICE[0]} AND row_id < {SLICE[1]}",
                                  _ROWNUM))
 def q_row_slice(spark, d):
-    return sp.row_slice(_numbered(spark, d), *SLICE)
+    return rc.ordered(spark, d).slice(*SLICE)
 
 
 @query("anchor_series", o.with_scene(

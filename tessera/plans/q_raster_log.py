@@ -91,6 +91,10 @@ def events_log(spark, d):
     return ranked.select("run", F.col("rank").cast("long").alias("step"), "loss")
 
 
+def _ordered_log(spark, d):
+    return rl.ordered_log(events_log(spark, d), f"{checkpoint_dir(spark).rstrip('/')}/ordered-log-{uuid.uuid4().hex}")
+
+
 @query("log_flatten", "WITH " + LOG_SQL + " SELECT run, step, loss FROM log")
 def q_log_flatten(spark, d):
     """Write the log as JSON lines in the shared checkpoint folder, read it back."""
@@ -130,7 +134,7 @@ def q_stitch_steps(spark, d):
 @query("loss_delta", "WITH " + LOG_SQL + """
 SELECT run, step, loss, loss - COALESCE(lag(loss) OVER (ORDER BY run, step), loss) AS delta FROM log""")
 def q_loss_delta(spark, d):
-    return rl.loss_delta(events_log(spark, d))
+    return rl.loss_delta(_ordered_log(spark, d))
 
 
 def _tail_sql() -> str:
@@ -143,4 +147,4 @@ def _tail_sql() -> str:
 
 @query("log_tail", _tail_sql())
 def q_log_tail(spark, d):
-    return rl.log_tail(events_log(spark, d))
+    return rl.log_tail(_ordered_log(spark, d))

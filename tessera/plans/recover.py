@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expr import BANDS, DEFAULT_DOYS, SCENE_COLUMNS
 from tessera.operators import fill, scene as sc
 from tessera.session import checkpoint_dir
+from tessera.sources.ordered import OrderedTable, write_ordered
 from tessera.sources.scene import NX, NY, scene
 
 # Parameters of the registered queries.  The box is relative to the minimum
@@ -62,6 +63,23 @@ def prepared(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> DataFrame:
     return spark.read.parquet(path).select(*SCENE_COLUMNS)
 
 
+def ordered(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> OrderedTable:
+    """The prepared scene in (DOY, Y, X) order with its positional index, written once for each state of the source."""
+    key = source_key(spark, sf_dir, "lineitem", NX, NY, list(doys), "ordered")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scene-ordered/{key}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        fresh = f"{path}-{uuid.uuid4().hex}"
+        write_ordered(prepared(spark, sf_dir, doys), ["DOY", "Y", "X"], fresh)
+        if not fs.exists(done):  # else another application was faster: its copy holds the same rows
+            fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path))
+        if not fs.exists(done):
+            path = fresh
+    return OrderedTable(spark, path)
+
+
 def tables(spark: SparkSession, sf_dir: str, dtype: str | None = "int") -> sc.SceneTables:
     return sc.split(prepared(spark, sf_dir), dtype=dtype)
 
