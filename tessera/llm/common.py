@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,32 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     Cuts the lineage with a copy that all executors can reach, so a lost
     executor costs only its running tasks.
     """
+    return _written(df, tag)[0]
+
+
+def _written(df: DataFrame, tag: str):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """A ``stored`` whose copies are deleted at the end: for steps whose result is stored before that."""
+    paths = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out, path = _written(df, tag)
+        paths.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 BATCH_BYTES = 8 << 20

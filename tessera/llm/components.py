@@ -24,20 +24,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep=stored) -> DataFrame:
     """node and the least node of its component, for every node of an edge ``a``-``b``.
 
-    Large and small stars in turn, each written to the shared folder, until
+    Large and small stars in turn, each written by ``keep``, until
     a turn changes nothing; the number of turns grows with the logarithm of
     the longest path.
     """
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    now, before = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
+    now, before = keep(edges.select("a", "b").filter("a <> b").distinct(), "edges"), None
     while True:
         check = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if check == before or not check[0]:
             break
         before = check
-        now = stored(_stars(_stars(now, True), False), "edges")
+        now = keep(_stars(_stars(now, True), False), "edges")
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))

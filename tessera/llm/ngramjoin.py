@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release_memory, stored
+from tessera.llm.common import passing, release_memory, stored
 from tessera.llm.components import components
 from tessera.llm.shingles import Shingler, set_id
 
@@ -374,44 +374,50 @@ def open_groups(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     return rows.groupBy("gid", "part").applyInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def renamed(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def renamed(labels: DataFrame, edges: DataFrame, keep) -> DataFrame:
     """Labels after the components at the ends of ``edges`` have become one."""
-    new = components(edges).withColumnRenamed("node", "comp")
+    new = components(edges, keep).withColumnRenamed("node", "comp")
     return labels.join(new, "comp", "left").withColumn("comp", F.coalesce("component", "comp")) \
         .select(*labels.columns)
 
 
-def described(docs: DataFrame, words: int, percent: int, group: int) -> DataFrame:
+def sharing(rows: DataFrame, tokens: DataFrame, percent: int, keep):
+    """One document for each set that shares enough of its prefix with others, and these sets' tokens."""
+    one = rows.filter("sid is not null").groupBy("sid", "least", "n").agg(F.min(F.struct("th", "doc_id")).alias("d"))
+    shares = tokens.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
+    found = keep(one.join(shares, "sid").filter(F.col("c") >= needed(F.ceil(F.col("n") * percent / 100)))
+                 .select("sid", "least", "n", "d.th", "d.doc_id"), "found")
+    return found, keep(tokens.join(found.select("sid"), "sid"), "tokens")
+
+
+def described(docs: DataFrame, words: int, percent: int, group: int, keep) -> DataFrame:
     """doc_id, text hash, set id, set size and component's name of every document."""
     docs = with_text_hash(docs)
-    seen = stored(describe(docs, words), "sets")
+    seen = keep(describe(docs, words), "sets")
     rows = seen.filter("token is null")
     common = {r["token"]: i for i, r in enumerate(
         seen.filter("token is not null").groupBy("token").agg(F.sum("c").alias("c"))
         .orderBy(F.desc("c"), "token").limit(COMMON).orderBy("c", "token").select("token").collect())}
-    tokens = stored(shared_tokens(prefixes(docs, words, percent, common)), "tokens")
-    # one document for each set that shares enough of its prefix with others
-    one = rows.filter("sid is not null").groupBy("sid", "least", "n").agg(F.min(F.struct("th", "doc_id")).alias("d"))
-    shares = tokens.groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
-    found = stored(one.join(shares, "sid").filter(F.col("c") >= needed(F.ceil(F.col("n") * percent / 100)))
-                   .select("sid", "least", "n", "d.th", "d.doc_id"), "found")
-    tokens = stored(tokens.join(found.select("sid"), "sid"), "tokens")
-    sets = stored(load_sets(docs, found, words), "shingles")
+    with passing(docs.sparkSession) as briefly:
+        found, tokens = sharing(rows, briefly(
+            shared_tokens(prefixes(docs, words, percent, common)), "tokens"), percent, keep)
+    sets = keep(load_sets(docs, found, words), "shingles")
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     top = (tokens.join(held, "token").groupBy("sid").agg(F.max(F.struct("df", "token")).alias("m"))
            .select("sid", F.col("m.token").alias("top")))
     links = None
     for keys in (found.select("sid", F.col("least").alias("key")), top.select("sid", F.col("top").alias("key"))):
-        blocks = stored(assign_blocks(keys, group), "blocks")
-        inside = stored(link_inside(blocks.filter("more").join(sets, "sid"), percent), "inside")
+        blocks = keep(assign_blocks(keys, group), "blocks")
+        inside = keep(link_inside(blocks.filter("more").join(sets, "sid"), percent), "inside")
         own = inside.filter("a <> b")
         links = own if links is None else links.unionByName(own)
     labels = blocks.filter("home").select("sid", "block").join(found.select("sid", "n"), "sid") \
         .withColumn("comp", F.col("sid"))
-    labels = stored(renamed(labels, links), "labels")
-    groups = stored(named_groups(labels), "groups")
-    asked = stored(candidates(tokens, groups, percent), "asked")
-    labels = stored(renamed(labels, stored(open_groups(asked, groups, sets, percent, group), "links")), "labels")
+    labels = keep(renamed(labels, links, keep), "labels")
+    groups = keep(named_groups(labels), "groups")
+    asked = keep(candidates(tokens, groups, percent), "asked")
+    labels = keep(renamed(labels, keep(open_groups(asked, groups, sets, percent, group), "links"),
+                          keep), "labels")
     return rows.select("doc_id", "th", "sid", "n").join(labels.select("sid", "comp"), "sid", "left") \
         .select("doc_id", "th", "n", F.coalesce("comp", "sid").alias("comp"))
 
@@ -419,7 +425,8 @@ def described(docs: DataFrame, words: int, percent: int, group: int) -> DataFram
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                       group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every document."""
-    rows = stored(described(docs, words, percent, group), "components")
+    with passing(docs.sparkSession) as keep:
+        rows = stored(described(docs, words, percent, group, keep), "components")
     names = rows.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -432,7 +439,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group:
     Documents without words all stay; rows that repeat an id and its text
     count once.
     """
-    rows = stored(described(docs, words, percent, group), "components")
+    with passing(docs.sparkSession) as keep:
+        rows = stored(described(docs, words, percent, group, keep), "components")
     first = rows.filter("comp is not null").groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("d"))
     kept = first.select("d.doc_id", "d.th").unionByName(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import release_memory, stored
+from tessera.llm.common import passing, release_memory, stored
 from tessera.llm.keyfilter import key_filter
 from tessera.llm.shingles import _mix
 from tessera.llm.suffixes import SEPARATOR, common_prefixes, load_words, suffix_order
@@ -255,37 +255,37 @@ def sorted_runs(pieces: DataFrame, length: int) -> DataFrame:
             .applyInArrow(sort_shard(length), "g long, h long, lo int, hi int"))
 
 
-def find_runs(pieces: DataFrame, length: int, width: int = WIDTH) -> DataFrame:
+def find_runs(pieces: DataFrame, length: int, keep, width: int = WIDTH) -> DataFrame:
     """Runs of repeated windows of ``pieces`` (g, h, n, at, data); anchors with too many pieces are split."""
-    hot = stored(pieces.groupBy("g").count().filter(F.col("count") > HOT).select("g"), "hot-anchors")
+    hot = keep(pieces.groupBy("g").count().filter(F.col("count") > HOT).select("g"), "hot-anchors")
     if not width or hot.isEmpty():
         return sorted_runs(pieces, length)
-    cuts = stored(pieces.join(hot, "g", "left_semi").select("g", "h", "n", "at", "data").mapInArrow(
+    cuts = keep(pieces.join(hot, "g", "left_semi").select("g", "h", "n", "at", "data").mapInArrow(
         split_pieces(length, width),
         "g long, h long, lo int, n long, g2 long, h2 long, at2 int, data2 binary"), "cuts")
     inner = (cuts.groupBy(F.col("g2").alias("g"), F.col("h2").alias("h"))
              .agg(F.sum("n").alias("n"), F.any_value("at2").alias("at"), F.any_value("data2").alias("data")))
-    found = find_runs(stored(inner, "cut-pieces"), length, 1 if width > 1 else 0)
+    found = find_runs(keep(inner, "cut-pieces"), length, keep, 1 if width > 1 else 0)
     found = found.select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("lo").alias("lo2"), "hi")
     back = cuts.select("g", "h", "lo", "g2", "h2").join(found, ["g2", "h2"]).select(
         "g", "h", (F.col("lo") + F.col("lo2")).alias("lo"), (F.col("lo") + F.col("hi")).alias("hi"))
     return sorted_runs(pieces.join(hot, "g", "left_anti"), length).unionByName(back)
 
 
-def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
+def repeated_runs(rows: DataFrame, length: int, keep) -> DataFrame:
     """(rk, runs): for each row of (rk, data) with repeated windows the byte runs that these cover."""
     every = (rows.filter(F.octet_length("data") >= length).select("rk", "data")
              .mapInArrow(list_pieces(length), "g long, h long, rk long, start int, size int, at int"))
-    again = stored(every.groupBy("g").count().filter("count > 1").select("g"), "anchors")
-    places = stored(every.filter(key_filter(again, "g")("g")).join(again, "g"), "places")
-    different = stored(places.groupBy("g", "h").agg(
+    again = keep(every.groupBy("g").count().filter("count > 1").select("g"), "anchors")
+    places = keep(every.filter(key_filter(again, "g")("g")).join(again, "g"), "places")
+    different = keep(places.groupBy("g", "h").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "start", "size", "at")).alias("one")), "pieces")
     asked = different.select("one.*", "g", "h", "n").groupBy("rk").agg(
         F.collect_list(F.struct("g", "h", "n", "start", "size", "at")).alias("wanted"))
-    pieces = stored(rows.filter(key_filter(different.select("one.rk"), "rk")("rk")).join(asked, "rk")
+    pieces = keep(rows.filter(key_filter(different.select("one.rk"), "rk")("rk")).join(asked, "rk")
                     .select("data", "wanted")
                     .mapInArrow(fetch_pieces(length), "g long, h long, n long, at int, data binary"), "piece-bytes")
-    found = find_runs(pieces, length)
+    found = find_runs(pieces, length, keep)
     run = F.struct((F.col("start") + F.col("lo")).alias("a"),
                    (F.col("start") + F.col("hi") + F.lit(length - 1)).alias("z"))
     return (places.select("g", "h", "rk", "start").join(found, ["g", "h"]).groupBy("rk")
@@ -296,7 +296,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs of bytes) and kept (the bytes left) for each row of ``docs``."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     rows = rows.withColumn("rk", F.xxhash64("doc_id", "data"))
-    runs = stored(repeated_runs(rows, length), "repeats")
+    with passing(docs.sparkSession) as keep:
+        runs = stored(repeated_runs(rows, length, keep), "repeats")
     touched = key_filter(runs, "rk")
     span = "array<struct<start: long, end: long>>"
     cut = (rows.filter(touched("rk")).join(runs, "rk", "left").select("doc_id", "data", "runs")
