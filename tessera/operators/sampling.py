@@ -30,31 +30,36 @@ def hashed(df: DataFrame, h: Column) -> DataFrame:
     return df.withColumn("_h", h + F.monotonically_increasing_id() * F.lit(0))
 
 
-def rank_below(df: DataFrame, keys: list[str], cut: int) -> Column:
-    """Condition that holds for the ``cut`` first rows of a hashed table in order of (_h, keys).
+def rank_below(df: DataFrame, keys: list[str], cut) -> Column:
+    """Condition that holds for the first rows of a hashed table in order of (_h, keys).
 
-    Counts by the high bits find the bucket of the cut, counts of the hashes
-    in that bucket the hash; only rows of that one hash are ordered.
+    ``cut`` is their number, or gives it for the number of all rows.  Counts
+    by the high bits find the bucket of the cut, counts of the hashes in that
+    bucket the hash; only where rows of that one hash are parted are they
+    ordered by their keys.
     """
-    if cut <= 0:
-        return F.lit(False)
 
     def find(counts, cut):
         for value, n in sorted(counts):
             if n >= cut:
-                return value, cut
+                return value, cut, n
             cut -= n
-        return None, cut
+        return None, cut, 0
 
     bucket = F.shiftright("_h", BUCKET_SHIFT)
     counts = [(r[0], r[1]) for r in df.groupBy(bucket.alias("b")).count().collect()]
     if any(b is None for b, _ in counts):
         raise ValueError(f"rows with a null key among {keys}: the order of their hash is not defined")
-    place, cut = find(counts, cut)
+    cut = cut(sum(n for _, n in counts)) if callable(cut) else cut
+    if cut <= 0:
+        return F.lit(False)
+    place, cut, _ = find(counts, cut)
     if place is None:
         return F.lit(True)
     inside = df.filter(bucket == place)
-    value, cut = find([(r[0], r[1]) for r in inside.groupBy("_h").count().collect()], cut)
+    value, cut, n = find([(r[0], r[1]) for r in inside.groupBy("_h").count().collect()], cut)
+    if n == cut:
+        return F.col("_h") <= value
     last = inside.filter(F.col("_h") == value).select(*keys).orderBy(*keys).limit(cut) \
         .agg(F.max(F.struct(*keys)).alias("m")).first()["m"]
     types = dict(df.dtypes)
@@ -68,8 +73,7 @@ def exact_split(df: DataFrame, keys: list[str], test_frac: float, seed: int = 42
     ``keys`` are unique; a null key raises an error.
     """
     rows = hashed(df, mix_keys(keys, seed))
-    n = df.count()
-    test = rank_below(rows, keys, int(-(-Fraction(str(test_frac)) * n // 1)))
+    test = rank_below(rows, keys, lambda n: int(-(-Fraction(str(test_frac)) * n // 1)))
     return rows.filter(~test).drop("_h"), rows.filter(test).drop("_h")
 
 

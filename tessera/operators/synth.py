@@ -50,7 +50,7 @@ def intervals(counts: DataFrame, value: str, weight: str, group: list[str], temp
     """
     t = draw_weights(counts, weight, group, temperature).select(*group, value, "_w", (-F.col(weight)).alias("_neg"))
     cum = cumulative_sum(t, ["_neg", value], "_w", "_cum", group=group)
-    totals = t.groupBy(*group).agg(F.sum("_w").alias("_total"))
+    totals = cum.groupBy(*group).agg(F.max("_cum").alias("_total"))
     return cum.select(*group, value, "_w", (F.col("_cum") - F.col("_w")).alias("_from")), totals
 
 

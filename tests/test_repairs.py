@@ -175,3 +175,32 @@ def test_run_ledger_and_scene_csv(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, vocab.collect()))
     assert [(r.a, r.b) for r in rules.collect()] == [("a", "b")]
     assert source.read_scene_csv is not None
+
+
+def test_rows_of_one_hash_are_parted_by_their_keys(spark):
+    df = spark.createDataFrame([(k, "v") for k in range(50)], "k long, v string")
+    rows = sampling.hashed(df, F.lit(70_000).cast("long"))
+    for cut in (0, 1, 17, 50, 60):
+        kept = rows.filter(sampling.rank_below(rows, ["k"], cut))
+        assert sorted(r.k for r in kept.collect()) == list(range(min(cut, 50)))
+    with pytest.raises(ValueError, match="null key"):
+        sampling.exact_split(df.unionByName(df.limit(1).withColumn("k", F.lit(None).cast("long"))), ["k"], 0.5)
+    plan = rows.filter(F.col("_h") < 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("monotonically_increasing_id")  # the filter stays above the hash
+
+
+def test_one_maximum_for_the_frame_and_dates_in_list_order(spark):
+    df = spark.createDataFrame([(1, 5), (None, 7)], "a int, b int")
+    assert sorted(tuple(r) for r in scene.fill_with_max(df, ["a", "b"]).collect()) == [(1, 5), (7, 7)]
+    assert scene.fill_with_max(df, ["a"]).filter("a is null").count() == 0
+    days = spark.createDataFrame([(171, 1), (187, 2), (203, 3), (171, 4)], "DOY int, v int")
+    assert [r.DOY for r in scene.select_doys(days, [187, 171]).collect()] == [187, 171, 171]
+    assert [r.DOY for r in scene.select_doys(days, [203, 203]).collect()] == [203, 203]
+
+
+def test_prompts_print_numbers_as_the_corpus(spark):
+    df = spark.createDataFrame([(1, 0.00044, 7, None), (2, 3.0, 8, 1)], "row_id long, x double, y int, z int")
+    got = {r.row_id: r.enc for r in text.partial_row_text(df, ["x", "y", "z"]).collect()}
+    assert got == {1: "x is 0.00044, y is 7", 2: "x is 3, y is 8, z is 1"}
+    whole = {r.row_id: r.text for r in text.row_text(df, ["x", "y", "z"]).collect()}
+    assert whole[1].startswith(got[1])
