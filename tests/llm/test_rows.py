@@ -214,7 +214,9 @@ def test_constant_text_of_a_host_is_no_content(spark):
 
 
 @pytest.mark.parametrize("n", [9, 12])
-def test_an_article_keeps_what_its_host_repeats(spark, n):
+def test_an_article_keeps_what_its_host_repeats(spark, n, monkeypatch):
+    if n == 12:  # the tables of all hosts are joined and not sent
+        monkeypatch.setattr("tessera.llm.htmltext.BROADCAST_BYTES", 0)
     page = ("<body><div>Our firm</div><article><h1>Recall {0}</h1><p>Do not use the product.</p><p>Batch {0} is affected."
             "</p></article></body>")
     main = "<body><main><p>Same lead</p><p>Item {0}</p></main></body>"
