@@ -51,7 +51,7 @@ def passing(spark: SparkSession):
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:

@@ -305,6 +305,7 @@ def link_inside(members: DataFrame, percent: int) -> DataFrame:
         ids = sorted(tokens)
         hubs = {i: rank[i] for i in ids if rank[i] is not None}
         roots = local_roots(ids, linked([tokens[i] for i in ids], percent), hubs)
+        release_memory()
         return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(roots, pa.int64())})
 
     return members.groupBy("block").applyInArrow(run, "a long, b long")
@@ -368,6 +369,7 @@ def open_groups(asked: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
         if queries and inside:
             links = linked([tokens[i] for i in queries + inside], percent)[:len(queries), len(queries):]
             found = {(comp[queries[q]], comp[inside[m]]) for q, m in np.argwhere(links)}
+        release_memory()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()),
                          "b": pa.array([b for _, b in found], pa.int64())})
 
