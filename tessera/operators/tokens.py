@@ -56,10 +56,20 @@ def encode_words(df: DataFrame, keys: list[str], text_col: str = "text") -> Data
     return seq.select(*keys, F.col("_s").getField("id").alias("input_ids"))
 
 
+def batch_lengths(df: DataFrame, batch: str, text_col: str = "text") -> DataFrame:
+    """(batch, _max): the most words of a text in each batch, from the texts alone."""
+    return df.groupBy(batch).agg(F.max(F.size(words(text_col))).alias("_max"))
+
+
 def pad_batch(df: DataFrame, batch: str, ids: str = "input_ids", pad_id: int = PAD_ID,
-              left: bool = True) -> DataFrame:
-    """Pad every sequence to the longest of its batch; mask marks real tokens."""
-    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_max"))
+              left: bool = True, longest: DataFrame | None = None) -> DataFrame:
+    """Pad every sequence to the longest of its batch; mask marks real tokens.
+
+    ``longest`` (batch, _max), if known before the ids are, spares a second
+    run of the plan that makes the ids.
+    """
+    if longest is None:
+        longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_max"))
     j = df.join(longest, batch)
     n_pad = F.col("_max") - F.size(ids)
     pad = F.array_repeat(F.lit(pad_id), n_pad)

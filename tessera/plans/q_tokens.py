@@ -32,7 +32,8 @@ padded AS (SELECT seq.conv_id, turn,
 
 def padded_conversations(spark, d):
     conv = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return tk.pad_batch(tk.encode_words(conv, ["conv_id", "turn"]), "conv_id")
+    encoded = tk.encode_words(conv, ["conv_id", "turn"])
+    return tk.pad_batch(encoded, "conv_id", longest=tk.batch_lengths(conv, "conv_id"))
 
 
 @query("pad_tokens", "WITH " + CONV_IDS + "\nSELECT * FROM padded")

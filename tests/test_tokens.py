@@ -37,6 +37,14 @@ def test_padding_equalises_batches(spark):
     assert lab == [tk.IGNORE_LABEL, 7]
 
 
+def test_lengths_of_a_batch_come_from_the_texts(spark):
+    df = spark.createDataFrame([(1, 0, "b a  b"), (1, 1, "c"), (2, 0, ""), (2, 1, None)], "b int, t int, text string")
+    encoded = tk.encode_words(df, ["b", "t"])
+    got = tk.pad_batch(encoded, "b", longest=tk.batch_lengths(df, "b"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, tk.pad_batch(encoded, "b").collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
 def test_encode_words_keeps_order(spark):
     df = spark.createDataFrame([(1, "b a  b"), (2, "")], "k int, text string")
     out = {r["k"]: r["input_ids"] for r in tk.encode_words(df, ["k"]).collect()}
