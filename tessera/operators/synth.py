@@ -11,6 +11,7 @@ Rows out equal rows in, whatever the number of values.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +55,22 @@ def intervals(counts: DataFrame, value: str, weight: str, group: list[str], temp
     return cum.select(*group, value, "_w", (F.col("_cum") - F.col("_w")).alias("_from")), totals
 
 
-def interval_lookup(rows: DataFrame, starts: DataFrame, value: str, out: str) -> DataFrame:
+def interval_lookup(rows: DataFrame, starts: DataFrame, value: str, out: str, spread: list[str]) -> DataFrame:
     """``rows`` (_g, _pos, ...) with the value of the last start (_g, _from) at or before each place.
 
-    Every group of ``rows`` has a start at 0.  Ties of (group, place) are
-    spread by the other columns.
+    Every group of ``rows`` has a start at 0.  Rows of one place are spread
+    over partitions by the columns ``spread``.
     """
     types, kind = dict(rows.dtypes), dict(starts.dtypes)[value]
     others = [c for c in rows.columns if c not in ("_g", "_pos")]
     both = starts.select("_g", F.col("_from").alias("_pos"), F.lit(0).alias("_kind"), F.col(value).alias("_v"),
                          *[F.lit(None).cast(types[c]).alias(c) for c in others]).unionByName(
         rows.select("_g", "_pos", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_v"), *others))
-    order = ["_g", "_pos", "_kind", *others]
+    order = ["_g", "_pos", "_kind", *spread]
+    # one job samples the range bounds, another writes: keep the rows for both
+    both = both.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = reliable_checkpoint(both.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    both.unpersist()
     last = ranged.filter("_kind = 0").groupBy("_part").agg(F.max(F.struct("_g", "_pos", "_v")).alias("m"))
     ends = {r["_part"]: r["_v"] for r in last.select("_part", "m._v").collect()}  # one row per partition
     carry, held = [], None
@@ -94,10 +98,10 @@ def cdf_table(counts: DataFrame, value: str, weight: str = "n", temperature: flo
 
 
 def draw(rows: DataFrame, counts: DataFrame, u: str, value: str, out: str, temperature: float = 1.0) -> DataFrame:
-    """``rows`` with a value of the count table (``value``, n) for each number ``u`` in [0, 1)."""
+    """``rows`` (their key first) with a value of the count table (``value``, n) for each number ``u`` in [0, 1)."""
     starts, totals = intervals(counts.filter(F.col(value).isNotNull()), value, "n", [], temperature)
     at = rows.withColumn("_pos", place(F.col(u), totals.select("_total").scalar()))
-    return interval_lookup(at.withColumn("_g", F.lit(0)), starts.withColumn("_g", F.lit(0)), value, out)
+    return interval_lookup(at.withColumn("_g", F.lit(0)), starts.withColumn("_g", F.lit(0)), value, out, rows.columns[:1])
 
 
 # ------------------------------------------------------------------ K1 start samplers
@@ -202,9 +206,12 @@ def context_levels(train: DataFrame, bands: list[str], contexts) -> DataFrame:
 
 
 def level_key(level: int, ctx):
-    """Null where a key of the context is null: such a row matches nothing on this level."""
-    key = F.array(F.lit(str(level)), F.col("_band"), *[F.col(c).cast("string") for c in ctx])
-    return F.when(~any_null(ctx), key)
+    """Number of the group of a level, band and context: a 64-bit hash, so that groups sort and join as numbers.
+
+    Among n groups two share one with probability n * n / 2**65.  Null where
+    a key of the context is null: such a row matches nothing on this level.
+    """
+    return F.when(~any_null(ctx), F.xxhash64(F.lit(level), F.col("_band"), *[F.col(c) for c in ctx]))
 
 
 def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
@@ -224,7 +231,7 @@ def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
     starts, totals = intervals(counts, "_value", "n", ["_g"], temperature)
     cell = F.explode(F.array(*[F.struct(F.lit(b).alias("_band"), F.lit(i).alias("_bi"),
                                         F.col(b).cast("double").alias("_orig")) for i, b in enumerate(bands)]))
-    types = dict(train.dtypes)  # keys are compared as text: both sides need one type
+    types = dict(train.dtypes)  # keys are hashed: both sides need one type
     cells = (rows.select(key, *[F.col(c).cast(types[c]).alias(c) for c in ctx_cols], cell.alias("_c"))
              .select(key, *ctx_cols, "_c._band", "_c._bi", "_c._orig")
              .filter(F.col("_orig").isNull())
@@ -236,7 +243,7 @@ def impute_draw(rows: DataFrame, train: DataFrame, key: str, bands: list[str],
     levels = range(len(contexts))
     cells = cells.select(key, "_band", F.coalesce(*[F.col(f"_g{i}") for i in levels]).alias("_g"), place(
         F.col("_u"), F.coalesce(*[F.col(f"_t{i}") for i in levels])).alias("_pos")).filter("_g is not null")
-    drawn = interval_lookup(cells, starts, "_value", "_drawn")
+    drawn = interval_lookup(cells, starts, "_value", "_drawn", [key])
     wide = drawn.groupBy(key).pivot("_band", list(bands)).agg(F.first("_drawn"))
     wide = wide.select(key, *[F.col(b).alias(f"_w_{b}") for b in bands])
     out = rows.join(wide, key, "left")
@@ -271,7 +278,7 @@ def next_band(rows: DataFrame, tree: DataFrame, start_col: str, before: list[str
     levels = range(len(contexts))
     cells = cells.select(*rows.columns, F.coalesce(*[F.col(f"_g{i}") for i in levels]).alias("_g"), place(
         F.col("_u"), F.coalesce(*[F.col(f"_t{i}") for i in levels])).alias("_pos")).filter("_g is not null")
-    return interval_lookup(cells, starts, "_value", band)
+    return interval_lookup(cells, starts, "_value", band, ["_draw"])
 
 
 def synthesize(spark_rows: DataFrame, key: str, train: DataFrame, start_col: str, bands: list[str],
