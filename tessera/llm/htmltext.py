@@ -17,9 +17,11 @@ share their shape: distinct shapes are counted first and aligned in rounds,
 by groups of bounded size, until each host has one.
 
 Edge cases: null or empty html gives the empty text; null urls share one
-wrapper; unclosed, crossed or cut tags are repaired; a page that its
-wrapper cannot match in time is judged by its own containers; repeated
-rows are judged each on its own; extra columns are ignored.
+wrapper; unclosed, crossed or cut tags are repaired; where backtracking
+takes long, the same match is found by trying each step once at each place
+of the page, so that no result hangs on the clock; a page that its wrapper
+does not fit is judged by its own containers, and ``wrapped`` is false;
+repeated rows are judged each on its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"""
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-EXTRACTED = "page_id long, url string, text string, n_chars long"
+EXTRACTED = "page_id long, url string, text string, n_chars long, wrapped boolean"
 
 
 def signature(name: str, attrs: str) -> str:
@@ -291,6 +293,7 @@ class Wrapper:
     def __init__(self, items, learned=None):
         import regex
 
+        self.items = items
         self.symbols: dict[tuple[str, str], str] = {}
         self.ranks: list[int | None] = []
         self.unnamed: list[int | None] = []
@@ -323,12 +326,70 @@ class Wrapper:
         page = "".join("#" if k == "#" else self.symbols.get((k, s), "?") for k, s in tokens)
         try:
             m = self.pattern.fullmatch(page, timeout=MATCH_SECONDS)
+            found = [(a, n) for n in range(len(self.ranks)) for a, _ in m.spans(f"s{n}")] if m else None
         except TimeoutError:
-            return None
-        if not m:
-            return None
-        found = [(a, n) for n in range(len(self.ranks)) for a, _ in m.spans(f"s{n}")]
-        return [(n, tokens[a][1]) for a, n in sorted(found)]
+            found = self.walk(page)
+        return None if found is None else [(n, tokens[a][1]) for a, n in sorted(found)]
+
+    def steps(self):
+        """The pattern as (character, slot, next step) or (None, first choice, second choice)."""
+        out, slot = [], 0
+
+        def add(items):
+            nonlocal slot
+            for (kind, sig, inner), q in items:
+                at = len(out)
+                if q in "?*":
+                    out.append(None)
+                start = len(out)
+                if kind == "#":
+                    out.append(("#", slot, start + 1))
+                    slot += 1
+                elif kind == "(":
+                    add(inner)
+                else:
+                    out.append((self.symbols["<", sig], None, start + 1))
+                    add(inner)
+                    out.append((self.symbols[">", sig], None, len(out) + 1))
+                if q in "+*":
+                    out.append((None, start, len(out) + 1))
+                if q in "?*":
+                    out[at] = (None, start, len(out))
+
+        add(self.items)
+        return out
+
+    def walk(self, page: str) -> list[tuple[int, int]] | None:
+        """(place, slot) of the match that backtracking finds first; no step is tried twice at a place."""
+        steps, n = self.steps(), len(page) + 1
+        tried = bytearray((len(steps) + 1) * n // 8 + 1)
+        waiting = [(0, 0, None)]
+        while waiting:
+            step, at, trail = waiting.pop()
+            while True:
+                k = step * n + at
+                if tried[k >> 3] >> (k & 7) & 1:
+                    break
+                tried[k >> 3] |= 1 << (k & 7)
+                if step == len(steps):
+                    if at < len(page):
+                        break
+                    found = []
+                    while trail:
+                        trail, *hit = trail
+                        found.append(tuple(hit))
+                    return found
+                char, a, b = steps[step]
+                if char is None:
+                    waiting.append((b, at, trail))
+                    step = a
+                elif at < len(page) and page[at] == char:
+                    if a is not None:
+                        trail = (trail, at, a)
+                    step, at = b, at + 1
+                else:
+                    break
+        return None
 
     def slots(self, tokens) -> list[tuple[int | None, str]] | None:
         """(rank, text) of every text of the page; literals outside an article or main container are apart."""
@@ -490,7 +551,7 @@ def with_table(pages: DataFrame, table: DataFrame, text: str, how: str) -> DataF
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, main text and its length of every page."""
+    """page_id, url, main text, its length and whether the host's wrapper fits, of every page."""
     pages = with_host(pages)
     wrappers = infer_wrappers(pages).select("host", "shape")
     wrapped = with_table(pages, wrappers, "shape", "inner").select("page_id", "url", "html", "host", "shape")
@@ -501,14 +562,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
         known = Wrappers()
         for b in batches:
-            texts = []
+            texts, wrapped = [], []
             for html, *said in zip(*(b.column(c).to_pylist() for c in ("html", "shape", "learned"))):
                 tokens = stream(html or "")
                 slots = known.of(*said).slots(tokens)
+                wrapped.append(slots is not None)
                 texts.append(main_text(own_slots(tokens) if slots is None else slots))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
-                 pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                 pa.array(map(len, texts), pa.int64()), pa.array(wrapped, pa.bool_())],
+                names=["page_id", "url", "text", "n_chars", "wrapped"])
 
     return (with_table(wrapped, learned, "learned", "left").select("page_id", "url", "html", "shape", "learned")
             .mapInArrow(run, EXTRACTED))

@@ -243,3 +243,33 @@ def test_shapes_of_a_host_meet_in_small_groups(spark):
     assert one.host == "h" and one.n == 40
     w = Wrapper(json.loads(one["shape"]))
     assert all(w.slots(stream(r[2])) == own_slots(stream(r[2])) for r in rows)
+
+
+def test_a_wrapper_matches_without_a_clock(spark):
+    p, h2, h3 = (["<", t, [[["#", "", []], "1"]]] for t in ("p", "h2", "h3"))
+    either = ["(", "", [[p, "1"], [["(", "", [[p, "?"], [p, "?"]]], "*"]]]
+    slow = Wrapper([[["(", "", [[either, "+"], [h3, "1"]]], "?"], [p, "*"], [h2, "1"]])
+    page = stream("<p>a</p>" * 300 + "<h2>b</h2>")
+
+    class Late:
+        def fullmatch(self, *_, **__):
+            raise TimeoutError
+
+    slow.pattern = Late()
+    last = len(slow.ranks) - 1
+    assert slow.numbered(page) == [(last - 1, "a")] * 300 + [(last, "b")]
+    assert slow.numbered(stream("<p>a</p>" * 300)) is None
+    rnd = random.Random(5)
+    parts = ["<p>a</p>", "<p>b", "<h2>c</h2>", "<ul><li>e<li>f</ul>", "text", "<section>", "</section>", "</p>"]
+    for _ in range(60):
+        pages = [stream("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9)))) for _ in range(4)]
+        items = shape(pages[0])
+        for other in pages[1:]:
+            items = align(items, shape(other))
+        fast, late = Wrapper(items), Wrapper(items)
+        late.pattern = Late()
+        others = [stream("".join(rnd.choice(parts) for _ in range(9))) for _ in range(4)]
+        assert [fast.numbered(t) for t in pages + others] == [late.numbered(t) for t in pages + others]
+    rows = [(i, "http://a.com/", f"<article><p>n {i}</article>", "x") for i in range(3)]
+    df = spark.createDataFrame([*rows, (9, None, None, "x")], PAGES + ", text string")
+    assert [r.wrapped for r in extract_text(df).collect()] == [True] * 4
