@@ -2,19 +2,25 @@
 
 ``dense_ids`` gives the 0-based rank of each distinct key in sorted order
 (the pixel id of a scene); ``positions`` numbers whole rows by a unique
-sort key.  Both range-partition the keys, checkpoint them reliably (range
-bounds are sampled and must not change between the two uses below),
-number rows inside each partition with ``monotonically_increasing_id``
-and add per-partition offsets from a table with one row per partition.
+sort key; ``cumulative_sum`` adds up a column in order.  All range-partition
+and sort the rows once and write them reliably (range bounds are sampled and
+must not change between two uses); a task numbers or adds up its rows in
+order, batch by batch, and a table with one row per partition gives the
+offsets.  Rows are not shuffled again by their partition.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.expr import any_null
+from tessera.session import checkpoint_dir, reliable_checkpoint
 
-from tessera.session import reliable_checkpoint
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -58,14 +64,67 @@ def number_sorted(keys: DataFrame, order: list[str], out: str, n: int | None = N
     return numbered, int(total)
 
 
+def key_changes(cols, last):
+    """Whether the keys of each row (Arrow arrays) differ from those of the row before.
+
+    ``last`` has the keys of the row before the first, as arrays of one row, or is None.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    differ = np.zeros(len(cols[0]), bool)
+    differ[:1] = last is None
+    for i, c in enumerate(cols):
+        whole = pa.concat_arrays([last[i], c]) if last else c
+        x, y = whole[:-1], whole[1:]
+        unlike = pc.not_equal(x, y)
+        if pa.types.is_floating(c.type):
+            unlike = pc.and_not(unlike, pc.and_(pc.is_nan(x), pc.is_nan(y)))
+        differ[0 if last else 1:] |= unlike.to_numpy(zero_copy_only=False)
+    return differ
+
+
 def dense_ids(df: DataFrame, keys: list[str], out: str = "PID", n: int | None = None) -> DataFrame:
     """0-based dense rank of the sorted distinct ``keys``; null where a key is null.
 
-    The distinct step aggregates map-side first, so a hot key costs one row
-    per map task before the shuffle.
+    Rows are shuffled once, by ranges of the keys; a task numbers its keys as
+    it writes its rows.  Rows with a null key are spread by their content.
     """
-    numbered, _ = number_sorted(df.select(*keys).dropna().distinct(), keys, out, n)
-    return df.join(numbered, keys, "left")
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.select(*keys, *rest, F.when(any_null(keys), F.xxhash64(*df.columns)).alias("_void"))
+    order = [*keys, "_void"]  # null for all rows that count: those of one key stay together
+    ranged = rows.repartitionByRange(n, *order) if n else rows.repartitionByRange(*order)
+    tagged = ranged.sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    names = [*keys, *rest, "_part", "_local"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, number = None, -1
+        for b in batches:
+            local = np.full(b.num_rows, -1)
+            void = b.column("_void").is_null().to_numpy(zero_copy_only=False)
+            cols = [b.column(k).filter(pa.array(void)) for k in keys]
+            if void.any():
+                local[void] = number + np.cumsum(key_changes(cols, last))
+                last, number = [c[-1:] for c in cols], int(local[void][-1])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(local, mask=~void)],
+                                             names=names)
+
+    schema = T.StructType([tagged.schema[c] for c in names[:-1]] + [T.StructField("_local", T.LongType())])
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
+    tagged.mapInArrow(run, schema).write.parquet(path)
+    written = df.sparkSession.read.schema(schema).parquet(path)
+    counts = sorted((r[0], r[1]) for r in written.groupBy("_part").agg(F.max("_local")).collect())
+    offsets, total = [], 0
+    for part, most in counts:  # one row per partition
+        offsets.append((part, total))
+        total += 0 if most is None else most + 1
+    off_df = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _off long")
+    return written.join(F.broadcast(off_df), "_part").select(
+        *keys, *rest, (F.col("_off") + F.col("_local")).alias(out))
 
 
 def positions(df: DataFrame, order: list[str], out: str = "row_id", n: int | None = None) -> DataFrame:

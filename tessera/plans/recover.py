@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +49,10 @@ def prepared(spark: SparkSession, sf_dir: str, doys=DEFAULT_DOYS) -> DataFrame:
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(done):
-        # the cleaned scene feeds both the key numbering and the join back
-        base = sc.with_ndvi(sc.sentinel_to_null(scene(spark, sf_dir))).persist(StorageLevel.MEMORY_AND_DISK)
+        base = sc.with_ndvi(sc.sentinel_to_null(scene(spark, sf_dir)))
         out = sc.project(sc.select_doys(sc.with_pixel_ids(base), doys))
         fresh = f"{path}-{uuid.uuid4().hex}"
         out.write.partitionBy("DOY").parquet(fresh)
-        base.unpersist()
         if not fs.exists(done):  # else another application was faster: its copy holds the same rows
             fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path))
         if not fs.exists(done):

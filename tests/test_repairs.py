@@ -204,3 +204,23 @@ def test_prompts_print_numbers_as_the_corpus(spark):
     assert got == {1: "x is 0.00044, y is 7", 2: "x is 3, y is 8, z is 1"}
     whole = {r.row_id: r.text for r in text.row_text(df, ["x", "y", "z"]).collect()}
     assert whole[1].startswith(got[1])
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_ids_shuffle_rows_once(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 2, 3, 9]), rnd.choice([None, math.nan, 0.5, 2.0]), i) for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "X int, Y double, v int")
+    got = ids.dense_ids(df, ["X", "Y"], "id", n=5)
+    assert "hashpartitioning" not in plan_of(got) and got.columns == ["X", "Y", "v", "id"]
+
+    def key(x, y):
+        return x, math.inf if math.isnan(y) else y  # NaN is the largest number
+
+    known = sorted({key(x, y) for x, y, _ in rows if x is not None and y is not None})
+    want = Counter((i, None if x is None or y is None else known.index(key(x, y))) for x, y, i in rows)
+    assert Counter((r.v, r.id) for r in got.collect()) == want
+    assert ids.dense_ids(df.limit(0), ["X", "Y"]).count() == 0
