@@ -14,7 +14,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,29 +137,86 @@ def cumulative_sum(df: DataFrame, order: list[str], value: str, out: str = "cum"
                    group: list[str] | None = None, n: int | None = None) -> DataFrame:
     """Running sum of ``value`` in ``order`` (inclusive), optionally restarted per group.
 
-    Rows are range-partitioned and checkpointed; each partition's running sum
-    is a window over that partition only, and partition totals (one row per
-    partition) give the offsets.  A group restart subtracts the running sum
-    before the group's first row (a table with one row per group).
+    Rows are range-partitioned, sorted and checkpointed; a task adds up its
+    rows in order.  What goes on from one partition to the next is the sum of
+    its last group, from a table with one row per partition.  Rows with a
+    null in the group are left out, a null value adds nothing.
     """
     group = group or []
     full = [*group, *order]
     parts = _num_partitions(df, n)
-    ranged = reliable_checkpoint(df.repartitionByRange(parts, *full).sortWithinPartitions(*full))
-    tagged = ranged.withColumn("_part", F.spark_partition_id())
-    vtype = dict(df.dtypes)[value]
-    conv = float if vtype in ("double", "float") else int
-    totals = sorted((r[0], r[1] or 0) for r in tagged.groupBy("_part").agg(F.sum(value)).collect())
-    offs, run = [], conv(0)
-    for part, tot in totals:
-        offs.append((int(part), conv(run)))
-        run += tot
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(offs or [(0, conv(0))], f"_part int, _off {vtype}")
-    w = Window.partitionBy("_part").orderBy(*full).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.withColumn("_local", F.sum(value).over(w))
-    cum = local.join(F.broadcast(off_df), "_part").withColumn(out, F.col("_off") + F.col("_local"))
-    if group:
-        start = cum.groupBy(*group).agg(F.min(F.col(out) - F.col(value)).alias("_start"))
-        cum = cum.join(start, group).withColumn(out, F.col(out) - F.col("_start")).drop("_start")
-    return cum.drop("_part", "_off", "_local")
+    kind = "double" if dict(df.dtypes)[value] in ("double", "float") else "long"
+    rows = df.dropna(subset=group) if group else df
+    ranged = reliable_checkpoint(rows.repartitionByRange(parts, *full).sortWithinPartitions(*full))
+    tagged = ranged.withColumns({"_part": F.spark_partition_id(),
+                                 "_add": F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind))})
+
+    def sums(b, last, held):
+        """Running sums of a batch that goes on from ``held`` in the group ``last``; the group and sum at its end."""
+        import numpy as np
+
+        cols, add = [b.column(g) for g in group], b.column("_add").to_numpy()
+        new = key_changes(cols, last) if group else np.zeros(len(add), bool)
+        new[0] &= last is not None
+        start = np.maximum.accumulate(np.where(new, np.arange(len(add)), 0))
+        goes_on = start == 0 if not new[0] else np.zeros(len(add), bool)
+
+        def within(values, held):
+            total = np.cumsum(values)  # whole numbers wrap around: the differences stay exact
+            total -= (total - values)[start]
+            total[goes_on] += held
+            return total
+
+        total = within(add, held)
+        if add.dtype == np.int64 and np.abs(within(add.astype(float), float(held))).max() > 9.2e18:
+            raise OverflowError("a running sum passes 64 bits")
+        return total, [c[-1:] for c in cols], total[-1].item()
+
+    def ends(batches):
+        """The first and last group of a partition, whether they are one, and the sum of the last."""
+        import pyarrow as pa
+
+        begin, last, held, changes = None, None, 0, 0
+        for b in batches:
+            if b.num_rows:
+                cols = [b.column(g) for g in group]
+                if begin is None:
+                    begin, part = [c[:1] for c in cols], b.column("_part")[:1]
+                changes += int(key_changes(cols, last)[1 if last is None else 0:].sum()) if group else 0
+                _, last, held = sums(b, last, held)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays(
+                [part, *begin, *last, pa.array([changes == 0]), pa.array([held])], names=end_names)
+
+    end_names = ["_part", *[f"_a{i}" for i in range(len(group))], *[f"_z{i}" for i in range(len(group))], "_one", "_sum"]
+    types = [ranged.schema[g].dataType for g in group]
+    end_schema = T.StructType([T.StructField(c, t) for c, t in zip(end_names, [
+        T.IntegerType(), *types, *types, T.BooleanType(), T.DoubleType() if kind == "double" else T.LongType()])])
+    k = len(group)
+    carry, last, held = {}, None, 0
+    for r in sorted(tagged.select("_part", *group, "_add").mapInArrow(ends, end_schema).collect(), key=lambda r: r[0]):
+        goes_on = last is not None and _alike(r[1:1 + k], last)
+        carry[r[0]] = held if goes_on else 0
+        held = r["_sum"] + (held if goes_on and r["_one"] else 0)
+        last = r[1 + k:1 + 2 * k]
+    kept = df.columns
+    names = [*kept, out]
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, held = None, None
+        for b in batches:
+            if b.num_rows:
+                if held is None:
+                    held = carry[b.column("_part")[0].as_py()]
+                total, last, held = sums(b, last, held)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(total)], names=names)
+
+    schema = T.StructType([*ranged.schema.fields, T.StructField(out, T.DoubleType() if kind == "double" else T.LongType())])
+    return tagged.mapInArrow(run, schema)
+
+
+def _alike(a, b) -> bool:
+    """Whether two keys are the same; NaN is NaN."""
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))

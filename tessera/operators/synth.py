@@ -5,15 +5,17 @@ a draw is an inverse-CDF lookup.  Every value of a group owns an interval
 of whole numbers as long as its weight; a draw is a number below the
 group's total.  The lookup is an ordered merge: interval starts and draws
 are range-partitioned and sorted together, each draw takes the value of the
-last start before it, and one row per partition is handed on to the next.
+last start before it as its sorted partition streams by, and one row per
+partition is handed on to the next.
 Rows out equal rows in, whatever the number of values.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.expr import any_null, mix_keys, pick, uniform
 from tessera.operators.ids import cumulative_sum, number_sorted, positions
@@ -69,19 +71,39 @@ def interval_lookup(rows: DataFrame, starts: DataFrame, value: str, out: str, sp
     order = ["_g", "_pos", "_kind", *spread]
     # one job samples the range bounds, another writes: keep the rows for both
     both = both.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = reliable_checkpoint(both.repartitionByRange(*order)).withColumn("_part", F.spark_partition_id())
+    ranged = reliable_checkpoint(both.repartitionByRange(*order).sortWithinPartitions(*order)) \
+        .withColumn("_part", F.spark_partition_id())
     both.unpersist()
-    last = ranged.filter("_kind = 0").groupBy("_part").agg(F.max(F.struct("_g", "_pos", "_v")).alias("m"))
+    last = ranged.filter("_kind = 0 AND _v IS NOT NULL").groupBy("_part").agg(F.max(F.struct("_g", "_pos", "_v")).alias("m"))
     ends = {r["_part"]: r["_v"] for r in last.select("_part", "m._v").collect()}  # one row per partition
     carry, held = [], None
     for part in range(ranged.rdd.getNumPartitions()):
-        carry.append((part, held))
+        carry.append(held)
         held = ends.get(part, held)
-    borders = rows.sparkSession.createDataFrame(carry, f"_part int, _carry {kind}")
-    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = ranged.withColumn("_last", F.last("_v", ignorenulls=True).over(before)).filter("_kind = 1")
-    return filled.join(F.broadcast(borders), "_part").select(
-        *others, F.coalesce("_last", "_carry").alias(out))
+
+    def run(batches):
+        """The draws of a sorted partition, each with the value of the last start before it."""
+        import numpy as np
+        import pyarrow as pa
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = b.column("_v")
+            if held is None:
+                held = pa.array([carry[b.column("_part")[0].as_py()]], values.type)
+            draws = b.column("_kind").to_numpy() == 1
+            known = ~draws & values.is_valid().to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(known, np.arange(1, b.num_rows + 1), 0))
+            values = pa.concat_arrays([held, values]).take(pa.array(at))
+            held, draws = values[-1:], pa.array(draws)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(draws) for c in others), values.filter(draws)],
+                                             names=[*others, out])
+
+    schema = T.StructType([T.StructField(c, ranged.schema[c].dataType) for c in others]
+                          + [T.StructField(out, ranged.schema["_v"].dataType)])
+    return ranged.mapInArrow(run, schema)
 
 
 def place(u, total):

@@ -224,3 +224,30 @@ def test_dense_ids_shuffle_rows_once(spark):
     want = Counter((i, None if x is None or y is None else known.index(key(x, y))) for x, y, i in rows)
     assert Counter((r.v, r.id) for r in got.collect()) == want
     assert ids.dense_ids(df.limit(0), ["X", "Y"]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_running_sums_go_on_from_partition_to_partition(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(rnd.choice("aaaaaab") if i < 190 else rnd.choice("cdef"), i, rnd.choice([0, 1, 5, 1 << 40])) for i in range(200)]
+    df = spark.createDataFrame([*rows, (None, 500, 1)], "g string, k int, n long")
+    got = ids.cumulative_sum(df, ["k"], "n", "upto", group=["g"], n=parts)
+    assert "Window" not in plan_of(got) and "Exchange" not in plan_of(got)
+    want = {i: sum(n for g, j, n in rows if g == own and j <= i) for own, i, _ in rows}
+    assert {r.k: r.upto for r in got.collect()} == want
+    whole = ids.cumulative_sum(df.withColumn("n", F.col("n").cast("double")), ["k"], "n", "upto", n=parts)
+    every = [*rows, (None, 500, 1)]
+    assert {r.k: r.upto for r in whole.collect()} == {i: sum(n for _, j, n in every if j <= i) for _, i, _ in every}
+    assert ids.cumulative_sum(df.limit(0), ["k"], "n", group=["g"], n=parts).count() == 0
+    large = spark.createDataFrame([("a", i, (1 << 63) - 9) for i in range(2)], "g string, k int, n long")
+    with pytest.raises(Exception, match="64 bits"):
+        ids.cumulative_sum(large, ["k"], "n", "upto", group=["g"], n=parts).collect()
+
+
+def test_draws_are_looked_up_without_a_second_shuffle(spark):
+    starts = spark.createDataFrame([(g, 10 * i, f"{g}-{i}") for g in (1, 2, 3) for i in range(40)],
+                                   "_g long, _from long, _value string").repartition(4)
+    rows = spark.range(3000).selectExpr("id AS k", "1 + id % 3 AS _g", "id * 7 % 400 AS _pos").repartition(6)
+    got = synth.interval_lookup(rows, starts, "_value", "v", ["k"])
+    assert "Window" not in plan_of(got) and "Exchange" not in plan_of(got)
+    assert {r.k: r.v for r in got.collect()} == {k: f"{1 + k % 3}-{k * 7 % 400 // 10}" for k in range(3000)}
