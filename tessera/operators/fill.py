@@ -10,8 +10,11 @@ data; present cells are never changed.
   so a hot group costs memory per *distinct* value, not per row); over the
   whole table from value counts that are range-partitioned and summed up, so
   no task holds all values.
-* ``mode``: the most frequent value, ties to the smallest, by the least
-  ``(-count, value)``; no ranking window, any type that has an order.
+* ``mode``: the most frequent value, ties to the smallest, any type that has
+  an order.  Contexts of few rows each (pixels) take one shuffle of the rows
+  and ``F.mode`` (its buffer is a value->count map as well); the others count
+  values first and take the least ``(-count, value)``, so that a group of many
+  values is spread.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expr import BANDS, all_of
+from tessera.functions.expr import BANDS, all_of, any_of
 from tessera.operators.ids import cumulative_sum
 
 DEFAULT_CONTEXTS = (("PID",), ("DOY",), ())
+FEW_ROWS = 64  # of a context value on average
 
 def _ctx_name(i: int, band: str) -> str:
     return f"_c{i}_{band}"
@@ -47,6 +51,10 @@ def context_table(train: DataFrame, ctx, bands, method: str = "median", i: int =
 
 def modes(train: DataFrame, ctx: list[str], bands: list[str]) -> DataFrame:
     """(ctx..., bands...): the most frequent value of each band, all bands (of one type) in one pass."""
+    if ctx:
+        rows, groups = train.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*ctx))).first()
+        if rows <= FEW_ROWS * groups:
+            return small_group_modes(train, ctx, bands)
     long = train.select(*ctx, *[F.col(b).alias(f"_v_{b}") for b in bands]).unpivot(
         ctx, [f"_v_{b}" for b in bands], "_band", "_value").filter(F.col("_value").isNotNull())
     counts = long.groupBy(*ctx, "_band", "_value").agg(F.count(F.lit(1)).alias("_n"))
@@ -55,6 +63,16 @@ def modes(train: DataFrame, ctx: list[str], bands: list[str]) -> DataFrame:
     return wide.select(*ctx, *[F.col(f"_v_{b}").alias(b) for b in bands])
 
 
+def small_group_modes(train: DataFrame, ctx: list[str], bands: list[str]) -> DataFrame:
+    """The same for contexts of few rows each: one shuffle of the rows, a value->count map for each band."""
+    def value(b):  # -0.0 counts as 0.0
+        return F.col(b) + F.lit(0.0).cast(types[b]) if types[b] in ("double", "float") else F.col(b)
+
+    types = dict(train.dtypes)
+    known = any_of([F.col(b).isNotNull() for b in bands])
+    return train.filter(known).groupBy(*ctx).agg(*[F.mode(value(b), True).alias(b) for b in bands])
+
+
 def whole_medians(df: DataFrame, bands) -> DataFrame:
     """One row with the exact median (double) of each band over all rows, null for a band without values.
 

@@ -251,3 +251,14 @@ def test_draws_are_looked_up_without_a_second_shuffle(spark):
     got = synth.interval_lookup(rows, starts, "_value", "v", ["k"])
     assert "Window" not in plan_of(got) and "Exchange" not in plan_of(got)
     assert {r.k: r.v for r in got.collect()} == {k: f"{1 + k % 3}-{k * 7 % 400 // 10}" for k in range(3000)}
+
+
+def test_modes_of_many_small_groups_take_one_shuffle(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, *range(60)]), rnd.choice([None, 0.0, -0.0, math.nan, 1.5]), rnd.choice([None, 2.5, 3.5]))
+            for _ in range(400)]
+    df = spark.createDataFrame(rows, "PID int, a double, b double")
+    few = fill.modes(df, ["PID"], ["a", "b"])
+    assert plan_of(few).count("Exchange") == 1
+    monkeypatch.setattr(fill, "FEW_ROWS", -1)
+    assert sorted(map(str, few.collect())) == sorted(map(str, fill.modes(df, ["PID"], ["a", "b"]).collect()))
