@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from tessera.session import checkpoint_dir
 
 GAP = -1
-BLOCK = 1 << 16    # words in a stored stream
+BLOCK = 1 << 16    # words in a stored stream when it is first made
+STREAM = 1 << 20   # symbols at least in a stream that a task handles at once, if it has as many
+SUMMED = 1 << 21   # new rows that a task collects before it sums them
 KEPT = 1 << 20     # pairs that the driver keeps
-LEADERS = 512      # pairs whose contexts are counted in each round
+LEADERS = 128      # pairs whose contexts are counted in each round
 BATCH = 64         # merges in a round at most: bounds what a round reports
-STORE_EVERY = 16   # rounds whose merges tasks apply again before the streams are written
+STORE_EVERY = 4    # rounds whose merges tasks apply again before the streams are written
 
 
 # --- inside tasks --------------------------------------------------------------------------------
@@ -58,31 +60,82 @@ def merge_word(symbols: list, ranks: dict) -> list:
     return symbols
 
 
-def merge_stream(stream, batch):
-    """The stream after the merges (a, b, new) of a batch, which never overlap."""
+class PairNumbers:
+    """The number of each of a few pairs, -1 for all others; ``symbols`` is above every symbol met."""
+
+    def __init__(self, firsts, seconds, numbers, symbols: int):
+        import numpy as np
+
+        a, row = np.unique(firsts, return_inverse=True)
+        b, column = np.unique(seconds, return_inverse=True)
+        self.row, self.column = np.zeros(symbols + 1, np.int32), np.zeros(symbols + 1, np.int32)
+        self.row[a], self.column[b] = np.arange(1, len(a) + 1), np.arange(1, len(b) + 1)
+        self.numbers = np.full((len(a) + 1, len(b) + 1), -1, np.int32)
+        self.numbers[row + 1, column + 1] = numbers
+        self.first = self.row > 0
+
+    def find(self, stream):
+        """(places, numbers) of the pairs; a gap looks at the last entry, which no symbol has."""
+        import numpy as np
+
+        at = np.flatnonzero(self.first[stream[:-1]])
+        number = self.numbers[self.row[stream[at]], self.column[stream[at + 1]]]
+        hit = number >= 0
+        return at[hit], number[hit]
+
+
+def merge_places(stream, batch):
+    """(places, new symbols) of the merges (a, b, new) of a batch, which never overlap."""
     import numpy as np
 
-    if not batch:
-        return stream
     a, b, new = (np.array(x, np.int64) for x in zip(*batch))
-    order = np.argsort((a << 32) | b)
-    keys, new, twin = ((a << 32) | b)[order], new[order], (a == b)[order]
-    first = np.zeros(int(max(stream.max(initial=0), a.max())) + 2, bool)
-    first[a] = True
-    at = np.flatnonzero(first[stream[:-1]])  # a gap looks at the last entry, which no symbol has
-    pair = (stream[at].astype(np.int64) << 32) | stream[at + 1]
-    place = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-    hit = keys[place] == pair
-    at, place = at[hit], place[hit]
-    if twin.any():  # runs of one symbol: every other place, from the left
+    symbols = int(max(stream.max(initial=0), a.max(), b.max())) + 1
+    at, made = PairNumbers(a, b, new, symbols).find(stream)
+    if (a == b).any():  # runs of one symbol: every other place, from the left
         run = np.cumsum(np.diff(at, prepend=-2) != 1)
         start = np.flatnonzero(np.diff(run, prepend=0))
         offset = np.arange(len(at)) - start[run - 1] if len(at) else at
-        keep = ~twin[place] | (offset % 2 == 0)
-        at, place = at[keep], place[keep]
+        keep = ~np.isin(made, new[a == b]) | (offset % 2 == 0)
+        at, made = at[keep], made[keep]
+    return at, made
+
+
+def merge_stream(stream, batch):
+    """The stream after the merges of a batch."""
+    return merge_at(stream, *merge_places(stream, batch))[0] if batch else stream
+
+
+def merge_at(stream, at, made):
+    """The stream after merges at these places, and which entries of the old one are left."""
+    import numpy as np
+
+    left = np.ones(len(stream), bool)
+    left[at + 1] = False
     out = stream.copy()
-    out[at] = new[place]
-    return np.delete(out, at + 1)
+    out[at] = made
+    return out[left], left
+
+
+def numbered(merges) -> list:
+    """Pieces (a, b) of a merge list as (a, b, new) of symbols."""
+    ranks, number = {}, {f"{i:02X}": i for i in range(256)}
+    for i, (a, b) in enumerate(merges):
+        ranks[number[a], number[b]] = number[a + b] = 256 + i
+    return sorted(((a, b, new) for (a, b), new in ranks.items()), key=lambda m: m[2])
+
+
+def apart(merges) -> list:
+    """A list of merges (a, b, new) as batches in a row whose merges never overlap."""
+    out, firsts, seconds = [], set(), set()
+    for a, b, new in merges:
+        if (not out or b in firsts or a in seconds or max(a, b) >= out[-1][0][2]
+                or (a == b and (a in firsts or b in seconds)) or any(x == y for x, y, _ in out[-1][-1:])):
+            out.append([])
+            firsts, seconds = set(), set()
+        out[-1].append((a, b, new))
+        firsts.add(a)
+        seconds.add(b)
+    return out
 
 
 def weighted(keys, weights):
@@ -92,54 +145,76 @@ def weighted(keys, weights):
     return unique, np.bincount(of, weights, len(unique)).astype(np.int64)  # exact below 2**53
 
 
-def pair_weights(stream, counts):
-    """Neighbouring pairs (a << 32 | b) of all words and their words' counts."""
+def keys_at(stream, at):
+    """Which of the places hold a pair within a word, and these pairs (a << 32 | b)."""
     import numpy as np
 
-    word = np.cumsum(stream == GAP)
-    ok = (stream[:-1] != GAP) & (stream[1:] != GAP)
-    return (stream[:-1][ok].astype(np.int64) << 32) | stream[1:][ok], counts[word[:-1][ok]]
+    at = at[stream[at] != GAP]
+    at = at[stream[at + 1] != GAP]
+    return at, (stream[at].astype(np.int64) << 32) | stream[at + 1]
 
 
-def context_weights(stream, counts, wanted):
-    """(pair, neighbour, weight) of the wanted pairs (a test of keys); the side is the neighbour's sign."""
-    import numpy as np
+class Sums:
+    """Weights summed by (pair, side) over the blocks of a task."""
+
+    def __init__(self):
+        self.parts, self.rows = [], 0
+
+    def add(self, pairs, sides, weights):
+        self.parts.append((pairs, sides, weights))
+        self.rows += len(pairs)
+        if self.rows > SUMMED:
+            self.parts, self.rows = [self.total()], 0
+
+    def total(self):
+        import numpy as np
 
-    word = np.cumsum(stream == GAP)
-    key = (stream[:-1].astype(np.int64) << 32) | np.maximum(stream[1:], 0)
-    at = np.flatnonzero((stream[:-1] != GAP) & (stream[1:] != GAP))
-    at = at[wanted(key[at])]
-    left = at[(at > 0) & (stream[at - 1] != GAP)]
-    right = at[stream[at + 2] != GAP]  # the stream ends with a gap
-    keys = np.concatenate([key[left], key[right]])
-    sides = np.concatenate([stream[left - 1].astype(np.int64) + 1, -stream[right + 2].astype(np.int64) - 1])
-    weights = counts[word[np.concatenate([left, right])]]
-    if not len(keys):
-        return keys, sides, weights
-    order = np.lexsort((sides, keys))
-    keys, sides, weights = keys[order], sides[order], weights[order]
-    start = np.flatnonzero(np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(sides) != 0)]))
-    return keys[start], sides[start], np.add.reduceat(weights, start)
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 3
+        pairs, sides, weights = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((sides, pairs))
+        pairs, sides, weights = pairs[order], sides[order], weights[order]
+        start = np.flatnonzero(np.concatenate([[True], (np.diff(pairs) != 0) | (np.diff(sides) != 0)])[:len(pairs)])
+        weights = np.add.reduceat(weights, start) if len(start) else weights
+        return pairs[start], sides[start], weights
 
 
 def read_blocks(batches, pending):
-    """(stream, counts) of the stored blocks, with the pending batches applied."""
+    """(stream, counts) of the stored blocks, small ones joined, with the pending batches applied."""
     import numpy as np
 
+    def joined(streams, counts):
+        stream = np.concatenate(streams)
+        for batch in pending:
+            stream = merge_stream(stream, batch)
+        return stream, np.concatenate(counts)
+
+    streams, counts, size = [], [], 0
     for b in batches:
         for ids, n in zip(b.column("ids"), b.column("n")):
-            stream, counts = np.frombuffer(ids.as_py(), np.int32), np.frombuffer(n.as_py(), np.int64)
-            for batch in pending:
-                stream = merge_stream(stream, batch)
-            yield stream, counts
+            streams.append(np.frombuffer(ids.as_py(), np.int32))
+            counts.append(np.frombuffer(n.as_py(), np.int64))
+            size += len(streams[-1])
+            if size >= STREAM:
+                yield joined(streams, counts)
+                streams, counts, size = [], [], 0
+    if streams:
+        yield joined(streams, counts)
+
+
+def symbol_weights(stream, counts):
+    """The count of its word for every entry of the stream."""
+    import numpy as np
+
+    return np.repeat(counts, np.diff(np.flatnonzero(stream == GAP), prepend=-1))
 
 
 def rows_of(pair, side, n):
     return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(side), pa.array(n)], names=["pair", "side", "n"])
 
 
-def pack_words(ranks):
-    """pieces (hex bytes), n -> blocks of streams, with known merges applied."""
+def pack_words(known):
+    """pieces (hex bytes), n -> blocks of streams, with batches of known merges applied."""
 
     def run(batches):
         import numpy as np
@@ -149,11 +224,13 @@ def pack_words(ranks):
             for a in range(0, len(pieces), BLOCK):
                 stream = []
                 for p in pieces[a:a + BLOCK]:
-                    word = bytes.fromhex(p)
-                    stream += merge_word(word, ranks) if ranks else word
+                    stream += bytes.fromhex(p)
                     stream.append(GAP)
+                stream = np.array(stream, np.int32)
+                for batch in known:
+                    stream = merge_stream(stream, batch)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.array(stream, np.int32).tobytes()], pa.binary()),
+                    [pa.array([stream.tobytes()], pa.binary()),
                      pa.array([n[a:a + BLOCK].tobytes()], pa.binary())], names=["ids", "n"])
 
     return run
@@ -163,39 +240,70 @@ def full_count(pending):
     def run(batches):
         import numpy as np
 
+        sums = Sums()
         for stream, counts in read_blocks(batches, pending):
-            pair, n = weighted(*pair_weights(stream, counts))
-            yield rows_of(pair, np.zeros(len(pair), np.int64), n)
+            at, keys = keys_at(stream, np.arange(len(stream) - 1))
+            pair, n = weighted(keys, symbol_weights(stream, counts)[at])
+            sums.add(pair, np.zeros(len(pair), np.int64), n)
+        yield rows_of(*sums.total())
 
     return run
 
 
 def apply_round(pending, batch, leaders, base):
-    """Changes of pair counts (side 0) and contexts of the leaders and of pairs with symbols from ``base`` on."""
+    """Changes of pair counts (side 0) and contexts of the leaders and of pairs with symbols from ``base`` on.
+
+    A context is a neighbour; the side is the neighbour's sign.  The leaders' symbols are below ``base``,
+    so their contexts are summed in one array of (side, leader, neighbour).
+    """
 
     def run(batches):
         import numpy as np
 
-        known = np.sort(np.array(leaders, np.int64))
-
-        def wanted(key):
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            return (known[at] == key) | (key >> 32 >= base) | ((key & 0xFFFFFFFF) >= base)
-
+        known, symbols = np.array(leaders, np.int64), base + len(batch)
+        lead = PairNumbers(known >> 32, known & 0xFFFFFFFF, np.arange(len(known)), symbols)
+        near = np.zeros(2 * len(known) * symbols, np.int64)
+        sums = Sums()
         for stream, counts in read_blocks(batches, pending):
-            after = merge_stream(stream, batch)
-            if len(after) < len(stream):
-                size = [np.diff(np.flatnonzero(s == GAP), prepend=-1) for s in (stream, after)]
-                touched = size[0] != size[1]
-                old, new = (pair_weights(s[np.repeat(touched, k)], counts[touched])
-                            for s, k in zip((stream, after), size))
-                pair, n = weighted(np.concatenate([old[0], new[0]]), np.concatenate([-old[1], new[1]]))
-                yield rows_of(pair[n != 0], np.zeros(int((n != 0).sum()), np.int64), n[n != 0])
-            yield rows_of(*context_weights(after, counts, wanted))
+            weights = symbol_weights(stream, counts)
+            if batch:
+                at, made = merge_places(stream, batch)
+                after, left = merge_at(stream, at, made)
+                was = np.zeros(len(stream), bool)
+                was[at - 1] = was[at] = was[at + 1] = True  # place -1 is the last gap
+                old, old_keys = keys_at(stream, np.flatnonzero(was))
+                lost, weights = weights[old], weights[left]
+                fresh = after >= base
+                new, new_keys = keys_at(after, np.flatnonzero(fresh[:-1] | fresh[1:]))
+                pair, n = weighted(np.concatenate([old_keys, new_keys]), np.concatenate([-lost, weights[new]]))
+                sums.add(pair[n != 0], np.zeros(int((n != 0).sum()), np.int64), n[n != 0])
+                sums.add(*contexts(after, weights, new, new_keys))
+                stream = after
+            if len(known):
+                at, number = lead.find(stream)
+                before, behind = stream[at - 1], stream[at + 2]  # place -1 is the last gap
+                for side, by in enumerate((before, behind)):
+                    ok = by != GAP
+                    place = (side * len(known) + number[ok].astype(np.int64)) * symbols + by[ok]
+                    near += np.bincount(place, weights[at[ok]], len(near)).astype(np.int64)
+        yield rows_of(*sums.total())
+        found = np.flatnonzero(near)
+        side, by = found // (len(known) * symbols) if len(found) else found, found % symbols
+        yield rows_of(known[found // symbols % max(1, len(known))], np.where(side == 0, by + 1, -by - 1), near[found])
 
     return run
 
 
+def contexts(stream, weights, at, keys):
+    """(pair, neighbour, weight) of the pairs ``keys`` at these places."""
+    import numpy as np
+
+    before, behind = stream[at - 1].astype(np.int64), stream[at + 2].astype(np.int64)
+    left, right = before != GAP, behind != GAP
+    return (np.concatenate([keys[left], keys[right]]), np.concatenate([before[left] + 1, -behind[right] - 1]),
+            np.concatenate([weights[at[left]], weights[at[right]]]))
+
+
 def store_blocks(pending):
     def run(batches):
         for stream, counts in read_blocks(batches, pending):
@@ -270,19 +378,25 @@ class Trainer:
         self.spark = table.sparkSession
         self.folder = f"{checkpoint_dir(self.spark).rstrip('/')}/bpe-{uuid.uuid4().hex}"
         self.pieces = [f"{i:02X}" for i in range(256)]
-        number, ranks = {p: i for i, p in enumerate(self.pieces)}, {}
-        for a, b in initial:
-            ranks[number[a], number[b]] = number[a + b] = len(self.pieces)
-            self.pieces.append(a + b)
+        known = numbered(initial)
+        self.pieces += [a + b for a, b in initial]
         self.pending, self.rounds, self.stored = [], 0, 0
-        self.blocks = self.store(table.mapInArrow(pack_words(ranks), "ids binary, n binary"))
+        # few bytes and much work: adaptive execution would leave too few tasks
+        table = table.repartition(2 * self.spark.sparkContext.defaultParallelism)
+        self.blocks = self.store(table.mapInArrow(pack_words(apart(known)), "ids binary, n binary"))
 
     def store(self, blocks: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.stored}"
-        self.stored += 1
         blocks.write.parquet(path)
+        if self.stored:
+            self.delete(f"{self.folder}/{self.stored - 1}")  # its jobs have ended
+        self.stored += 1
         return self.spark.read.schema("ids binary, n binary").parquet(path)
 
+    def delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
     def count(self) -> Leaders:
         """All pairs, or those above the least power of two that leaves at most KEPT."""
         sums = (self.blocks.mapInArrow(full_count(self.pending), "pair long, side long, n long")
@@ -352,7 +466,9 @@ def train_merges(table: DataFrame, n_merges: int, initial=()) -> DataFrame:
     empty table gives none; fewer are learned where no pair is left.
     """
     initial = list(initial)
-    merges = Trainer(table, initial).train(n_merges)
+    trainer = Trainer(table, initial)
+    merges = trainer.train(n_merges)
+    trainer.delete(trainer.folder)
     rows = [(i + len(initial), a, b, n) for i, (a, b, n) in enumerate(merges)]
     return table.sparkSession.createDataFrame(rows, "rank int, a string, b string, n long")
 

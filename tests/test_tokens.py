@@ -104,6 +104,50 @@ def test_bpe_matches_brute_force(spark, monkeypatch, limits):
     assert [(r["a"], r["b"], r["n"]) for r in more] == want[20:] and more[0]["rank"] == 20
 
 
+def _blocks(words, n, size):
+    import numpy as np
+    import pyarrow as pa
+
+    ids = [np.array([x for w in words[i:i + size] for x in [*w, bpe.GAP]], np.int32).tobytes()
+           for i in range(0, len(words), size)]
+    counts = [np.array(n[i:i + size], np.int64).tobytes() for i in range(0, len(words), size)]
+    return [pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary()), "n": pa.array(counts, pa.binary())})]
+
+
+@pytest.mark.parametrize("stream, summed", [(1 << 20, 1 << 21), (5, 3)])
+def test_a_task_reports_each_context_and_change_once(monkeypatch, stream, summed):
+    monkeypatch.setattr(bpe, "STREAM", stream)
+    monkeypatch.setattr(bpe, "SUMMED", summed)
+    rnd = random.Random(4)
+    words = [[rnd.randint(0, 3) for _ in range(rnd.randint(1, 9))] for _ in range(120)]
+    n = [rnd.randint(1, 5) for _ in words]
+    batch, leaders = [(0, 1, 256), (2, 1, 257)], [3 << 32, (3 << 32) | 2]
+    want = Counter()
+    for w, k in zip(words, n):
+        after = bpe.merge_word(w, {(a, b): x for a, b, x in batch})
+        for sign, symbols in ((-k, w), (k, after)):
+            for a, b in zip(symbols, symbols[1:]):
+                want[(a << 32) | b, 0] += sign
+        for i, (a, b) in enumerate(zip(after, after[1:])):
+            if (a << 32) | b in leaders or max(a, b) >= 256:
+                if i:
+                    want[(a << 32) | b, after[i - 1] + 1] += k
+                if i + 2 < len(after):
+                    want[(a << 32) | b, -after[i + 2] - 1] += k
+    rows = [r for b in bpe.apply_round([], batch, leaders, 256)(_blocks(words, n, 7)) for r in b.to_pylist()]
+    got = {(r["pair"], r["side"]): r["n"] for r in rows}
+    assert len(got) == len(rows)
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_training_leaves_no_streams(spark):
+    table = spark.createDataFrame([(" 61 62 63 64 ", 3), (" 61 62 63 ", 2)], "pieces string, n long")
+    trainer = bpe.Trainer(table)
+    trainer.blocks = trainer.store(trainer.blocks)
+    assert not art.exists(spark, f"{trainer.folder}/0") and art.exists(spark, f"{trainer.folder}/1/_SUCCESS")
+    assert trainer.blocks.count() > 0 and len(trainer.train(3)) == 3
+
+
 def test_bpe_ends_when_no_pair_is_left(spark):
     table = spark.createDataFrame([(" 61 62 ", 3), (" 63 ", 9)], "pieces string, n long")
     assert [tuple(r) for r in tk.bpe_train(table, 9).collect()] == [(0, "61", "62", 3)]
