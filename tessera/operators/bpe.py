@@ -473,32 +473,44 @@ def train_merges(table: DataFrame, n_merges: int, initial=()) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, "rank int, a string, b string, n long")
 
 
+def merged_words(words, batches):
+    """The symbols of all words (a string array), one after the other, and how many each has."""
+    import numpy as np
+
+    data = [w.encode() for w in words.to_pylist()]
+    ends = np.cumsum([len(w) + 1 for w in data], dtype=np.int64) - 1  # a gap after each word
+    stream = np.full(len(data) + sum(map(len, data)), GAP, np.int32)
+    inside = np.ones(len(stream), bool)
+    inside[ends] = False
+    stream[inside] = np.frombuffer(b"".join(data), np.uint8)
+    for batch in batches if len(stream) else ():
+        stream = merge_stream(stream, batch)
+    return stream[stream != GAP], np.diff(np.flatnonzero(stream == GAP), prepend=-1) - 1
+
+
 def encode_texts(df: DataFrame, merges: list[tuple[str, str]], pretoken: str, text_col: str = "text",
                  first_id: int = 256) -> DataFrame:
     """``df`` with ``ids``: token ids of each text by a whole merge list (byte b is id first_id - 256 + b).
 
-    Each distinct pre-token of a task is merged once.  A null text has null ids.
+    The distinct pre-tokens of an Arrow batch are merged at once.  A null text has null ids.
     """
-    ranks, number = {}, {f"{i:02X}": i for i in range(256)}
-    for a, b in merges:
-        ranks[number[a], number[b]] = number[a + b] = 256 + len(ranks)
-    shared = df.sparkSession.sparkContext.broadcast(ranks)  # as many entries as the vocabulary
+    shared = df.sparkSession.sparkContext.broadcast(apart(numbered(merges)))  # as many entries as the vocabulary
     shift = first_id - 256
 
     @F.arrow_udf("array<int>")
     def encode(words: pa.Array) -> pa.Array:
-        known, out = {}, []
-        for row in words.to_pylist():
-            if row is None:
-                out.append(None)
-                continue
-            ids = []
-            for w in row:
-                if w not in known:
-                    known[w] = [i + shift for i in merge_word(w.encode(), shared.value)]
-                ids += known[w]
-            out.append(ids)
-        return pa.array(out, pa.list_(pa.int32()))
+        import numpy as np
+        import pyarrow.compute as pc
+
+        coded = words.flatten().dictionary_encode()
+        word, per_row = coded.indices.to_numpy(), pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        symbols, sizes = merged_words(coded.dictionary, shared.value)
+        n = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - ends[:-1], n) + np.arange(ends[-1])
+        offsets = ends[np.concatenate([[0], np.cumsum(per_row)])]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(symbols[at] + shift, pa.int32()),
+                                        mask=words.is_null())
 
     pieces = F.regexp_extract_all(F.concat(F.lit(" "), F.col(text_col)), F.lit(pretoken), 0)
     return df.withColumn("ids", encode(pieces))

@@ -116,8 +116,8 @@ def _blocks(words, n, size):
 
 @pytest.mark.parametrize("stream, summed", [(1 << 20, 1 << 21), (5, 3)])
 def test_a_task_reports_each_context_and_change_once(monkeypatch, stream, summed):
-    monkeypatch.setattr(bpe, "STREAM", stream)
-    monkeypatch.setattr(bpe, "SUMMED", summed)
+    monkeypatch.setattr(bpe, "STREAM", stream, raising=False)
+    monkeypatch.setattr(bpe, "SUMMED", summed, raising=False)
     rnd = random.Random(4)
     words = [[rnd.randint(0, 3) for _ in range(rnd.randint(1, 9))] for _ in range(120)]
     n = [rnd.randint(1, 5) for _ in words]
@@ -181,6 +181,32 @@ def test_saved_merges_encode_as_one_long_training(spark, tmp_path):
         assert bpe.merge_word(word.encode(), ranks) == plain
 
 
+def test_words_are_merged_at_once_as_one_by_one():
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    words = ["", "aaaa", "é"] + ["".join(rnd.choice("aab") for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    merges = [(97, 97, 256), (97, 98, 257), (256, 256, 258), (257, 97, 259), (98, 98, 260), (258, 97, 261),
+              (259, 256, 262), (98, 258, 263)]
+    ranks = {(a, b): new for a, b, new in merges}
+    batches = bpe.apart(merges)
+    assert [m for b in batches for m in b] == merges and len(batches) < len(merges)
+    symbols, sizes = bpe.merged_words(pa.array(words), batches)
+    ends = [sum(sizes[:i]) for i in range(len(words) + 1)]
+    assert [symbols[x:y].tolist() for x, y in zip(ends, ends[1:])] == [bpe.merge_word(w.encode(), ranks) for w in words]
+
+
+def test_encoding_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, "ab ab  b"), (2, ""), (3, None), (4, "ab"), (5, "<|x|> é")], "k int, text string")
+    first = tk.bpe_encode(df, spark.createDataFrame([(0, "61", "62", 3), (1, "20", "6162", 3)],
+                                                    "rank int, a string, b string, n long"))
+    shift, got = len(tk.SPECIAL_TOKENS), {r["k"]: r["ids"] for r in first.collect()}
+    space, b = 32 + shift, 98 + shift
+    assert got[1][:2] == [257 + shift] * 2 and got[1][-1] == b and got[3] is None
+    assert got[4] == [257 + shift] and got[2] == [space]
+    assert got[5] == [space] + [x + shift for x in "<|x|> é".encode()]
+
+
 def test_vocab_extend_skips_duplicates(spark):
     vocab = spark.createDataFrame([(0, "a"), (1, "b")], "id long, token string")
     out = {r["token"]: r["id"] for r in tk.vocab_extend(vocab, ["b", "c", "c", "d"]).collect()}
