@@ -183,6 +183,82 @@ def test_words_at_any_white_space():
     assert index.neighbours(0, np.arange(4) != 0) == [1] and index.neighbours(2, np.arange(4) != 2) == [3]
 
 
+def odd_texts(n=400):
+    rnd = random.Random(5)
+    parts = ["a", " ", "  ", "\n", "\t", "é", "THE", "\u3000", "\x85", "\x1c", "\u00a0", "中文", "北京大学", "\u200b", ".", "😀",
+             "x" * 70, "y" * 64, "ab" * 4, "ab" * 8, "ไทยดี", "ひら", "\x00"]
+    return ["", " ", None, *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(n)), ""]
+
+
+def test_terms_are_counted_by_text():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.packing import TermCounts
+
+    texts, numbers = odd_texts(), TermNumbers()
+    for given in (texts, pa.chunked_array([texts[:99], texts[99:]]), pa.array(["", *texts])[1:]):
+        got = TermCounts.of(given)
+        assert got.n == len(texts)
+        for i, t in enumerate(texts):
+            own, n = np.unique(numbers.of(t or ""), return_counts=True)
+            held = got.owner == i
+            assert np.array_equal(got.vocabulary[got.at[held]], own) and np.array_equal(got.tf[held], n)
+            assert got.sizes[i] == len(terms_of(t or ""))
+    for none in ([], [None], ["", " "]):
+        assert TermCounts.of(none).n == len(none) and len(TermCounts.of(none).tf) == 0
+
+
+def test_fill_takes_the_best_that_fits():
+    import numpy as np
+
+    rnd = random.Random(8)
+    docs = [[rnd.randrange(60) for _ in range(rnd.randint(0, 12))] for _ in range(300)]
+    lengths = [rnd.choice([1, 3, 8, 20, 70]) for _ in docs]
+    index, unused, want, left, number = Bm25(docs), np.ones(len(docs), bool), [], None, 0
+    while left or unused.any():
+        doc, start = left or (int(unused.argmax()), 0)
+        unused[doc] = False
+        seed, offset = doc, min(32, lengths[doc] - start)
+        want.append((doc, start, offset, number, 0))
+        left = (doc, start + offset) if start + offset < lengths[doc] else None
+        near = index.neighbours(seed, unused) if offset < 32 else []
+        waiting = []
+        for doc in near:
+            if lengths[doc] <= 32 - offset:
+                want.append((doc, 0, lengths[doc], number, offset))
+                unused[doc], offset = False, offset + lengths[doc]
+            else:
+                waiting.append(doc)
+        while offset < 32 and unused.any():
+            doc = waiting.pop(0) if waiting else int(unused.argmax())
+            n, unused[doc] = min(32 - offset, lengths[doc]), False
+            want.append((doc, 0, n, number, offset))
+            offset, left = offset + n, (doc, n) if n < lengths[doc] else None
+        number += 1
+    assert fill_windows(lengths, index, 32) == want
+
+
+def test_rows_go_to_shards_compressed(spark, docs_of):
+    from tessera.llm.packing import unpacked
+
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"word{rnd.randrange(500)}" for _ in range(200))) for i in range(60)] + [(99, None), (1, "x y")]
+    docs = docs_of(rows).select("doc_id", "text")
+    plain = placed(docs, len(rows), 9, 1 << 20, 20.0).collect()
+    short = placed(docs, len(rows), 9, 1 << 20, 20.0, compressed=True)
+    assert not {"text", "df"} & set(short.columns)
+    short = short.collect()
+    got = [(r.doc_id, *unpacked(r.body, r.text_bytes, r.terms), r.place, r.parts, r.mean) for r in short]
+    assert sorted((i, t, d.tolist(), *x) for i, t, d, *x in got) == \
+        sorted((r.doc_id, r.text or "", r.df, r.place, r.parts, r.mean) for r in plain)
+    assert sum(len(r.body) for r in short) < 0.6 * sum(len(t or "") for _, t in rows)
+    words = {i: set((t or "").split()) for i, t in rows[:60]}
+    df = {w: sum(w in x for x in [*words.values(), {"x", "y"}]) for x in words.values() for w in x}
+    assert all(sorted(r.df) == sorted(df[w] for w in words[r.doc_id]) for r in plain if len(r.df) > 2)
+    assert plain[0].mean == (60 * 200 + 2) / 62
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {
